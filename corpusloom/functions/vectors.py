@@ -48,15 +48,18 @@ def hash_embed(text: Column | str, normalize: bool = True) -> Column:
     def mean_vector(words: Column) -> Column:
         digests = F.transform(words, lambda word: F.sha2(word, 256))
 
+        def two_sums(hashed: Column, pair: int) -> Column:
+            longs = F.transform(
+                hashed, lambda digest: F.conv(F.substring(digest, 16 * pair + 1, 16), 16, -10).cast("bigint")
+            )
+            zero, low = F.lit(0).cast("bigint"), F.lit(2**32 - 1)
+            return tx.let(longs, lambda xs: F.array(
+                F.aggregate(xs, zero, lambda acc, x: acc + F.shiftrightunsigned(x, 32)),
+                F.aggregate(xs, zero, lambda acc, x: acc + x.bitwiseAND(low)),
+            ))
+
         def halves(hashed: Column) -> Column:
-            sums = []
-            for pair in range(HASH_DIMENSIONS // 2):
-                longs = F.transform(hashed, lambda d, p=pair: F.conv(F.substring(d, 16 * p + 1, 16), 16, -10).cast("bigint"))
-                sums.append(tx.let(longs, lambda xs: F.array(
-                    F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + F.shiftrightunsigned(x, 32)),
-                    F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + x.bitwiseAND(F.lit(2**32 - 1))),
-                )))
-            return F.flatten(F.array(*sums))
+            return F.flatten(F.array(*[two_sums(hashed, pair) for pair in range(HASH_DIMENSIONS // 2)]))
 
         count = F.size(words)
         hints = [F.when(F.arrays_overlap(words, _words(w)), HINT_WEIGHT).otherwise(0.0) for w in (WATER_WORDS, BICYCLE_WORDS)]

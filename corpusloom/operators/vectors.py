@@ -206,8 +206,8 @@ def approximate_search(
         return unit.select(key, F.inline(F.array(*[buckets(t) for t in range(tables)])))
 
     salts = 8
-    left = signed(vectors, "id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    right = signed(queries, "query_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    left = signed(vectors, "id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    right = signed(queries, "query_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pairs = left.join(right, ["table", "bucket", "_salt"]).select("query_id", "id").distinct()
     return rank_candidates(vectors, queries, pairs, k)
 
