@@ -258,8 +258,8 @@ _SQL_CATALOG = SQL_CHUNKS + """, catalog AS (
   FROM chunks GROUP BY source),
 changes AS (
   SELECT * REPLACE ('semantic' AS backend, chunk_count * 2 AS chunk_count, '2030-01-01T00:00:00+00:00' AS created_at)
-  FROM catalog WHERE source_count % 2 = 0
-  UNION ALL SELECT * REPLACE ('new-' || slug AS slug, '2030-01-01T00:00:00+00:00' AS created_at) FROM catalog WHERE source_count % 2 = 1)"""
+  FROM catalog WHERE chunk_count % 2 = 0
+  UNION ALL SELECT * REPLACE ('new-' || slug AS slug, '2030-01-01T00:00:00+00:00' AS created_at) FROM catalog WHERE chunk_count % 2 = 1)"""
 
 
 def _catalog(spark, sf_dir):
@@ -285,10 +285,10 @@ def _catalog(spark, sf_dir):
 
 def _changes(catalog):
     late = {"created_at": F.lit("2030-01-01T00:00:00+00:00")}
-    even = catalog.filter(F.col("source_count") % 2 == 0).withColumns({
+    even = catalog.filter(F.col("chunk_count") % 2 == 0).withColumns({
         "backend": F.lit("semantic"), "chunk_count": F.col("chunk_count") * 2, **late
     })
-    odd = catalog.filter(F.col("source_count") % 2 == 1).withColumns({"slug": F.concat(F.lit("new-"), "slug"), **late})
+    odd = catalog.filter(F.col("chunk_count") % 2 == 1).withColumns({"slug": F.concat(F.lit("new-"), "slug"), **late})
     return even.unionByName(odd)
 
 
@@ -314,10 +314,10 @@ def catalog_upsert(spark, sf_dir):
     return cat.upsert_entries(entries, _changes(entries))
 
 
-@query("catalog_delete", f"WITH {_SQL_CATALOG} SELECT slug, chunk_count FROM catalog WHERE source_count % 2 = 1")
+@query("catalog_delete", f"WITH {_SQL_CATALOG} SELECT slug, chunk_count FROM catalog WHERE chunk_count % 2 = 1")
 def catalog_delete(spark, sf_dir):
     entries = cut_lineage(_catalog(spark, sf_dir), "catalog")
-    return cat.delete_entries(entries, entries.filter(F.col("source_count") % 2 == 0)).select("slug", "chunk_count")
+    return cat.delete_entries(entries, entries.filter(F.col("chunk_count") % 2 == 0)).select("slug", "chunk_count")
 
 
 @query("catalog_audit", f"""WITH {_SQL_CATALOG}

@@ -179,44 +179,27 @@ def semantic_search(
 
 
 def approximate_search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, bucket_length: float = 0.5
+    vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, planes: int = 4, seed: int = 42
 ) -> DataFrame:
-    """Opt-in approximate search: random-projection buckets propose candidates, cosine ranks them.
+    """Opt-in approximate search: vectors on the same side of some random planes meet, cosine ranks them.
 
-    May miss neighbours; `search` is the exact default. Signatures are a few bytes per vector and
-    table, so candidates are found by an equi-join on (table, bucket); a hot bucket is split by salt.
+    May miss neighbours; `search` is the exact default. Inside a bucket the search is exact and only
+    the k best leave a cell, so a bucket full of copies costs no more than its share of a full scan.
     """
     check_limit(k)
-    rng = np.random.default_rng(42)
-    dimensions = F.size("embedding")
-    width = queries.select(dimensions.alias("d")).first()
-    if width is None:
-        return rank_candidates(vectors, queries, vectors.select(F.lit(None).cast("string").alias("query_id"), "id").limit(0), k)
-    planes = rng.normal(size=(tables, 4, width["d"]))
-
-    def buckets(table: int) -> Column:
-        parts = []
-        for plane in planes[table]:
-            weights = F.array(*[F.lit(float(w)) for w in plane])
-            parts.append(F.floor(vx.dot("embedding", weights) / F.lit(bucket_length)))
-        return F.struct(F.lit(table).alias("table"), F.concat_ws(",", *parts).alias("bucket"))
-
-    def signed(df: DataFrame, key: str) -> DataFrame:
-        unit = df.select(key, vx.l2_normalize(F.col("embedding").cast("array<double>")).alias("embedding"))
-        return unit.select(key, F.inline(F.array(*[buckets(t) for t in range(tables)])))
-
-    salts = 8
-    left = signed(vectors, "id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    right = signed(queries, "query_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = left.join(right, ["table", "bucket", "_salt"]).select("query_id", "id").distinct()
-    return rank_candidates(vectors, queries, pairs, k)
-
-
-def rank_candidates(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Exact cosine ranking of proposed `(query_id, id)` pairs."""
-    scored = (
-        pairs.join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("_q")), "query_id")
-        .join(vectors.select("id", F.col("embedding").cast("array<double>").alias("_v")), "id")
-        .select("query_id", "id", F.round(vx.cosine("_q", "_v"), blocked.SCORE_DIGITS).alias("score"))
-    )
-    return blocked.rank_rows(scored, k)
+    sample = queries.select(F.size("embedding").alias("d")).first()
+    width = sample["d"] if sample else 1
+    normals = np.random.default_rng(seed).normal(size=(tables, planes, width))
+
+    def bucket(table: int) -> Column:
+        sides = [
+            F.when(vx.dot("embedding", F.array(*[F.lit(float(w)) for w in plane])) >= 0, 1 << bit).otherwise(0)
+            for bit, plane in enumerate(normals[table])
+        ]
+        return F.struct(F.lit(table).alias("table"), sum(sides[1:], sides[0]).alias("bucket"))
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        plain = df.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+        return plain.select(key, "embedding", F.inline(F.array(*[bucket(t) for t in range(tables)])))
+
+    return blocked.top_k_within(placed(vectors, "id"), placed(queries, "query_id"), VectorScorer(COSINE), k, ("table", "bucket"))

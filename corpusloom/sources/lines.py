@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut_lineage
 
+MAX_BROADCAST_BLOCKS = 200_000
 _BLOCK = ("path", "block")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`(path, block, mark, value)` of line files; `mark` grows with the line inside a block."""
-    return spark.read.option("lineSep", "\n").text(path).select(
+    """`(path, block, mark, value)` of line files; `mark` grows with the line inside a block.
+
+    Lines end at LF, CR or CR LF.
+    """
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("mark"),
@@ -34,7 +38,9 @@ def number_lines(lines: DataFrame) -> DataFrame:
         ),
         F.lit(0),
     )
-    offsets = blocks.select(*_BLOCK, "_first", before.alias("_before"))
+    offsets = cut_lineage(blocks.select(*_BLOCK, "_first", before.alias("_before")), "blocks")
+    if offsets.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)  # some 100 bytes a block; the lines then stay where they are
     return lines.join(offsets, list(_BLOCK)).select(
         "path", (F.col("_before") + F.col("mark") - F.col("_first") + 1).alias("line"), "value"
     )

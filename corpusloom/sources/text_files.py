@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ def local_name(uri: Column | str) -> Column:
 
 
 def _whole_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt")
-    files = reader.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    files = spark.read.text(
+        path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive
+    )
     return files.select(
         F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("uri"),
         tx.strip("value").alias("text"),
@@ -62,8 +65,6 @@ def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def check_source_path(root: str, path: str, text_only: bool = True) -> str:
     """A path below `root`, resolved; anything that leaves the root is refused."""
-    import posixpath
-
     if not path.strip():
         raise ValueError("source path must not be empty")
     base = posixpath.normpath(root)
