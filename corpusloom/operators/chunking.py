@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
+from corpusloom.session import checked_keys
 
 DEFAULT_SIZE = 1000
 DEFAULT_OVERLAP = 200
@@ -73,7 +74,24 @@ def chunk_documents(
 
 
 def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id. Map-side combine drops copies before the shuffle, so a hot id stays small."""
+    """One row per chunk id, without shuffling the texts.
+
+    Only the ids are shuffled to find those that occur more than once. These are few (equal content
+    of documents whose ids share a slug), so the other rows are written where they lie and only the
+    repeated ones are reduced. `keep_one` does the same for any number of them.
+    """
+    repeated = chunks.groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("id")
+    known = checked_keys(repeated)
+    if known.rows == 0:
+        return chunks
+    if not known.small:
+        return keep_one(chunks)
+    single = chunks.join(F.broadcast(known.keys), "id", "left_anti")
+    return single.unionByName(keep_one(chunks.join(F.broadcast(known.keys), "id", "left_semi")))
+
+
+def keep_one(chunks: DataFrame) -> DataFrame:
+    """The least row of every chunk id; copies are combined before the shuffle, so a hot id stays small."""
     rest = [c for c in chunks.columns if c != "id"]
     packed = chunks.groupBy("id").agg(F.min(F.struct(*rest)).alias("_row"))
     return packed.select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])

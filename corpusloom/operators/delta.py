@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunking import distinct_chunks
+from corpusloom.session import MAX_BROADCAST_KEYS, checked_keys, cut_lineage
 
 NEW, UNCHANGED, CHANGED = "new", "unchanged", "changed"
 ADD, SKIP, CONFLICT = "add", "skip", "conflict"
@@ -23,24 +24,44 @@ def classify(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 
     `new` is the first copy of an id the ledger does not have; the same digest again is `unchanged`;
     any other digest of the id, in the ledger or earlier in the input, makes it `changed`.
+
+    The texts are read once, for their digests. Which digest came first only matters for ids with
+    several; these are few, and every step combines before it shuffles, so a hot id is no problem.
     """
-    copies = _copies(docs)
-    first = copies.groupBy("document_id").agg(F.min_by("content_digest", "position").alias("_first"))
+    copies = cut_lineage(_copies(docs), "copies")
+    several = copies.groupBy("document_id").agg(
+        F.min_by("content_digest", "position").alias("_first"), F.count("*").alias("_n")
+    ).filter(F.col("_n") > 1)
     known = ledger.select("document_id", F.col("content_digest").alias("_done"))
-    joined = copies.join(first, "document_id").join(known, "document_id", "left")
+    joined = copies.join(several, "document_id", "left").join(known, "document_id", "left")
+    first = F.coalesce("_first", "content_digest")
     verdict = (
         F.when(F.col("_done") == F.col("content_digest"), UNCHANGED)
         .when(F.col("_done").isNotNull(), CHANGED)
-        .when(F.col("content_digest") == F.col("_first"), NEW)
+        .when(F.col("content_digest") == first, NEW)
         .otherwise(CHANGED)
     )
     return joined.select("document_id", "content_digest", "position", "copies", verdict.alias("verdict"))
 
 
 def new_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The wide rows of new documents, one per id."""
-    fresh = verdicts.filter(F.col("verdict") == NEW).select("document_id", "content_digest", "position")
-    return docs.join(fresh, ["document_id", "content_digest", "position"], "left_semi")
+    """The wide rows of new documents, one per id. `verdicts` should be a stored table.
+
+    Texts are shuffled only if they must be: a small set of new documents, or a small set of
+    exceptions among mostly new ones, is broadcast after its size was counted.
+    """
+    key = ["document_id", "content_digest"]
+    fresh = F.col("verdict") == NEW
+    exception = ~fresh | (F.col("copies") > 1)
+    n_fresh, n_exceptions = verdicts.agg(F.count_if(fresh), F.count_if(exception)).first()
+    wanted = verdicts.filter(fresh).select(*key, "position")
+    if n_fresh <= MAX_BROADCAST_KEYS:
+        return docs.join(F.broadcast(wanted), [*key, "position"], "left_semi")
+    if n_exceptions <= MAX_BROADCAST_KEYS:
+        odd = verdicts.filter(exception).select(*key, F.when(fresh, F.col("position")).alias("_keep"), F.lit(True).alias("_odd"))
+        marked = docs.join(F.broadcast(odd), key, "left")
+        return marked.filter(F.col("_odd").isNull() | (F.col("position") == F.col("_keep"))).drop("_keep", "_odd")
+    return docs.join(wanted, [*key, "position"], "left_semi")
 
 
 def conflicts(verdicts: DataFrame) -> DataFrame:
@@ -67,8 +88,16 @@ def ingest_counts(verdicts: DataFrame) -> DataFrame:
 
 
 def unseen_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id is not there yet, one per id."""
-    return distinct_chunks(chunks).join(existing.select("id"), "id", "left_anti")
+    """Chunks whose id is not there yet, one per id.
+
+    The ids already there are found over narrow columns; they are few when the documents are new,
+    and then the texts need no shuffle.
+    """
+    seen = checked_keys(chunks.select("id").join(existing.select("id"), "id", "left_semi").distinct())
+    fresh = chunks
+    if seen.rows:
+        fresh = chunks.join(F.broadcast(seen.keys) if seen.small else seen.keys, "id", "left_anti")
+    return distinct_chunks(fresh)
 
 
 def compare_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
@@ -88,8 +117,12 @@ def compare_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def chunks_to_add(chunks: DataFrame, compared: DataFrame) -> DataFrame:
-    added = compared.filter(F.col("action") == ADD).select("id")
-    return distinct_chunks(chunks.join(added, "id", "left_semi"))
+    """The wide rows to add, one per id; ids to leave out are broadcast when they are few."""
+    left_out = checked_keys(compared.filter(F.col("action") != ADD).select("id"))
+    if not left_out.rows:
+        return distinct_chunks(chunks)
+    side = F.broadcast(left_out.keys) if left_out.small else left_out.keys
+    return distinct_chunks(chunks.join(side, "id", "left_anti"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

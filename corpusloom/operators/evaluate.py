@@ -89,12 +89,12 @@ def by_label(records: DataFrame, queries: DataFrame, label: str = "label", **lay
     query that is itself a record names its position and is left out of its own ranking.
     """
     items, asked = _items(records, label), _queries(queries, label)
-    top, _ = blocked.top_k(items, asked, EvaluationScorer(), RECALL_DEPTH, _query_size(), **layout)
+    top, bound = blocked.top_k(items, asked, EvaluationScorer(), RECALL_DEPTH, _query_size(), **layout)
     first, _ = blocked.top_k(items, asked, EvaluationScorer(same_label=True), 1, _query_size(), **layout)
     marks = first.select("query_id", F.col("id").alias("mark_id"), F.col("score").alias("mark_score"))
     ranks = rank_of(items, asked, marks, **layout)
 
-    labelled = top.join(items.select("id", F.col("label").alias("_found")), "id").select("query_id", "rank", "_found")
+    labelled = blocked.attach(top, bound, items.withColumnRenamed("label", "_found"), ["_found"]).select("query_id", "rank", "_found")
     hits = asked.select("query_id", "label").join(labelled, "query_id").groupBy("query_id").agg(
         F.count_if((F.col("rank") == 1) & (F.col("_found") == F.col("label"))).alias("top1_hits"),
         F.count_if(F.col("_found") == F.col("label")).alias("top3_hits"),

@@ -56,7 +56,7 @@ def append_lexical(chunks: DataFrame, path: str, source: str = "") -> DataFrame:
     existing = spark.read.parquet(f"{path}/chunks")
     fresh = delta.unseen_chunks(chunks, existing).select(*existing.columns)
     fresh = cut_lineage(fresh, "append")  # evaluated against the index as it was
-    terms = lexical.term_table(fresh)
+    terms = cut_lineage(lexical.term_table(fresh), "terms")
     terms.write.mode("append").parquet(f"{path}/terms")
     write_postings(terms, f"{path}/postings", "append")
     fresh.write.mode("append").parquet(f"{path}/chunks")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,26 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+MAX_BROADCAST_KEYS = 1_000_000  # at some 100 bytes a key
+
+
+class CheckedKeys(NamedTuple):
+    """A key table evaluated once, with its number of rows."""
+
+    keys: DataFrame
+    rows: int
+
+    @property
+    def small(self) -> bool:
+        return self.rows <= MAX_BROADCAST_KEYS
+
+
+def checked_keys(keys: DataFrame) -> CheckedKeys:
+    """Evaluate a narrow key table once and count it, to decide whether it may be broadcast."""
+    stored = cut_lineage(keys, "keys")
+    return CheckedKeys(stored, stored.count())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system its scheme names."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

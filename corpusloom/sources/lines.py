@@ -1,8 +1,8 @@
-"""Physical line numbers and corpus positions without a global sort of the texts.
+"""Physical line numbers and corpus positions without moving the texts.
 
-A task reads a file block in order, so `monotonically_increasing_id` counts the lines of a block;
-the number of lines before the block comes from a small table of block sizes. The text itself is
-never shuffled.
+A task reads a file block in order, so `monotonically_increasing_id` counts the rows of a block; how
+many rows lie before the block comes from a small table of block sizes. That table is evaluated once,
+counted, and broadcast while it is small.
 """
 
 from __future__ import annotations
@@ -10,40 +10,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut_lineage
+from corpusloom.session import checked_keys, cut_lineage
 
-MAX_BROADCAST_BLOCKS = 200_000
-_BLOCK = ("path", "block")
+_BLOCK = ["path", "block"]
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """`(path, block, mark, value)` of line files; `mark` grows with the line inside a block.
-
-    Lines end at LF, CR or CR LF.
-    """
+    """`(path, block, value)` of line files, in file order inside a block. Lines end at LF, CR or CR LF."""
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mark"),
-        F.col("value"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
 
 
+def _count_rows(rows: DataFrame, name: str, first: int, across_files: bool) -> tuple[DataFrame, bool]:
+    """Number rows that are still in scan order; also whether they stayed where they were."""
+    marked = rows.withColumn("_mark", F.monotonically_increasing_id())
+    blocks = marked.groupBy(*_BLOCK).agg(F.min("_mark").alias("_first"), F.count("*").alias("_n"))
+    order = Window.orderBy(*_BLOCK) if across_files else Window.partitionBy("path").orderBy("block")
+    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = checked_keys(blocks.select(*_BLOCK, (before - F.col("_first") + first).alias("_offset")))
+    side = F.broadcast(offsets.keys) if offsets.small else offsets.keys
+    numbered = marked.join(side, _BLOCK).withColumn(name, F.col("_mark") + F.col("_offset"))
+    return numbered.drop("_mark", "_offset"), offsets.small
+
+
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add the 1-based physical `line` of the file, blank lines counted."""
-    blocks = lines.groupBy(*_BLOCK).agg(F.min("mark").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(
-            Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    offsets = cut_lineage(blocks.select(*_BLOCK, "_first", before.alias("_before")), "blocks")
-    if offsets.count() <= MAX_BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)  # some 100 bytes a block; the lines then stay where they are
-    return lines.join(offsets, list(_BLOCK)).select(
-        "path", (F.col("_before") + F.col("mark") - F.col("_first") + 1).alias("line"), "value"
-    )
+    return _count_rows(lines, "line", 1, across_files=False)[0]
+
+
+def number_kept(lines: DataFrame, keep, name: str = "position") -> DataFrame:
+    """`keep(numbered lines)` with the 0-based position of every remaining row over all files.
+
+    `keep` may filter and project, but not reorder; it has to keep `path`, `block` and `line`.
+    """
+    numbered, in_order = _count_rows(lines, "line", 1, across_files=False)
+    kept = keep(numbered)
+    if in_order:
+        return _count_rows(kept, name, 0, across_files=True)[0]
+    return with_positions(kept, ["path", "line"], [F.col("path"), F.col("line")], name)
 
 
 def with_positions(rows: DataFrame, keys: list[str], order: list[Column], name: str = "position") -> DataFrame:
@@ -60,8 +65,8 @@ def with_positions(rows: DataFrame, keys: list[str], order: list[Column], name:
     before = F.coalesce(
         F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )  # one row per sorted piece: a few thousand at most
-    offsets = pieces.select("_piece", "_first", before.alias("_before"))
-    numbered = stored.join(offsets, "_piece").select(
-        *keys, (F.col("_before") + F.col("_mark") - F.col("_first")).alias(name)
+    offsets = pieces.select("_piece", (before - F.col("_first")).alias("_offset"))
+    numbered = checked_keys(
+        stored.join(offsets, "_piece").select(*keys, (F.col("_mark") + F.col("_offset")).alias(name))
     )
-    return rows.join(numbered, keys)
+    return rows.join(F.broadcast(numbered.keys) if numbered.small else numbered.keys, keys)
