@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import wikitext as wt
 from corpusloom.operators import wiki
 from corpusloom.session import path_exists, scratch_path
-from corpusloom.sources import wiki_dump
+from corpusloom.sources import fingerprints, wiki_dump
 
 ARTICLE_DDL = (
     "id STRING, title STRING, text STRING, source STRING, url STRING, metadata STRUCT<page_id: BIGINT, "
@@ -44,9 +44,12 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def prepare(
     spark: SparkSession, dump_path: str, output: str, options: wiki.WikiOptions = wiki.WikiOptions(),
-    resume: bool = False, force: bool = False,
+    resume: bool = False, force: bool = False, sha256: str | None = None, sha1: str | None = None,
 ) -> DataFrame:
-    """Run the job and return its summary row. `output` holds `articles`, `errors` and `summary`."""
+    """Run the job and return its summary row. `output` holds `articles`, `errors` and `summary`.
+
+    An expected checksum is compared before anything is read (dump files below 2 GiB).
+    """
     articles, summaries = f"{output}/articles", f"{output}/summary"
     wanted = config_row(dump_path, output, options)
     if path_exists(spark, summaries) and not force:
@@ -56,6 +59,8 @@ def prepare(
         differing = config_mismatches(stored.asDict(), wanted)
         if differing:
             raise ValueError("cannot resume, different " + ", ".join(differing))
+    if sha256 or sha1:
+        _check_digest(spark, dump_path, sha256, sha1)
     pages = wiki_dump.read_pages(spark, dump_path)
     if resume and path_exists(spark, articles):
         done = read_articles(spark, articles).select(F.col("metadata.page_id").alias("page_id"))
@@ -79,6 +84,13 @@ def prepare(
     return spark.read.parquet(summaries).orderBy(F.col("finished_at").desc()).limit(1)
 
 
+def _check_digest(spark: SparkSession, path: str, sha256: str | None, sha1: str | None) -> None:
+    actual = fingerprints.file_digests(spark, path).first()
+    for name, wanted in (("sha256", sha256), ("sha1", sha1)):
+        if wanted and actual[name] != wanted.lower():
+            raise ValueError(f"{name} mismatch for {path}: expected {wanted.lower()}, got {actual[name]}")
+
+
 def _stage(spark: SparkSession, pages: DataFrame, options: wiki.WikiOptions) -> DataFrame:
     path = scratch_path(spark, "wiki-pages")
     disposed = wiki.dispose(pages, options)

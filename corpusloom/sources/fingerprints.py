@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import table_bytes
 from corpusloom.sources.text_files import local_name, require_rows
 
 MAX_LISTED_FILES = 100_000
+MAX_HASHED_BYTES = 1 << 30
 _PIECES = 4
 _PIECE_DIGITS = 15  # hex digits that fit a signed 64-bit number
 
@@ -34,6 +36,13 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None, recurs
     )
 
 
+def source_file_fingerprint(spark: SparkSession, path: str, max_bytes: int = MAX_HASHED_BYTES) -> str:
+    """SHA-256 of one file; beyond what a cell can hold, the digest of its lines as a table."""
+    if table_bytes(spark, path) <= max_bytes:
+        return file_digests(spark, path).first()["sha256"]
+    return table_fingerprint(spark.read.text(path), ["value"]).first()["fingerprint"]
+
+
 def text_tree_fingerprint(spark: SparkSession, root: str, max_listed: int = MAX_LISTED_FILES) -> DataFrame:
     """One row `(fingerprint, kind, file_count, total_bytes)` of the `.txt` files below `root`.
 
