@@ -210,11 +210,11 @@ def lex_append(spark, sf_dir):
     rows = cut_lineage(chunks(spark, sf_dir), "chunks")
     index_store.build_lexical(_labelled(spark, sf_dir, rows), path)
     index_store.append_lexical(rows, path)
-    meta = index_store.index_stats(spark, path).select("chunk_count")
+    counted = index_store.index_stats(spark, path).first()["chunk_count"]
     totals = spark.read.parquet(f"{path}/postings").agg(
         F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("token").alias("vocabulary")
     )
-    return totals.join(F.broadcast(meta), F.lit(True))  # one row each
+    return totals.withColumn("chunk_count", F.lit(counted).cast("bigint"))
 
 
 @query("vec_append", f"""WITH {SQL_CHUNKS}, stored AS (
@@ -243,9 +243,9 @@ SELECT 'simple' AS backend, (SELECT count(*) FROM chunks) AS chunk_count, (SELEC
 def chunk_and_index(spark, sf_dir):
     path = scratch(spark, "lexical")
     meta = index_store.build_lexical(chunks(spark, sf_dir), path).select("backend", "chunk_count")
-    sources = spark.read.parquet(f"{path}/chunks").agg(F.count_distinct("source").alias("source_count"))
-    postings = spark.read.parquet(f"{path}/postings").agg(F.count("*").alias("postings"))
-    return meta.join(F.broadcast(sources), F.lit(True)).join(F.broadcast(postings), F.lit(True))
+    sources = spark.read.parquet(f"{path}/chunks").agg(F.count_distinct("source")).first()[0]
+    postings = spark.read.parquet(f"{path}/postings").count()
+    return meta.withColumns({"source_count": F.lit(sources).cast("bigint"), "postings": F.lit(postings).cast("bigint")})
 
 
 # catalog ------------------------------------------------------------------------------------------

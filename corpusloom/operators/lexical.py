@@ -19,6 +19,8 @@ from corpusloom.operators import blocked
 # Ten times the base score of a present token, and of one occurrence.
 BASE_SCORE_10 = 10
 COUNT_SCORE_10 = 1
+MAX_LOOKUP_WORDS = 500
+MAX_LOOKUP_QUERIES = 50
 _UNIT_PER_TENTH = blocked.SCORE_UNIT // 10
 
 
@@ -149,9 +151,38 @@ def search(
     return blocked.top_k(terms, asked, TermScorer(), k, size, **layout)
 
 
+def lookup(posting_rows: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, int] | None:
+    """`search` by way of the postings, for few queries; None when they are more or too wordy.
+
+    The words are counted first and then become a filter of the postings scan: the table is sorted by
+    token, so most row groups are skipped. Every matching (query, chunk) pair is shuffled, which a
+    handful of queries can afford and a large table of them cannot.
+    """
+    check_limit(k)
+    n_queries = queries.limit(MAX_LOOKUP_QUERIES + 1).count()
+    if n_queries > MAX_LOOKUP_QUERIES:
+        return None
+    asked = query_terms(queries)
+    words = asked.select("token").distinct().limit(MAX_LOOKUP_WORDS + 1).toPandas()["token"].tolist()
+    if len(words) > MAX_LOOKUP_WORDS:
+        return None
+    found = all_scores(posting_rows.filter(F.col("token").isin(words)), asked)
+    return blocked.rank_rows(found.withColumnRenamed("chunk_id", "id"), k), n_queries * k
+
+
 def search_chunks(terms: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, **layout: int) -> DataFrame:
     """`search` with the columns of a search result: rank, score, id, title, source, chunk_index, text."""
-    ranked, bound = search(terms, queries, k, **layout)
+    return _with_texts(search(terms, queries, k, **layout), chunks)
+
+
+def lookup_chunks(posting_rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame | None:
+    """`lookup` with the columns of a search result."""
+    found = lookup(posting_rows, queries, k)
+    return None if found is None else _with_texts(found, chunks)
+
+
+def _with_texts(found: tuple[DataFrame, int | None], chunks: DataFrame) -> DataFrame:
+    ranked, bound = found
     return blocked.attach(ranked, bound, chunks, ["title", "source", "chunk_index", "text"]).select(
         "query_id", "rank", "score", "id", "title", "source", "chunk_index", "text"
     )

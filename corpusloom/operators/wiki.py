@@ -82,10 +82,9 @@ def article_records(disposed: DataFrame, options: WikiOptions = WikiOptions()) -
 
 def first_emitted(disposed: DataFrame, limit: int) -> DataFrame:
     """The pages up to the `limit`-th emitted one, in page id order (a scan has no dump order)."""
-    chosen = disposed.filter(F.col("disposition") == EMITTED).orderBy("page_id").limit(limit)
-    last = chosen.agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-    bounded = disposed.join(F.broadcast(last), F.expr(f"_n < {limit} OR page_id <= _last"))
-    return bounded.drop("_last", "_n")
+    chosen = disposed.filter(F.col("disposition") == EMITTED).select("page_id").orderBy("page_id").limit(limit)
+    n, last = chosen.agg(F.count("*"), F.max("page_id")).first()
+    return disposed if n < limit else disposed.filter(F.col("page_id") <= last)
 
 
 def counters(disposed: DataFrame) -> DataFrame:

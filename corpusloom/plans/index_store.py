@@ -136,13 +136,18 @@ def read_identity(spark: SparkSession, path: str) -> EmbeddingIdentity | None:
 def search_index(
     spark: SparkSession, path: str, queries: DataFrame, k: int = 5, identity: EmbeddingIdentity | None = None, embed=None
 ) -> DataFrame:
-    """Search an index by whatever it was built for."""
+    """Search an index by whatever it was built for.
+
+    A few short questions to a lexical index go through the sorted postings, more of them through
+    one scan of the term table; the results are the same.
+    """
     lexical.check_limit(k)
     backend = index_stats(spark, path).first()["backend"]
     if backend == LEXICAL:
-        found = lexical.search_chunks(
-            spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/chunks"), queries, k
-        )
+        chunks = spark.read.parquet(f"{path}/chunks")
+        found = lexical.lookup_chunks(spark.read.parquet(f"{path}/postings"), chunks, queries, k)
+        if found is None:
+            found = lexical.search_chunks(spark.read.parquet(f"{path}/terms"), chunks, queries, k)
         return found.withColumn("score_semantics", F.lit("lexical_term_frequency"))
     stored = read_identity(spark, path)
     if stored is None:

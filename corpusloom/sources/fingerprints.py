@@ -60,9 +60,9 @@ def text_tree_fingerprint(spark: SparkSession, root: str, max_listed: int = MAX_
     )
     rows = files.select(F.split("rel", "/").alias("parts"), entry.alias("entry"), "size")
     if rows.select("size").count() > max_listed:
-        total = rows.agg(F.sum("size").alias("total_bytes"))
+        total = rows.agg(F.sum("size")).first()[0]
         summed = table_fingerprint(rows, ["entry"]).withColumnRenamed("row_count", "file_count")
-        return summed.join(F.broadcast(total), F.lit(True))  # one row each
+        return summed.withColumn("total_bytes", F.lit(total))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("parts", "entry"))), lambda e: e["entry"])
     return rows.agg(
         F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("fingerprint"),

@@ -56,6 +56,18 @@ def test_all_scores_equal_search(spark):
     assert left == {(r["query_id"], r["id"]): round(r["score"], 9) for r in every.collect()}
 
 
+def test_lookup_equals_search(spark):
+    chunks = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts(80, 9))], "id string, text string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts(15, 10))], "query_id int, text string")
+    terms = lexical.term_table(chunks)
+    looked_up, bound = lexical.lookup(lexical.postings(terms), queries, 4)
+    searched, _ = lexical.search(terms, queries, 4)
+    key = lambda rows: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in rows.collect()}
+    assert key(looked_up) == key(searched) and bound == 60
+    many = queries.select("text", F.explode(F.sequence(F.col("query_id") * 10, F.col("query_id") * 10 + 9)).alias("query_id"))
+    assert lexical.lookup(lexical.postings(terms), many, 4) is None
+
+
 def test_term_counts(spark):
     rows = spark.createDataFrame([("a", "b a b B c2"), ("b", "--")], "id string, text string")
     found = {r["id"]: dict(zip(r["tokens"], r["tfs"])) for r in lexical.term_table(rows).collect()}
