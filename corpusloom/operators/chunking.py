@@ -73,14 +73,14 @@ def chunk_documents(
     return _chunk_rows(docs, tx.document_slug("document_id"), size, overlap, keep)
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id, without shuffling the texts.
+def distinct_chunks(chunks: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row per chunk id, without shuffling the texts. `ids`: the chunks' ids where they are stored.
 
     Only the ids are shuffled to find those that occur more than once. These are few (equal content
     of documents whose ids share a slug), so the other rows are written where they lie and only the
     repeated ones are reduced. `keep_one` does the same for any number of them.
     """
-    repeated = chunks.groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("id")
+    repeated = (chunks if ids is None else ids).groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1).select("id")
     known = checked_keys(repeated)
     if known.rows == 0:
         return chunks

@@ -87,17 +87,24 @@ def ingest_counts(verdicts: DataFrame) -> DataFrame:
     )
 
 
-def unseen_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
-    """Chunks whose id is not there yet, one per id.
+def unseen_chunks(chunks: DataFrame, existing: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Chunks whose id is not there yet, one per id. `ids`: the chunks' ids where they are stored.
 
     The ids already there are found over narrow columns; they are few when the documents are new,
     and then the texts need no shuffle.
     """
-    seen = checked_keys(chunks.select("id").join(existing.select("id"), "id", "left_semi").distinct())
-    fresh = chunks
-    if seen.rows:
-        fresh = chunks.join(F.broadcast(seen.keys) if seen.small else seen.keys, "id", "left_anti")
-    return distinct_chunks(fresh)
+    ids = chunks.select("id") if ids is None else ids.select("id")
+    return _without(chunks, ids, ids.join(existing.select("id"), "id", "left_semi").distinct())
+
+
+def _without(chunks: DataFrame, ids: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Chunks with other ids than `excluded`, one per id; few exclusions are broadcast."""
+    known = checked_keys(excluded)
+    if not known.rows:
+        return distinct_chunks(chunks, ids)
+    side = F.broadcast(known.keys) if known.small else known.keys
+    left = ids.join(side, "id", "left_anti")
+    return distinct_chunks(chunks.join(side, "id", "left_anti"), left)
 
 
 def compare_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
@@ -116,13 +123,10 @@ def compare_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return mine.join(theirs, "id", "left").select("id", "sha256", action.alias("action"))
 
 
-def chunks_to_add(chunks: DataFrame, compared: DataFrame) -> DataFrame:
-    """The wide rows to add, one per id; ids to leave out are broadcast when they are few."""
-    left_out = checked_keys(compared.filter(F.col("action") != ADD).select("id"))
-    if not left_out.rows:
-        return distinct_chunks(chunks)
-    side = F.broadcast(left_out.keys) if left_out.small else left_out.keys
-    return distinct_chunks(chunks.join(side, "id", "left_anti"))
+def chunks_to_add(chunks: DataFrame, compared: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """The wide rows to add, one per id. `ids`: the chunks' ids where they are stored."""
+    ids = chunks.select("id") if ids is None else ids.select("id")
+    return _without(chunks, ids, compared.filter(F.col("action") != ADD).select("id"))
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:

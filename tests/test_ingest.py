@@ -215,3 +215,33 @@ def test_workspace_round_trip(spark, tmp_path):
     assert other.delete("second") is True and other.catalog().count() == 1
     with pytest.raises(KeyError):
         other.delete("second")
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3, 0])
+def test_key_limits_do_not_change_results(spark, tmp_path, monkeypatch, limit):
+    """Broadcast keys, broadcast exceptions and plain shuffles give the same rows."""
+    from corpusloom import session
+    from corpusloom.operators import chunking
+    from corpusloom.sources import jsonl
+
+    monkeypatch.setattr(delta, "MAX_BROADCAST_KEYS", limit)
+    monkeypatch.setattr(session, "MAX_BROADCAST_KEYS", limit)
+    rows = [(f"d{i}", f"text {i}") for i in range(10)] + [("d0", "text 0"), ("d1", "other"), ("d_2", "text 2"), ("d:2", "text 2")]
+    docs = make_docs(spark, rows)
+    ledger = spark.createDataFrame([("d9", hashlib.sha256(b"text 9").hexdigest(), "")], "document_id string, content_digest string, completed_at string")
+    verdicts = delta.classify(docs, ledger)
+    fresh = delta.new_documents(docs, verdicts)
+    assert sorted(r["position"] for r in fresh.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 13]
+    chunks = chunking.chunk_documents(fresh)
+    unique = chunking.distinct_chunks(chunks)
+    assert unique.count() == 10 and unique.select("id").distinct().count() == 10  # d_2 and d:2 share a chunk id
+    existing = chunks.filter("document_id in ('d3', 'd4')").select("id", "sha256")
+    assert delta.unseen_chunks(chunks, existing).count() == 8
+    compared = delta.compare_chunks(chunks, existing)
+    assert delta.chunks_to_add(chunks, compared).count() == 8
+    path = tmp_path / "c.jsonl"
+    path.write_text("\n".join(json.dumps({"text": t}) if i % 3 else "" for i, (_, t) in enumerate(rows)))
+    found, _ = jsonl.read_corpus_jsonl(spark, str(path))
+    assert [(r["position"], r["title"]) for r in found.orderBy("position").collect()] == [
+        (at, f"line-{i + 1}") for at, i in enumerate(i for i in range(len(rows)) if i % 3)
+    ]
