@@ -72,6 +72,17 @@ def test_interrupted_run_needs_resume_with_same_settings(spark, store):
         ingest.run(store, docs, config(chunk_size=500), resume=True)
 
 
+def test_a_batch_lost_before_its_ledger_is_done_over(spark, store):
+    settings, docs = config(), make_docs(spark, DOCS)
+    run_id = settings.run_id()
+    torn = spark.createDataFrame([("one:000000:x", "t", "src", 0, "left over", "x")], "id string, title string, source string, chunk_index int, text string, sha256 string")
+    store.put(torn, f"chunks/slug=idx/run_id={run_id}/batch=0000")
+    store.put(ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3), f"runs/state={run_id}-0000-running")
+    ingest.run(store, docs, settings, resume=True)
+    ids = {r["id"] for r in store.chunks("idx").collect()}
+    assert len(ids) == 5 and ids == {r["id"] for r in store.terms("idx").collect()}
+
+
 def test_a_repeated_batch_overwrites_itself(spark, store):
     settings, docs = config(), make_docs(spark, DOCS)
     for _ in range(2):
