@@ -17,7 +17,11 @@ _BLOCK = ["path", "block"]
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """`(path, block, value)` of line files, in file order inside a block. Lines end at LF, CR or CR LF."""
-    return spark.read.text(path).select(
+    return lines_of(spark.read.text(path))
+
+
+def lines_of(text: DataFrame) -> DataFrame:
+    return text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
     )
 

@@ -159,6 +159,17 @@ def test_stream_equals_batch_and_survives_a_replay(spark, store, tmp_path):
     assert store.chunks("idx").count() == 6  # a lost stream state re-reads everything and adds nothing
 
 
+def test_stream_of_json_lines(spark, store, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, rows in (("a", [{"id": "one", "text": "x"}, {"id": "two", "content": "y"}]), ("b", [{"id": "three", "text": "z"}])):
+        (tmp_path / f"in/{name}.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\nbroken\n")
+    settings = config(continue_on_error=True)
+    lines = ingest_stream.line_stream(spark, str(tmp_path / "in"), 1)
+    ingest_stream.start(store, lines, settings, str(tmp_path / "state")).awaitTermination()
+    assert {r["document_id"] for r in store.ledger(settings.run_id()).collect()} == {"one", "two", "three"}
+    assert sorted(e["message"] for e in store.errors(settings.run_id()).collect()) == ["malformed_json on line 2", "malformed_json on line 3"]
+
+
 def test_run_table(spark):
     rows = [("r1", "2024-01-01", 1, 4), ("r2", "2024-01-02", 2, 0), ("r3", "2024-01-02", 1, 3)]
     runs = spark.createDataFrame(rows, "run_id string, updated_at string, records_completed long, estimated_records long")
