@@ -6,12 +6,13 @@ the toxic ones among them were completed with an older text.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import SQL_CHUNKS, SQL_DOCS, SQL_TERMS, chunks, documents, query, scratch, table
 from corpusloom.functions import text as tx
 from corpusloom.operators import catalog as cat
-from corpusloom.operators import delta, lexical
+from corpusloom.operators import delta
 from corpusloom.plans import index_store, ingest
 from corpusloom.plans.workspace import Workspace, inline_sources
 from corpusloom.session import cut_lineage
@@ -299,8 +300,6 @@ def catalog_counts(spark, sf_dir):
 
 @query("catalog_list", f"WITH {_SQL_CATALOG} SELECT row_number() OVER (ORDER BY updated_at DESC, slug) AS place, slug, updated_at FROM catalog")
 def catalog_list(spark, sf_dir):
-    from pyspark.sql import Window
-
     listed = cat.list_newest(_catalog(spark, sf_dir))
     place = F.row_number().over(Window.orderBy(F.col("updated_at").desc(), "slug"))  # the catalog: one row per index
     return listed.select(place.cast("long").alias("place"), "slug", "updated_at")

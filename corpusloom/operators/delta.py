@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunking import distinct_chunks
-from corpusloom.session import MAX_BROADCAST_KEYS, checked_keys, cut_lineage
+from corpusloom.session import checked_keys, cut_lineage, key_bytes, may_broadcast
 
 NEW, UNCHANGED, CHANGED = "new", "unchanged", "changed"
 ADD, SKIP, CONFLICT = "add", "skip", "conflict"
@@ -53,11 +53,15 @@ def new_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     key = ["document_id", "content_digest"]
     fresh = F.col("verdict") == NEW
     exception = ~fresh | (F.col("copies") > 1)
-    n_fresh, n_exceptions = verdicts.agg(F.count_if(fresh), F.count_if(exception)).first()
+    size = key_bytes(*key, "position")
+    n_fresh, fresh_size, n_odd, odd_size = verdicts.agg(
+        F.count_if(fresh), F.coalesce(F.sum(F.when(fresh, size)), F.lit(0)),
+        F.count_if(exception), F.coalesce(F.sum(F.when(exception, size)), F.lit(0)),
+    ).first()
     wanted = verdicts.filter(fresh).select(*key, "position")
-    if n_fresh <= MAX_BROADCAST_KEYS:
+    if may_broadcast(n_fresh, fresh_size):
         return docs.join(F.broadcast(wanted), [*key, "position"], "left_semi")
-    if n_exceptions <= MAX_BROADCAST_KEYS:
+    if may_broadcast(n_odd, odd_size):
         odd = verdicts.filter(exception).select(*key, F.when(fresh, F.col("position")).alias("_keep"), F.lit(True).alias("_odd"))
         marked = docs.join(F.broadcast(odd), key, "left")
         return marked.filter(F.col("_odd").isNull() | (F.col("position") == F.col("_keep"))).drop("_keep", "_odd")

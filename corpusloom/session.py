@@ -8,7 +8,8 @@ import zipfile
 from pathlib import Path
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,24 +64,32 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-MAX_BROADCAST_KEYS = 1_000_000  # at some 100 bytes a key
+MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_KEY_BYTES = 128 << 20
+
+
+def may_broadcast(rows: int, size: int) -> bool:
+    return rows <= MAX_BROADCAST_KEYS and size <= MAX_BROADCAST_KEY_BYTES
+
+
+def key_bytes(*columns: str) -> Column:
+    """Bytes of one row of keys, as text."""
+    return sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(8))
 
 
 class CheckedKeys(NamedTuple):
-    """A key table evaluated once, with its number of rows."""
+    """A key table evaluated once, with its rows and whether it may be broadcast."""
 
     keys: DataFrame
     rows: int
-
-    @property
-    def small(self) -> bool:
-        return self.rows <= MAX_BROADCAST_KEYS
+    small: bool
 
 
 def checked_keys(keys: DataFrame) -> CheckedKeys:
-    """Evaluate a narrow key table once and count it, to decide whether it may be broadcast."""
+    """Evaluate a narrow key table once and measure it, to decide whether it may be broadcast."""
     stored = cut_lineage(keys, "keys")
-    return CheckedKeys(stored, stored.count())
+    rows, size = stored.agg(F.count("*"), F.coalesce(F.sum(key_bytes(*stored.columns)), F.lit(0))).first()
+    return CheckedKeys(stored, rows, may_broadcast(rows, size))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

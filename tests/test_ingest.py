@@ -246,7 +246,6 @@ def test_key_limits_do_not_change_results(spark, tmp_path, monkeypatch, limit):
     from corpusloom.operators import chunking
     from corpusloom.sources import jsonl
 
-    monkeypatch.setattr(delta, "MAX_BROADCAST_KEYS", limit)
     monkeypatch.setattr(session, "MAX_BROADCAST_KEYS", limit)
     rows = [(f"d{i}", f"text {i}") for i in range(10)] + [("d0", "text 0"), ("d1", "other"), ("d_2", "text 2"), ("d:2", "text 2")]
     docs = make_docs(spark, rows)

@@ -5,8 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from corpusloom.functions import wikitext as wt
 from corpusloom.operators import wiki
 from corpusloom.plans import wiki_prepare
