@@ -32,8 +32,8 @@ from corpusloom.session import checked_keys, cut_lineage
 COORDINATES = 32
 MATCHES = 13
 LIST_ROWS = 64  # longer lists are cut into tiles
-TILE_ROWS = 256
-TILE_SHINGLES = 1 << 19
+TILE_ROWS = 1024
+TILE_SHINGLES = 1 << 21
 
 _FACTORS = sh.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _SHIFTS = sh.mixed(np.arange(101, COORDINATES + 101, dtype=np.uint64))
