@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.session import may_broadcast, ship_package
 
@@ -70,3 +71,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def sha256_joined(values: Column) -> Column:
     """Lowercase hex of the values of an array, in decimal and joined by commas."""
     return F.sha2(F.concat_ws(",", values.cast("array<string>")), 256)
+
+
+def extended(df: DataFrame, ddl: str) -> StructType:
+    """The schema of `df` with further fields."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
