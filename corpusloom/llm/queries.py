@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, decontaminate, minhash, token_counts, toxicity, vector_dups
+from corpusloom.llm import bpe, decontaminate, language, minhash, page_text, shards, token_counts, toxicity, url_rules, vector_dups
 from corpusloom.llm.common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,38 @@ def op5(spark, sf_dir):
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), chain)
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "spans")
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, "text", F.col("lang"))
+    return language.identify(docs, model, declared=F.col("lang"), host=F.col("source"))
+
+
+@query("language_of_pages")
+def language_of_pages(spark, sf_dir):
+    said = language.page_evidence()
+    pages = table(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in said.items()])
+    model = language.train(pages, "text", F.col("declared"))
+    return language.identify(pages, model, "page_id", declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"))
+
+
+@query("op4_sharding")
+def op4(spark, sf_dir):
+    sharded = shards.shuffled_shards(table(spark, sf_dir, "documents"), 16, seed=17)
+    return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op6_url_filter")
+def op6(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, rule_verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_html_main_text")
+def op10(spark, sf_dir):
+    return page_text.main_texts(table(spark, sf_dir, "pages"))
