@@ -256,6 +256,41 @@ def retrieval_smoke(spark, sf_dir):
     return rag.retrieval_check(lexical.search_chunks(terms, stored, questions), expected)
 
 
+_SQL_SCALED = """scaled AS (
+  SELECT vec_id, CASE vec_id % 50 WHEN 7 THEN NULL WHEN 8 THEN list_transform(embedding[1:3], lambda x: x::DOUBLE)
+         WHEN 9 THEN list_transform(embedding, lambda x: 'nan'::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE * 100000) END AS v
+  FROM embeddings),
+usable AS (SELECT vec_id, v FROM scaled WHERE vec_id % 50 NOT IN (7, 8, 9))"""
+
+
+def _scaled(spark, sf_dir):
+    """Long vectors, and in each fifty a null, a short and a NaN one."""
+    rows, kind = vectors(spark, sf_dir), F.col("position") % 50
+    long = F.transform("embedding", lambda x: x * 100000)
+    odd = F.when(kind == 8, F.slice("embedding", 1, 3)).when(kind == 9, F.transform("embedding", lambda x: F.lit(float("nan")))).when(kind != 7, long)
+    return vec.usable_vectors(rows.withColumn("embedding", odd), 64)
+
+
+@query("vec_search_l2", f"""WITH {_SQL_SCALED},
+s AS (SELECT q.vec_id AS query_id, 'v' || u.vec_id AS id, -list_sum(list_transform(list_zip(u.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score
+      FROM usable u, usable q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, rank, id, round(score / 1000000, 3) AS millions FROM r WHERE rank <= 5""")
+def vec_search_l2(spark, sf_dir):
+    """Squared distances far beyond nine digits, among vectors of which the unusable ones were set aside."""
+    good, _ = _scaled(spark, sf_dir)
+    asked = good.filter(F.col("position") % 20 == 0).select(F.col("position").alias("query_id"), "embedding")
+    found, _ = vec.search(good, asked, 5, vec.L2)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round(F.col("score") / 1000000, 3).alias("millions"))
+
+
+@query("vec_errors", """
+SELECT 'v' || vec_id AS id, CASE vec_id % 50 WHEN 7 THEN 'empty' WHEN 8 THEN 'dimension_mismatch' ELSE 'not_finite' END AS error_type
+FROM embeddings WHERE vec_id % 50 IN (7, 8, 9)""")
+def vec_errors(spark, sf_dir):
+    return _scaled(spark, sf_dir)[1]
+
+
 # evaluation ---------------------------------------------------------------------------------------
 _SQL_EVAL = """
 WITH s AS (

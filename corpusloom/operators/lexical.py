@@ -123,7 +123,7 @@ class TermScorer:
         for word in np.flatnonzero(pairs):
             q, c = _span(state["start"], word), _span(start, word)
             tenths[np.ix_(state["owner"][q], chunk[c])] += np.outer(state["weight"][q], value[c])
-        scored = np.rint(tenths).astype(np.int64)
+        scored = np.rint(tenths)
         return np.where(scored > 0, scored * _UNIT_PER_TENTH, blocked.NO_MATCH)
 
 

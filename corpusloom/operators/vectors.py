@@ -11,6 +11,7 @@ from pathlib import PurePosixPath
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,7 @@ SCORE_SEMANTICS = {
     DISTANCE: "distance_lower_is_better",
 }
 DEFAULT_EMBEDDING_BATCH = 16
+_SHORT = 1e4  # squared length up to which a difference of products is exact to nine digits
 
 
 @dataclass(frozen=True)
@@ -115,11 +117,24 @@ class VectorScorer:
         if self.mode == COSINE:
             scores = state @ vectors.T
         else:
-            scores = 2.0 * (state @ vectors.T) - (state**2).sum(axis=1)[:, None] - (vectors**2).sum(axis=1)
-        return np.rint(scores * blocked.SCORE_UNIT).astype(np.int64)
+            own, theirs = (state**2).sum(axis=1)[:, None], (vectors**2).sum(axis=1)
+            if max(own.max(initial=0.0), theirs.max(initial=0.0)) < _SHORT:
+                scores = 2.0 * (state @ vectors.T) - own - theirs
+            else:  # the products of long vectors are too large to leave nine digits in their difference
+                scores = np.stack([-((vectors - query) ** 2).sum(axis=1) for query in state])
+        return np.rint(scores * blocked.SCORE_UNIT)
 
     def _matrix(self, vectors: pa.Array) -> np.ndarray:
+        """Vectors as rows. Nulls, other sizes and values that are not finite are refused: they would
+        shift or poison the scores of others."""
+        sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        if len(sizes) and (sizes < 1).any():
+            raise ValueError("a vector is null or empty")
+        if len(sizes) and (sizes != sizes[0]).any():
+            raise ValueError("vectors differ in dimensions")
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if not np.isfinite(flat).all():
+            raise ValueError("a vector holds a null or a value that is not finite")
         matrix = flat.reshape(len(vectors), -1)
         if self.mode == COSINE:
             length = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -127,12 +142,20 @@ class VectorScorer:
         return matrix
 
 
+def usable_vectors(vectors: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose `embedding` can be searched, and error rows `(id, error_type)` of the others."""
+    marked = vectors.withColumn("_error", vx.vector_error("embedding", dimensions))
+    bad = marked.filter(F.col("_error").isNotNull()).select("id", F.col("_error").alias("error_type"))
+    return marked.filter(F.col("_error").isNull()).drop("_error"), bad
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 10, mode: str = COSINE, **layout: int
 ) -> tuple[DataFrame, int | None]:
     """The k nearest vectors of every query: `(query_id, id, score, rank)`.
 
-    Exact. Vectors are read where they lie when the queries can be broadcast (see `blocked`).
+    Exact. Vectors that are null, not finite or of another size are an error; `usable_vectors` parts
+    them from the others first. Vectors are read where they lie when the queries can be broadcast (see `blocked`).
     """
     check_limit(k)
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))

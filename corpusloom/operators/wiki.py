@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,13 @@ class WikiOptions:
     min_text_chars: int = 100
     limit: int | None = None
     continue_on_error: bool = False
+    normalizer: Callable[..., DataFrame] | None = None  # as `wikitext.clean`; None: that one
+    normalizer_version: str = wt.NORMALIZER_VERSION
+    # no limits unless given: nesting and work of the clean-up, bytes of a revision, characters of a message
+    max_depth: int | None = None
+    max_steps: int | None = None
+    max_revision_bytes: int | None = None
+    max_message_chars: int | None = None
 
     def __post_init__(self) -> None:
         if self.min_text_chars < 0:
@@ -48,11 +56,16 @@ def dispose(pages: DataFrame, options: WikiOptions = WikiOptions()) -> DataFrame
 
     Cheap rules come first, and the text of pages they decide is blanked before the Python stages.
     """
+    if options.max_revision_bytes is not None:
+        too_large = F.octet_length("revision_text") > options.max_revision_bytes
+        pages = pages.withColumn("error", F.coalesce("error", F.when(too_large, "text_too_large")))
     marked = pages.withColumn("_early", _early_disposition(options))
     needs_text = F.col("_early").isNull() & F.col("redirect_target").isNull()
-    cleaned = wt.clean(
-        marked.withColumn("_raw", F.when(needs_text, F.col("revision_text"))).drop("revision_text"), "_raw"
-    )
+    marked = marked.withColumn("_raw", F.when(needs_text, F.col("revision_text"))).drop("revision_text")
+    if options.normalizer is None:
+        cleaned = wt.clean(marked, "_raw", max_depth=options.max_depth, max_steps=options.max_steps)
+    else:
+        cleaned = options.normalizer(marked, "_raw")
     target = F.when(F.col("_early").isNull() & F.col("redirect_target").isNotNull(), wt.redirect_text("redirect_target"))
     cleaned = cleaned.withColumn("text", F.coalesce(target, "text"))
     cleaned = cleaned.withColumn("visible_chars", tx.visible_chars("text"))
@@ -75,7 +88,7 @@ def article_records(disposed: DataFrame, options: WikiOptions = WikiOptions()) -
         F.struct(
             "page_id", "revision_id", "revision_timestamp", "revision_sha1", "namespace",
             F.col("redirect_target").isNotNull().alias("redirect"), "redirect_target",
-            F.lit(options.dump_file).alias("dump_file"), F.lit(wt.NORMALIZER_VERSION).alias("normalizer"),
+            F.lit(options.dump_file).alias("dump_file"), F.lit(options.normalizer_version).alias("normalizer"),
         ).alias("metadata"),
     )
 
@@ -101,9 +114,12 @@ def counters(disposed: DataFrame) -> DataFrame:
     )
 
 
-def page_errors(disposed: DataFrame) -> DataFrame:
+def page_errors(disposed: DataFrame, max_message_chars: int | None = None) -> DataFrame:
     """Error rows without any body text."""
+    message = F.concat(F.lit("page "), F.coalesce("title", F.lit("?")), F.lit(": "), "error")
+    if max_message_chars is not None:
+        message = F.substring(message, 1, max_message_chars)
     return disposed.filter(F.col("disposition") == ERROR).select(
         "page_id", "title", F.col("error").alias("error_type"),
-        F.substring(F.concat(F.lit("page "), F.coalesce("title", F.lit("?")), F.lit(": "), "error"), 1, 500).alias("message"),
+        message.alias("message"),
     )

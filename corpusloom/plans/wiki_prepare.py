@@ -30,7 +30,7 @@ def config_row(dump_path: str, output: str, options: wiki.WikiOptions) -> dict:
         "input_path": dump_path, "output_path": output, "project": options.project, "base_url": options.base_url,
         "namespaces": ",".join(map(str, sorted(options.namespaces))),
         "include_redirects": str(options.include_redirects).lower(),
-        "min_text_chars": str(options.min_text_chars), "normalizer": wt.NORMALIZER_VERSION,
+        "min_text_chars": str(options.min_text_chars), "normalizer": options.normalizer_version,
     }
 
 

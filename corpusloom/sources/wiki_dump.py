@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import schemas
 from corpusloom.functions import text as tx
 
-# The largest accepted revision text, in bytes.
-MAX_REVISION_BYTES = 32 * 1024 * 1024
-
+_PAGE_END = "</page>"
 _DUMP_DDL = (
     "title ARRAY<STRING>, ns ARRAY<STRING>, id ARRAY<STRING>, redirect ARRAY<STRUCT<_title: STRING>>, "
     "revision ARRAY<STRUCT<id: STRING, timestamp: STRING, sha1: STRING, text: STRING>>"
@@ -18,15 +16,18 @@ _DUMP_DDL = (
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Raw `<page>` elements. Surrounding blanks are kept: they are part of an article's text."""
-    return (
-        spark.read.format("xml")
-        .option("rowTag", "page")
-        .option("ignoreSurroundingSpaces", "false")
-        .option("mode", "PERMISSIVE")
-        .schema(_DUMP_DDL)
-        .load(path)
-    )
+    """Raw `<page>` elements; `malformed` marks those that do not parse, a torn last one among them.
+
+    The dump is cut into page elements as text and each is parsed by itself, so a broken page costs
+    no other. Surrounding blanks are kept: they are part of an article's text.
+    """
+    pieces = spark.read.option("lineSep", _PAGE_END).text(path)
+    element = pieces.select(F.explode(F.split("value", r"(?=<page[\s>])")).alias("page")).filter(F.regexp_like("page", F.lit(r"\A<page[\s>]")))
+    torn = F.regexp_like("page", F.lit(r"(?s)</mediawiki\s*>\s*\z"))  # behind the last page end: it has none of its own
+    options = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
+    closed = F.when(torn, F.col("page")).otherwise(F.concat("page", F.lit(_PAGE_END)))
+    parsed = element.select(F.from_xml(closed, _DUMP_DDL + ", _corrupt STRING", options).alias("x"))
+    return parsed.select("x.title", "x.ns", "x.id", "x.redirect", "x.revision", F.col("x._corrupt").isNotNull().alias("malformed"))
 
 
 def require_wiki_root(spark: SparkSession, path: str) -> None:
@@ -48,10 +49,11 @@ def pages(raw: DataFrame) -> DataFrame:
     last = F.try_element_at("revision", F.lit(-1))
     text = F.coalesce(last["text"], F.lit(""))
     has_revision = F.coalesce(F.size("revision"), F.lit(0)) > 0
+    malformed = F.col("malformed") if "malformed" in raw.columns else F.lit(False)
     error = (
-        F.when(title.isNull() | (tx.strip(title) == ""), "missing_title")
+        F.when(malformed, "malformed_page")
+        .when(title.isNull() | (tx.strip(title) == ""), "missing_title")
         .when(page_id.isNull(), "missing_id")
-        .when(F.octet_length(text) > MAX_REVISION_BYTES, "text_too_large")
         .when(~has_revision, "missing_revision")
     )
     return raw.select(

@@ -2,9 +2,9 @@ import bz2
 import gzip
 import html
 import random
-import re
 
 import pytest
+from pyspark.sql import functions as F
 from corpusloom.functions import wikitext as wt
 from corpusloom.operators import wiki
 from corpusloom.plans import wiki_prepare
@@ -39,58 +39,67 @@ def test_clean_cases(spark):
     assert found == list(CASES.values())
 
 
-def plain_clean(text):
-    """The stages restated over Python strings."""
-    text = re.sub(r"\r\n?", "\n", text)
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<\s*ref\b[^>]*>.*?</\s*ref\s*>", r"(?i)<\s*ref\b[^>]*/\s*>"):
-        text = re.sub(pattern, "", text)
-    for pair in (("{{", "}}"), ("{|", "|}")):
-        text = wt.drop_nested(text, *pair)[0]
-    for tag in ("gallery", "math"):
-        text = re.sub(rf"(?is)<\s*{tag}\b[^>]*>.*?</\s*{tag}\s*>", "", text)
-    text = re.sub(r"__[A-Z_]+__", "", re.sub(r"(?i)<math\b[^>]*/>", "", text))
-    text = "\n".join(x for x in text.split("\n") if not re.match(r"[a-z]{2,3}:\S", x.strip()))
-
-    def link(m):
-        head, inner = m[1].split("|")[0], m[1]
-        hidden = ":" in head and head.split(":")[0].strip().lower() in ("file", "image", "category", "categoría")
-        return "" if hidden else inner.split("|")[-1]
-
-    text = re.sub(r"\[\[([^\]]+)\]\]", link, text)
-    text = re.sub(r"\[(https?://[^\]\s]+(?:\s+[^\]]+)?)\]", lambda m: (m[1].strip().split(None, 1) + [""])[1], text)
-    lines = []
-    for line in text.split("\n"):
-        bare = line.strip()
-        if bare[:1] == "=" == bare[-1:]:
-            n = len(bare) - len(bare.lstrip("="))
-            line = bare[n:-n].strip()
-        lines.append(line)
-    text = html.unescape(re.sub("'{2,5}", "", "\n".join(lines)))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip()
-
-
-def test_clean_matches_restatement_on_random_markup(spark):
+MORE_CASES = {
+    "[[:Category:Shown]]": ":Category:Shown",
+    "[[]] x": "[[]] x",
+    "[[CATEGORÍA:Cosas]]a[[image:p.png]]": "a",
+    "[https://e.org]x[https://e.org   two  words ]": "xtwo  words",
+    "see https://e.org now": "see https://e.org now",
+    "{{a{{b}}c}}d{{e}}": "d",
+    "}}a{{b}}": "}}a",
+    "{|a{|b|}c|}d|}": "d|}",
+    "{{x|{|y|}}}z": "}z",
+    "<REF name=q>a</Ref >b": "b",
+    "<math display=block>x</math>y<math />z": "yz",
+    "<gallery mode=packed>\nA.png|[[l]]\n</gallery>t": "t",
+    "__NOTOC____TOC__a__b__": "a__b__",
+    "de:Artikel\nen: kept\nabcd:kept\n": "en: kept\nabcd:kept",
+    "==a==\n=== b ===\n= c\nd": "a\nb\n= c\nd",
+    "'''''a''''' 'b' x": "a 'b' x",
+    "&lt;b&gt; &#233; &bogus; &amp;amp;": "<b> é &bogus; &amp;",
+    " \xa0 a\t\n \n\n\n b \xa0": "a\n\n b",
+    "plain\ntext": "plain\ntext",
+    "": "",
+}
+
+
+def test_more_clean_cases(spark):
+    rows = spark.createDataFrame(list(enumerate(MORE_CASES)), "i int, raw string").repartition(3)
+    found = {r["i"]: r for r in wt.clean(rows, "raw").collect()}
+    for i, (raw, want) in enumerate(MORE_CASES.items()):
+        assert (found[i]["text"], found[i]["visible_chars"]) == (want, len("".join(want.split()))), raw
+
+
+def balanced(text, opener, closer):
+    """What stands outside all regions, by a count of open ones, character by character."""
+    out, open_, i = [], 0, 0
+    while i < len(text):
+        two = text[i : i + 2]
+        if two == opener:
+            open_, i = open_ + 1, i + 2
+        elif two == closer and open_:
+            open_, i = open_ - 1, i + 2
+        else:
+            out += [text[i]] if not open_ else []
+            i += 1
+    return "".join(out)
+
+
+def test_balanced_removal_on_random_texts():
     rng = random.Random(11)
-    parts = [
-        "{{", "}}", "{|", "|}", "[[", "]]", "[", "]", "|", "=", "==", "'", "''", "\n", "\n\n", " ", "\xa0", " ", "a", "éx", ":",
-        "File:", "categoría:", "CATEGORÍA:", "http://e.org", "https://x", "fr:", "<ref>", "</ref>", "<ref name=a/>", "<REF ", ">", "/>",
-        "<!--", "-->", "<math>", "</math>", "< gallery>", "</gallery >", "__TOC__", "&amp;", "&lt", "\r\n", "\r", "😀",
-    ]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(6000)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw string").repartition(4)
-    for row in wt.clean(rows, "raw").orderBy("i").collect():
-        assert row["text"] == plain_clean(texts[row["i"]]), repr(texts[row["i"]])
-        assert row["visible_chars"] == len("".join(row["text"].split()))
-
-
-def test_nested_limits():
-    assert wt.drop_nested("{{" * 40 + "}}" * 40 + "x", "{{", "}}") == ("}}" * 39 + "x", ["Template nesting depth exceeded (32)"])
-    assert wt.drop_nested("a{{b", "{{", "}}") == ("a", ["Unclosed '{{' block"])
-    assert wt.drop_nested("a{{", "{{", "}}") == ("a", [])
-    assert wt.drop_nested("a{{b}}c}}", "{{", "}}") == ("ac}}", [])
-    assert wt.drop_nested("{{}}" * 300_000, "{{", "}}") == ("", ["Scanner work limit exceeded inside '{{' block"])
-    text, notes = wt.drop_nested("{{}}" + "{{a{{}}}}" * 128_000, "{{", "}}")
-    assert notes == ["Scanner work limit exceeded inside '{{' block"] and text == ""
+    for _ in range(4000):
+        text = "".join(rng.choice(["{{", "}}", "a", "é", "\n", "| ", "x}"]) for _ in range(rng.randrange(30)))
+        assert wt.drop_nested(text, "{{", "}}")[0] == balanced(text, "{{", "}}"), text
+
+
+def test_limits_only_where_given():
+    deep, many = "{{" * 4000 + "}}" * 4000 + "x", "{{}}" * 300_000
+    assert wt.drop_nested(deep, "{{", "}}") == ("x", []) and wt.drop_nested(many + "y", "{{", "}}") == ("y", [])
+    notes = wt.drop_nested("{{" * 40 + "}}" * 40 + "x", "{{", "}}", max_depth=32)
+    assert notes == ("}}" * 39 + "x", [wt.TOO_DEEP.format(limit=32)])
+    assert wt.drop_nested(many, "{{", "}}", max_steps=512_000) == ("", [wt.TOO_LONG_INSIDE.format(opener="{{")])
+    assert wt.drop_nested("a{{b", "{{", "}}") == ("a", [wt.UNCLOSED.format(opener="{{")])
+    assert wt.drop_nested("a{{b}}c}}", "{{", "}}") == ("ac}}", []) and wt.drop_nested("a{{", "{{", "}}") == ("a", [])
 
 
 def page(title, ns, number, body, redirect="", revision=True):
@@ -157,6 +166,34 @@ def test_page_errors_and_resume(spark, tmp_path):
     assert wiki_prepare.read_articles(spark, f"{out}/articles").count() == 1
 
 
+def test_a_broken_page_costs_no_other(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    pages = [page(f"P{k}", 0, k, LONG) for k in range(1, 8)]
+    pages[1] = pages[1].replace("</text>", "", 1)
+    pages[4] = pages[4].replace("</page>", "")
+    path.write_text("<mediawiki>\n" + "\n".join(pages) + "\n<page><title>torn</title><revision><text>x")
+    rows = wiki_dump.read_pages(spark, str(path)).collect()
+    assert sorted(r["page_id"] for r in rows if r["error"] is None) == [1, 3, 4, 5, 6, 7]
+    assert [r["error"] for r in rows if r["error"]] == ["malformed_page"] * 2
+
+
+def test_other_normalizer_and_revision_limit(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text(DUMP)
+
+    def shout(pages, raw):
+        rows = pages.withColumn("text", F.upper(raw)).withColumn("visible_chars", F.length("text"))
+        return rows.withColumn("warnings", F.array().cast("array<string>"))
+
+    own = {"project": "testwiki", "min_text_chars": 50, "normalizer": shout, "normalizer_version": "shout-1"}
+    options = wiki.WikiOptions(**own, max_revision_bytes=105)
+    disposed = wiki.dispose(wiki_dump.read_pages(spark, str(path)), options)
+    assert {r["page_id"]: r["error"] for r in disposed.collect() if r["error"]} == {1001: "text_too_large"}
+    options = wiki.WikiOptions(**own)
+    [article] = wiki.article_records(wiki.dispose(wiki_dump.read_pages(spark, str(path)), options), options).collect()
+    assert "WATER BOILS" in article["text"] and article["metadata"]["normalizer"] == "shout-1"
+
+
 def test_other_root_is_refused(spark, tmp_path):
     path = tmp_path / "d.xml"
     path.write_text("<rss><page><title>x</title></page></rss>")
