@@ -1,6 +1,6 @@
 """Byte-level BPE by replaying the merges over a table of distinct words.
 
-A task takes the texts of up to 16 MB, cuts them by the vocabulary's pattern and keeps each distinct word that it does
+A task takes the texts of up to 8 MB, cuts them by the vocabulary's pattern and keeps each distinct word that it does
 not know yet once, as a row of symbols. An inverted index leads from each pair of neighbouring symbols, by the rank of
 its merge, to its places in that table. Merges are applied in rank order to all their places at once, and only the pairs
 left and right of a merged place are looked up anew and entered. Documents are then strings of known words.
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import extended, free_name, pieces, require, sha256_joined
-from corpusloom.llm.merging import NO_RANK, PairTable, leftmost_apart
+from corpusloom.llm.merging import PairTable, leftmost_apart
 
-CORPUS_BYTES = 16 << 20
-REMEMBERED = 500_000  # words a worker keeps; more only cost time
+CORPUS_BYTES = 8 << 20
+REMEMBERED = 300_000  # words a worker keeps; more only cost time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -53,11 +53,10 @@ class Encoder:
         for i, token in enumerate(tokens):
             if len(token) == 1:
                 self.byte[token[0]] = i
-        self.whole = {t: i for i, t in enumerate(tokens)}
         self.remembered: dict[str, bytes] = {}
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by all merges in rank order over the whole table."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as the bytes of 32-bit numbers, by all merges in rank order over the whole table."""
         sizes = np.array([len(w) for w in words])
         if not len(words):
             return []
@@ -129,32 +128,31 @@ class Encoder:
                 enter(touched)
         keep = symbol >= 0
         lengths = np.add.reduceat(keep, ends - sizes - 1)
-        out = np.split(symbol[keep], np.cumsum(lengths)[:-1])
+        flat, stops = symbol[keep].tobytes(), (np.cumsum(lengths) * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *stops[:-1]], stops)]
         for w in alone:
-            out[w] = np.array(self.table.merge_one(self.byte[np.frombuffer(words[w], np.uint8)].tolist()), np.int32)
+            out[w] = np.array(self.table.merge_one(self.byte[np.frombuffer(words[w], np.uint8)].tolist()), np.int32).tobytes()
         return out
 
-    def learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.remembered]
-        plain = [w.encode() for w in missing]
-        rest = []
-        for w, b in zip(missing, plain):
-            if (i := self.whole.get(b)) is not None and len(b) == 1:
-                self.remembered[w] = np.int32(i).tobytes()
-            else:
-                rest.append((w, b))
-        for (w, _), ids in zip(rest, self.replay([b for _, b in rest])):
-            self.remembered[w] = ids.tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as the bytes of 32-bit numbers."""
-        cut = [self.find(t) for t in texts]
-        words = set().union(*cut)
-        if len(self.remembered) + len(words) > REMEMBERED:
-            self.remembered = {}
-        self.learn(words)
-        known = self.remembered.__getitem__
-        return [b"".join(map(known, c)) for c in cut]
+        number = Numbers()  # each distinct word is held once, a text as its words' numbers
+        cut = [np.fromiter(map(number.__getitem__, found), np.int32, len(found)) for found in map(self.find, texts)]
+        words = list(number)
+        missing = [w for w in words if w not in self.remembered]
+        if len(self.remembered) + len(missing) > REMEMBERED:
+            self.remembered, missing = {}, words
+        self.remembered.update(zip(missing, self.replay([w.encode() for w in missing])))
+        coded = list(map(self.remembered.__getitem__, words)).__getitem__
+        return [b"".join(map(coded, c.tolist())) for c in cut]
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 _encoders: dict[str, Encoder] = {}
