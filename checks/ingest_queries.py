@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.base import SQL_CHUNKS, SQL_DOCS, SQL_TERMS, chunks, documents, query, scratch, table
+from checks.base import SQL_CHUNKS, SQL_DOCS, SQL_TERMS, SQL_USER_TURNS, chunks, documents, query, scratch, table, user_turns
 from corpusloom.functions import text as tx
 from corpusloom.operators import catalog as cat
 from corpusloom.operators import delta
@@ -78,12 +78,6 @@ def ingest_counters(spark, sf_dir):
     return delta.ingest_counts(_verdicts(spark, sf_dir))
 
 
-@query("ingest_batches", f"WITH {SQL_DOCS} SELECT position // 100 AS batch, count(*) AS documents, min(position) AS first_position FROM docs GROUP BY ALL")
-def ingest_batches(spark, sf_dir):
-    docs = documents(spark, sf_dir).withColumn("batch", F.floor(F.col("position") / ingest.DEFAULT_BATCH))
-    return docs.groupBy("batch").agg(F.count("*").alias("documents"), F.min("position").alias("first_position"))
-
-
 def _config(**options):
     return ingest.IngestConfig("corpus", source="documents", source_fingerprint="f", **options)
 
@@ -139,6 +133,72 @@ def run_latest(spark, sf_dir):
     return cat.latest_run(named).select("run_id", "records_completed")
 
 
+@query("ingest_batches", f"""WITH {SQL_DOCS}
+SELECT lpad(CAST(position // 300 AS VARCHAR), 8, '0') AS batch, count(*) AS documents, max(position) AS last_position FROM docs GROUP BY ALL""")
+def ingest_batches(spark, sf_dir):
+    """What the committed batches of a run say about themselves."""
+    store, config = _store(spark), _config(batch_size=300)
+    ingest.run(store, documents(spark, sf_dir), config)
+    done = store.committed("corpus", config.run_id())
+    return done.select(F.col("run_batch").alias("batch"), F.col("records_completed").alias("documents"), F.col("last_completed_position").alias("last_position"))
+
+
+def _die_behind(store, config, docs, batches: int) -> None:
+    """Ingest the first batches of a run as one does that is killed behind them, in the middle of the next."""
+    run_id = config.run_id()
+    row = ingest._run_row(store.spark, config, run_id, "running", ingest._no_counts(store.spark), docs.count(), 0)
+    store.put(row, f"runs/state={run_id}-0000-running")
+    for number in range(batches):
+        part = docs.filter(F.floor(F.col("position") / config.batch_size) == number)
+        ingest.ingest_batch(store, part, config, run_id, f"{number:08d}")
+    index = store.index_dir(config.index_slug)
+    torn = store.chunks(config.index_slug).withColumn("id", F.concat(F.lit("torn-"), "id"))
+    index_store.put_batch(cut_lineage(torn, "torn"), index, "chunks", index_store.next_batch(store.spark, index))
+
+
+_SQL_FOUND = f"""WITH {SQL_TERMS}, {SQL_USER_TURNS},
+scored AS (SELECT query_id, chunk_id AS id, round(sum(qtf * (1 + 0.1::DOUBLE * tf)), 9) AS score FROM asked_terms JOIN terms USING (token) GROUP BY ALL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 3)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, id FROM hits"""
+
+
+def _found(spark, sf_dir, index: str):
+    found = index_store.search_index(spark, index, user_turns(spark, sf_dir), 3)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "id")
+
+
+@query("ingest_search", _SQL_FOUND)
+def ingest_search(spark, sf_dir):
+    """An ingest, then a search in the index that the catalog names."""
+    store, config = _store(spark), _config()
+    ingest.run(store, documents(spark, sf_dir), config)
+    entry = Workspace(spark, store.root).entry("corpus")
+    return _found(spark, sf_dir, entry["index_dir"])
+
+
+@query("ingest_resume", _SQL_FOUND)
+def ingest_resume(spark, sf_dir):
+    """A run that died in its third batch, resumed and searched."""
+    store, config = _store(spark), _config(batch_size=400)
+    docs = documents(spark, sf_dir)
+    _die_behind(store, config, docs, 2)
+    ingest.run(store, docs, config, resume=True)
+    return _found(spark, sf_dir, store.index_dir("corpus"))
+
+
+@query("append_retry", _SQL_FOUND)
+def append_retry(spark, sf_dir):
+    """An append that died before its commit, repeated twice."""
+    path = scratch(spark, "lexical")
+    rows = cut_lineage(chunks(spark, sf_dir).drop("document_id"), "chunks")
+    some = rows.filter(F.col("source").isin("src1", "src2", "src3"))
+    index_store.build_lexical(some, path)
+    index_store.put_lexical(rows, path, index_store.next_batch(spark, path))  # everything but the commit
+    for _ in range(2):
+        index_store.append_lexical(rows, path)
+    return _found(spark, sf_dir, path)
+
+
 _SQL_INDEXED = f"WITH {SQL_CHUNKS} SELECT id, title, source, chunk_index, sha256 FROM chunks"
 
 
@@ -187,21 +247,21 @@ def chunks_append(spark, sf_dir):
     rows = cut_lineage(chunks(spark, sf_dir), "chunks")
     index_store.write_chunks(_labelled(spark, sf_dir, rows), path)
     index_store.append_chunks(rows, path)
-    return spark.read.parquet(path).select("id", "sha256")
+    return index_store.index_table(spark, path, "chunks").select("id", "sha256")
 
 
 @query("chunks_write", f"WITH {SQL_CHUNKS} SELECT id, title, source, chunk_index, text, sha256 FROM chunks")
 def chunks_write(spark, sf_dir):
     path = scratch(spark, "chunks")
     index_store.write_chunks(chunks(spark, sf_dir), path)
-    return spark.read.parquet(path).drop("document_id")
+    return index_store.index_table(spark, path, "chunks").drop("document_id")
 
 
 @query("lex_build", f"WITH {SQL_TERMS} SELECT token, chunk_id, tf FROM terms")
 def lex_build(spark, sf_dir):
     path = scratch(spark, "lexical")
     index_store.build_lexical(chunks(spark, sf_dir), path)
-    return spark.read.parquet(f"{path}/postings").withColumn("tf", F.col("tf").cast("long"))
+    return index_store.index_table(spark, path, "postings").withColumn("tf", F.col("tf").cast("long"))
 
 
 @query("lex_append", f"""WITH {SQL_TERMS}, n AS (SELECT count(*) AS chunk_count FROM chunks)
@@ -212,7 +272,7 @@ def lex_append(spark, sf_dir):
     index_store.build_lexical(_labelled(spark, sf_dir, rows), path)
     index_store.append_lexical(rows, path)
     counted = index_store.index_stats(spark, path).first()["chunk_count"]
-    totals = spark.read.parquet(f"{path}/postings").agg(
+    totals = index_store.index_table(spark, path, "postings").agg(
         F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("token").alias("vocabulary")
     )
     return totals.withColumn("chunk_count", F.lit(counted).cast("bigint"))
@@ -244,8 +304,8 @@ SELECT 'simple' AS backend, (SELECT count(*) FROM chunks) AS chunk_count, (SELEC
 def chunk_and_index(spark, sf_dir):
     path = scratch(spark, "lexical")
     meta = index_store.build_lexical(chunks(spark, sf_dir), path).select("backend", "chunk_count")
-    sources = spark.read.parquet(f"{path}/chunks").agg(F.count_distinct("source")).first()[0]
-    postings = spark.read.parquet(f"{path}/postings").count()
+    sources = index_store.index_table(spark, path, "chunks").agg(F.count_distinct("source")).first()[0]
+    postings = index_store.index_table(spark, path, "postings").count()
     return meta.withColumns({"source_count": F.lit(sources).cast("bigint"), "postings": F.lit(postings).cast("bigint")})
 
 

@@ -198,7 +198,7 @@ def semantic_build(spark, sf_dir):
     first = rows.join(labelled, F.substring_index("id", ":", 1) == F.col("doc"), "left_semi")
     index_store.append_vectors(first, path)
     index_store.append_vectors(rows, path)  # the chunks of the first append are skipped
-    stored = spark.read.parquet(f"{path}/vectors")
+    stored = index_store.index_table(spark, path, "vectors")
     return stored.select("id", "sha256", rounded("embedding").alias("vector"))
 
 

@@ -1,7 +1,15 @@
-"""Indexes as Parquet tables: `chunks`, `terms`, `postings` or `vectors`, and a one-row `meta`."""
+"""Indexes as Parquet tables of committed batches.
+
+An index folder holds `chunks`, `terms` and `postings`, or `vectors`, each as `batch=<n>` folders, and
+`commits/batch=<n>` with one row that describes the index up to that batch. The commit is written
+last and readers only see committed batches: what a failed attempt left behind is invisible, and the
+next attempt takes the same number and overwrites it.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,67 +17,111 @@ from corpusloom import schemas
 from corpusloom.operators import delta, lexical, vectors
 from corpusloom.operators.chunking import distinct_chunks
 from corpusloom.operators.vectors import EmbeddingIdentity
-from corpusloom.session import cut_lineage, path_exists
+from corpusloom.session import cut_lineage, delete_path, matching_paths
 
 LEXICAL, SEMANTIC = "simple", "semantic"
+TABLES = {LEXICAL: ("chunks", "terms", "postings"), SEMANTIC: ("vectors",)}
+
+
+# batches ------------------------------------------------------------------------------------------
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    found = (re.search(r"batch=(\d+)/_SUCCESS\Z", name) for name in matching_paths(spark, f"{path}/commits/batch=*/_SUCCESS"))
+    return sorted(int(match[1]) for match in found if match)
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    return (committed_batches(spark, path) or [-1])[-1] + 1
+
+
+def batch_folder(path: str, table: str, batch: int) -> str:
+    return f"{path}/{table}/batch={batch:08d}"
+
+
+def index_table(spark: SparkSession, path: str, table: str, ddl: str | None = None) -> DataFrame:
+    """The committed rows of a table; an empty one with `ddl` if there are none."""
+    folders = [batch_folder(path, table, n) for n in committed_batches(spark, path)]
+    there = set(matching_paths(spark, f"{path}/{table}/batch=*"))
+    names = {name.rsplit("/", 1)[1] for name in there}
+    folders = [folder for folder in folders if folder.rsplit("/", 1)[1] in names]
+    if not folders:
+        if ddl is None:
+            raise FileNotFoundError(f"index {path} has no {table}")
+        return spark.createDataFrame([], ddl)
+    reader = spark.read.schema(ddl) if ddl else spark.read
+    return reader.parquet(*folders)
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """One row per committed batch, or None if there is none."""
+    done = committed_batches(spark, path)
+    return spark.read.option("mergeSchema", "true").parquet(*[batch_folder(path, "commits", n) for n in done]) if done else None
+
 
+def put_batch(rows: DataFrame, path: str, table: str, batch: int) -> DataFrame:
+    """Write a table's part of a batch, over whatever an earlier attempt left, and read it back."""
+    folder = batch_folder(path, table, batch)
+    rows.write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
-def _write_mode(spark: SparkSession, path: str, force: bool) -> str:
-    if path_exists(spark, path) and not force:
+
+def _fresh_folder(spark: SparkSession, path: str, force: bool) -> None:
+    if committed_batches(spark, path) and not force:
         raise FileExistsError(f"index {path} is not empty (use force)")
-    return "overwrite"
+    delete_path(spark, path)  # with the tables of another backend, and what was never committed
 
 
+# chunk tables -------------------------------------------------------------------------------------
 def write_chunks(chunks: DataFrame, path: str, force: bool = False) -> None:
-    """Write chunk rows; an existing table is only replaced by force."""
-    chunks.write.mode("overwrite" if force else "errorifexists").parquet(path)
+    """A table of chunk rows in one committed batch; an existing one is only replaced by force."""
+    _fresh_folder(chunks.sparkSession, path, force)
+    commit(put_batch(chunks, path, "chunks", 0), path, 0, LEXICAL, "", None)
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
-    """Append the chunks whose ids are not in the table."""
+    """Add the chunks whose ids are not in the table, as a batch of their own."""
     spark = chunks.sparkSession
-    existing = spark.read.parquet(path) if path_exists(spark, path) else chunks.limit(0)
-    delta.unseen_chunks(chunks, existing).select(*chunks.columns).write.mode("append").parquet(path)
+    batch = next_batch(spark, path)
+    existing = index_table(spark, path, "chunks", "id STRING")
+    added = put_batch(delta.unseen_chunks(chunks, existing).select(*chunks.columns), path, "chunks", batch)
+    commit(added, path, batch, LEXICAL, "", None)
 
 
-def write_postings(terms: DataFrame, path: str, mode: str = "overwrite") -> None:
+# building and appending ---------------------------------------------------------------------------
+def write_postings(terms: DataFrame, path: str, batch: int = 0) -> None:
     """Postings sorted by token, so a search for few words skips most row groups. Ranges are cut on
     (token, chunk), which also splits a frequent token over several files."""
     rows = lexical.postings(terms)
-    rows.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").write.mode(mode).parquet(path)
+    put_batch(rows.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id"), path, "postings", batch)
+
+
+def put_lexical(chunks: DataFrame, path: str, batch: int) -> DataFrame:
+    """Chunks, term table and postings of a batch that is not committed yet; returns the stored chunks."""
+    stored = put_batch(chunks, path, "chunks", batch)
+    write_postings(put_batch(lexical.term_table(stored), path, "terms", batch), path, batch)
+    return stored
 
 
 def build_lexical(chunks: DataFrame, path: str, source: str = "", force: bool = False) -> DataFrame:
     """Chunks, term table, postings and metadata of a lexical index; returns the metadata row."""
-    spark = chunks.sparkSession
-    mode = _write_mode(spark, path, force)
-    distinct_chunks(chunks).write.mode(mode).parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    lexical.term_table(stored).write.mode(mode).parquet(f"{path}/terms")
-    write_postings(spark.read.parquet(f"{path}/terms"), f"{path}/postings")
-    return _write_meta(spark, path, LEXICAL, source, None)
+    _fresh_folder(chunks.sparkSession, path, force)
+    return commit(put_lexical(distinct_chunks(chunks), path, 0), path, 0, LEXICAL, source, None)
 
 
 def append_lexical(chunks: DataFrame, path: str, source: str = "") -> DataFrame:
-    """Add unseen chunks with their terms. The new rows are appended; nothing is rewritten."""
+    """Add unseen chunks with their terms as a batch. Nothing is rewritten, and a repeated append adds nothing."""
     spark = chunks.sparkSession
-    existing = spark.read.parquet(f"{path}/chunks")
-    fresh = delta.unseen_chunks(chunks, existing).select(*existing.columns)
-    fresh = cut_lineage(fresh, "append")  # evaluated against the index as it was
-    terms = cut_lineage(lexical.term_table(fresh), "terms")
-    terms.write.mode("append").parquet(f"{path}/terms")
-    write_postings(terms, f"{path}/postings", "append")
-    fresh.write.mode("append").parquet(f"{path}/chunks")
-    return _write_meta(spark, path, LEXICAL, source, None)
+    existing = index_table(spark, path, "chunks")
+    batch = next_batch(spark, path)
+    added = put_lexical(delta.unseen_chunks(chunks, existing).select(*existing.columns), path, batch)
+    return commit(added, path, batch, LEXICAL, source, None)
 
 
 def build_vectors(
     chunks: DataFrame, path: str, identity: EmbeddingIdentity = vectors.HASH_IDENTITY, embed=None, source: str = "", force: bool = False
 ) -> DataFrame:
-    spark = chunks.sparkSession
-    mode = _write_mode(spark, path, force)
-    _embedded(distinct_chunks(chunks), identity, embed).write.mode(mode).parquet(f"{path}/vectors")
-    return _write_meta(spark, path, SEMANTIC, source, identity)
+    _fresh_folder(chunks.sparkSession, path, force)
+    stored = put_batch(embedded(distinct_chunks(chunks), identity, embed), path, "vectors", 0)
+    return commit(stored, path, 0, SEMANTIC, source, identity)
 
 
 def append_vectors(
@@ -78,33 +130,48 @@ def append_vectors(
     """Embed and add chunks: same id and content is skipped, same id and other content is an error,
     and so is an index made by another embedder. Only chunks to add are embedded."""
     spark = chunks.sparkSession
-    if not path_exists(spark, f"{path}/vectors"):
+    if not committed_batches(spark, path):
         return build_vectors(chunks, path, identity, embed, source)
-    stored = read_identity(spark, path)
-    differs = "metadata" if stored is None else stored.mismatch(identity)
-    if differs:
-        raise ValueError(f"embedding {differs} mismatch: rebuild the index")
-    compared = cut_lineage(delta.compare_chunks(chunks, spark.read.parquet(f"{path}/vectors").select("id", "sha256")), "compare")
+    batch = next_batch(spark, path)
+    return commit(put_vectors(chunks, path, batch, identity, embed), path, batch, SEMANTIC, source, identity)
+
+
+def put_vectors(chunks: DataFrame, path: str, batch: int, identity: EmbeddingIdentity, embed=None, keys: DataFrame | None = None) -> DataFrame:
+    """The vectors of unseen chunks as a batch that is not committed yet."""
+    spark = chunks.sparkSession
+    if committed_batches(spark, path):
+        stored = read_identity(spark, path)
+        differs = "metadata" if stored is None else stored.mismatch(identity)
+        if differs:
+            raise ValueError(f"embedding {differs} mismatch: rebuild the index")
+    existing = index_table(spark, path, "vectors", schemas.VECTOR_DDL)
+    compared = cut_lineage(delta.compare_chunks(chunks if keys is None else keys, existing.select("id", "sha256")), "compare")
     clash = compared.filter(F.col("action") == delta.CONFLICT).first()
     if clash is not None:
-        raise ValueError(f"chunk {clash['id']!r} already exists with different content: rebuild the index")
-    added = delta.chunks_to_add(chunks, compared)
-    _embedded(added, identity, embed).write.mode("append").parquet(f"{path}/vectors")
-    return _write_meta(spark, path, SEMANTIC, source, identity)
+        raise ValueError(f"chunk {clash['id']!r} is stored with different content: rebuild the index")
+    return put_batch(embedded(delta.chunks_to_add(chunks, compared, keys), identity, embed), path, "vectors", batch)
 
 
-def _embedded(chunks: DataFrame, identity: EmbeddingIdentity, embed) -> DataFrame:
+def embedded(chunks: DataFrame, identity: EmbeddingIdentity, embed) -> DataFrame:
     if embed is None:
         return vectors.hash_vectors(chunks, identity.normalizes_vectors)
     return chunks.withColumn("embedding", embed(F.col("text")))
 
 
-def _write_meta(spark: SparkSession, path: str, backend: str, source: str, identity: EmbeddingIdentity | None) -> DataFrame:
-    """The chunk count is counted, not carried over, so it cannot drift."""
-    table = "chunks" if backend == LEXICAL else "vectors"
+def commit(
+    added: DataFrame, path: str, batch: int, backend: str, source: str, identity: EmbeddingIdentity | None, **more
+) -> DataFrame:
+    """Make a batch visible and return the row that describes the index with it.
+
+    The chunk count is the count before plus the counted rows of this batch.
+    """
+    spark = added.sparkSession
+    before = commits(spark, path)
+    count = before.orderBy(F.col("batch_number").desc()).first()["chunk_count"] if before is not None else 0
     version = schemas.LEXICAL_SCHEMA_VERSION if backend == LEXICAL else schemas.SEMANTIC_SCHEMA_VERSION
     described = identity or EmbeddingIdentity("", "", 0, False)
-    row = spark.read.parquet(f"{path}/{table}").agg(F.count("*").alias("chunk_count")).select(
+    row = added.agg((F.count("*") + count).alias("chunk_count")).select(
+        F.lit(batch).cast("bigint").alias("batch_number"),
         F.lit(backend).alias("backend"), F.lit(version).alias("schema_version"), "chunk_count",
         F.lit(source).alias("source_chunks"),
         F.lit(identity.fingerprint() if identity else None).cast("string").alias("embedding_fingerprint"),
@@ -113,14 +180,18 @@ def _write_meta(spark: SparkSession, path: str, backend: str, source: str, ident
         F.lit(described.dimensions).alias("embedding_dimensions"),
         F.lit(described.normalizes_vectors).alias("normalizes_vectors"),
         F.lit(described.model_path_id).cast("string").alias("model_path_id"),
+        *[F.lit(value).alias(name) for name, value in more.items()],
     )
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    return spark.read.parquet(f"{path}/meta")
+    row.coalesce(1).write.mode("overwrite").parquet(batch_folder(path, "commits", batch))
+    return index_stats(spark, path)
 
 
 def index_stats(spark: SparkSession, path: str) -> DataFrame:
-    """The metadata row; chunks and vectors are not touched."""
-    return spark.read.parquet(f"{path}/meta")
+    """The newest commit row; chunks and vectors are not touched."""
+    done = committed_batches(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no index at {path}")
+    return spark.read.parquet(batch_folder(path, "commits", done[-1]))
 
 
 def read_identity(spark: SparkSession, path: str) -> EmbeddingIdentity | None:
@@ -134,24 +205,25 @@ def read_identity(spark: SparkSession, path: str) -> EmbeddingIdentity | None:
 
 
 def search_index(
-    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, identity: EmbeddingIdentity | None = None, embed=None
+    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, identity: EmbeddingIdentity | None = None, embed=None,
+    by_postings: bool = False,
 ) -> DataFrame:
     """Search an index by whatever it was built for.
 
-    A few short questions to a lexical index go through the sorted postings, more of them through
-    one scan of the term table; the results are the same.
+    A lexical index is searched by one scan of its term table or, with `by_postings`, for few short
+    questions through the sorted postings; the results are the same.
     """
     lexical.check_limit(k)
     backend = index_stats(spark, path).first()["backend"]
     if backend == LEXICAL:
-        chunks = spark.read.parquet(f"{path}/chunks")
-        found = lexical.lookup_chunks(spark.read.parquet(f"{path}/postings"), chunks, queries, k)
+        chunks = index_table(spark, path, "chunks")
+        found = lexical.lookup_chunks(index_table(spark, path, "postings"), chunks, queries, k) if by_postings else None
         if found is None:
-            found = lexical.search_chunks(spark.read.parquet(f"{path}/terms"), chunks, queries, k)
+            found = lexical.search_chunks(index_table(spark, path, "terms"), chunks, queries, k)
         return found.withColumn("score_semantics", F.lit("lexical_term_frequency"))
     stored = read_identity(spark, path)
     if stored is None:
         raise ValueError(f"index {path} has no embedding metadata")
     return vectors.semantic_search(
-        spark.read.parquet(f"{path}/vectors"), queries, stored, identity or stored, embed, k
+        index_table(spark, path, "vectors"), queries, stored, identity or stored, embed, k
     )

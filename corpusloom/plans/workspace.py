@@ -7,6 +7,7 @@ writes a whole new version folder, and readers take the newest finished one.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,15 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import catalog as cat
 from corpusloom.operators import chunking
 from corpusloom.plans import index_store as store
-from corpusloom.session import delete_path, path_exists
+from corpusloom.session import delete_path, move_path, path_exists
 
 _VERSION = re.compile(r"version-(\d+)\Z")
-PARTS = ("chunks", "terms", "postings", "vectors", "meta")
 
 
 def name_to_slug(spark: SparkSession, name: str) -> str:
     row = spark.range(1).select(tx.index_slug(F.lit(name)).alias("slug"), tx.index_name_error(F.lit(name)).alias("error")).first()
     if row["error"]:
-        raise ValueError(f"invalid index name {name!r}: {row['error']}")
+        raise ValueError(f"{name!r} cannot name an index: {row['error']}")
     return row["slug"]
 
 
@@ -73,19 +73,18 @@ class Workspace:
         """Chunk sources into a named index and record it; an existing name needs force."""
         slug = name_to_slug(self.spark, name)
         if self.entry(slug) is not None and not force:
-            raise ValueError(f"index already exists: {name.strip()!r} (use force to rebuild)")
+            raise ValueError(f"the name {name.strip()!r} already exists in the catalog (force replaces its index)")
         chunks = chunking.chunk_sources(sources, size, overlap)
         path = self.index_dir(slug)
         build = store.build_lexical if backend == store.LEXICAL else store.build_vectors
         meta = build(chunks, path, source=name.strip(), force=force)
         if meta.first()["chunk_count"] == 0:
-            raise ValueError("no chunks were produced from the sources")
+            raise ValueError("the sources hold no text to index")
         self.record(name.strip(), slug, backend)
         return self.catalog().filter(F.col("slug") == slug)
 
     def record(self, name: str, slug: str, backend: str, run_id: str | None = None, fingerprint: str | None = None) -> None:
-        table = "chunks" if backend == store.LEXICAL else "vectors"
-        rows = self.spark.read.parquet(f"{self.index_dir(slug)}/{table}").withColumn("slug", F.lit(slug))
+        rows = store.index_table(self.spark, self.index_dir(slug), store.TABLES[backend][0]).withColumn("slug", F.lit(slug))
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         self.upsert(cat.counts(rows).select(
             F.lit(name).alias("name"), "slug", F.lit(backend).alias("backend"),
@@ -133,33 +132,44 @@ class Workspace:
         return self.spark.read.parquet(f"{path}/manifest")
 
     def import_(self, path: str, force: bool = False) -> DataFrame:
-        """Bring in every index of an export; names already present need force and are replaced."""
+        """Bring in every index of an export. A name in the catalog, or a folder with data, needs force.
+
+        Data is copied beside what is there first. Only then are folders exchanged and the catalog's
+        next version written, so a copy that fails leaves the workspace as it was.
+        """
         manifest = self.spark.read.parquet(f"{path}/manifest")
         if not manifest.filter(F.col("schema_version") != schemas.EXPORT_SCHEMA_VERSION).isEmpty():
-            raise ValueError("unsupported export schema")
+            raise ValueError("the export has an unknown layout version")
         archive = self.spark.read.schema(schemas.CATALOG_DDL).parquet(f"{path}/catalog")
         slugs = [row["slug"] for row in archive.select("slug").toLocalIterator()]
         if not slugs:
-            raise ValueError("the export holds no indexes")
+            raise ValueError("nothing to import")
         for slug in slugs:
             if not re.fullmatch(r"[a-z0-9_][a-z0-9_-]*", slug):
-                raise ValueError(f"invalid slug {slug!r}")
-            if not path_exists(self.spark, f"{path}/indexes/{slug}/index/meta"):
-                raise ValueError(f"the export misses data for {slug!r}")
-        clashing = {row["slug"] for row in cat.import_conflicts(self.catalog(), archive).toLocalIterator()}
-        if clashing and not force:
-            raise ValueError(f"index already exists: {', '.join(sorted(clashing))} (use force)")
+                raise ValueError(f"{slug!r} cannot be an index folder")
+            if not store.committed_batches(self.spark, f"{path}/indexes/{slug}/index"):
+                raise ValueError(f"no data for {slug!r} in the export")
+        taken = {row["slug"] for row in cat.import_conflicts(self.catalog(), archive).toLocalIterator()}
+        taken |= {slug for slug in slugs if path_exists(self.spark, self.index_dir(slug))}
+        if taken and not force:
+            raise ValueError(f"in the way: {', '.join(sorted(taken))} (use force)")
+        arriving = f"{self.root}/arriving-{uuid.uuid4().hex}"
+        for slug in slugs:
+            _copy_index(self.spark, f"{path}/indexes/{slug}/index", f"{arriving}/{slug}/index")
         for slug in slugs:
             delete_path(self.spark, f"{self.root}/indexes/{slug}")
-            _copy_index(self.spark, f"{path}/indexes/{slug}/index", self.index_dir(slug))
+            move_path(self.spark, f"{arriving}/{slug}", f"{self.root}/indexes/{slug}")
+        delete_path(self.spark, arriving)
         self.replace_catalog(cat.import_entries(self.catalog(), archive, self.root))
         return self.catalog().join(F.broadcast(archive.select("slug")), "slug", "left_semi")
 
 
 def _copy_index(spark: SparkSession, source: str, target: str) -> None:
-    for part in PARTS:
-        if path_exists(spark, f"{source}/{part}"):
-            spark.read.parquet(f"{source}/{part}").write.mode("overwrite").parquet(f"{target}/{part}")
+    """The committed rows of an index as one batch; nothing else comes along."""
+    described = store.index_stats(spark, source)
+    for table in store.TABLES[described.first()["backend"]]:
+        store.put_batch(store.index_table(spark, source, table), target, table, 0)
+    described.withColumn("batch_number", F.lit(0).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(store.batch_folder(target, "commits", 0))
 
 
 def inline_sources(pastes: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ CATALOG_DDL = (
     "corpus_run_id STRING, source_fingerprint STRING"
 )
 LEDGER_DDL = "document_id STRING, content_digest STRING, completed_at STRING"
+RUN_LEDGER_DDL = LEDGER_DDL + ", run_id STRING"
 ERROR_DDL = "document_id STRING, position BIGINT, error_type STRING, message STRING"
 RUN_DDL = (
     "schema_name STRING, schema_version INT, run_id STRING, created_at STRING, updated_at STRING, "

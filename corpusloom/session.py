@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,12 +40,12 @@ def build_session(app_name: str = "corpusloom", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, read from `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local path
-    would be invisible to the other executors and lost with the node.
+    Only a single-process master may fall back to a temporary folder: on a cluster a machine-local
+    path would be invisible to the other executors and lost with the node.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -98,12 +99,28 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern with wildcards matches, in name order."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    return sorted(str(status.getPath()) for status in found or [])
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Remove one table or partition folder; False when it was already gone."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; its new parent is made if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(target).getParent())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once per Spark context."""
     context = spark.sparkContext

@@ -20,8 +20,8 @@ def test_corpus_path_to_answers(spark, tmp_path):
     assert (row["records_completed"], row["source_format"]) == (3, "jsonl")
     assert [e["error_type"] for e in store.errors(row["run_id"]).collect()] == ["malformed_json"]
 
-    index = str(tmp_path / "index")
-    index_store.build_lexical(store.chunks("idx").select("id", "title", "source", "chunk_index", "text", "sha256"), index)
+    assert (row["records_failed"], row["committed_batches"]) == (1, 1)
+    index = store.index_dir("idx")
     questions = spark.createDataFrame([("a", "Where is the green lamp?"), ("b", "zzz")], "query_id string, text string")
     answers = {r["query_id"]: r for r in ask.answer(spark, index, questions, 1).collect()}
     assert "north tower" in answers["a"]["prompt"] and answers["b"]["no_context"]

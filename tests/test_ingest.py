@@ -59,14 +59,14 @@ def test_interrupted_run_needs_resume_with_same_settings(spark, store):
     settings = config(continue_on_error=True)
     run_id = settings.run_id()
     half = make_docs(spark, DOCS[:1])
-    ingest.ingest_batch(store, half, settings, run_id, "0000")
-    row = ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3)
+    ingest.ingest_batch(store, half, settings, run_id, "before")
+    row = ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3, 0)
     store.put(row, f"runs/state={run_id}-0000-running")
     docs = make_docs(spark, DOCS)
     with pytest.raises(ValueError, match="resume or force"):
         ingest.run(store, docs, settings)
     done = ingest.run(store, docs, settings, resume=True).first()
-    assert (done["records_completed"], done["records_skipped"]) == (2, 1)
+    assert (done["records_completed"], done["records_skipped"], done["committed_batches"]) == (3, 1, 2)
     assert store.chunks("idx").count() == 5 and store.ledger(run_id).count() == 3
     with pytest.raises(ValueError, match="no run"):
         ingest.run(store, docs, config(chunk_size=500), resume=True)
@@ -76,8 +76,8 @@ def test_a_batch_lost_before_its_ledger_is_done_over(spark, store):
     settings, docs = config(), make_docs(spark, DOCS)
     run_id = settings.run_id()
     torn = spark.createDataFrame([("one:000000:x", "t", "src", 0, "left over", "x")], "id string, title string, source string, chunk_index int, text string, sha256 string")
-    store.put(torn, f"chunks/slug=idx/run_id={run_id}/batch=0000")
-    store.put(ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3), f"runs/state={run_id}-0000-running")
+    index_store.put_batch(torn, store.index_dir("idx"), "chunks", 0)
+    store.put(ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3, 0), f"runs/state={run_id}-0000-running")
     ingest.run(store, docs, settings, resume=True)
     ids = {r["id"] for r in store.chunks("idx").collect()}
     assert len(ids) == 5 and ids == {r["id"] for r in store.terms("idx").collect()}
@@ -190,7 +190,7 @@ def test_index_append_and_search(spark, tmp_path):
     queries = spark.createDataFrame([("q", "water text")], "query_id string, text string")
     best = index_store.search_index(spark, path, queries, 1).first()
     assert best["source"] == "src" and best["score_semantics"] == "lexical_term_frequency"
-    assert spark.read.parquet(f"{path}/postings").count() == sum(len(r["tokens"]) for r in spark.read.parquet(f"{path}/terms").collect())
+    assert index_store.index_table(spark, path, "postings").count() == sum(len(r["tokens"]) for r in index_store.index_table(spark, path, "terms").collect())
 
     path = str(tmp_path / "sem")
     index_store.append_vectors(chunks.filter("title = 'title one'"), path)
