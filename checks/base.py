@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread=True)  # one small file each
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

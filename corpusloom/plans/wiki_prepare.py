@@ -48,7 +48,7 @@ def prepare(
 ) -> DataFrame:
     """Run the job and return its summary row. `output` holds `articles`, `errors` and `summary`.
 
-    An expected checksum is compared before anything is read (dump files below 2 GiB).
+    An expected checksum is compared before anything else is read.
     """
     articles, summaries = f"{output}/articles", f"{output}/summary"
     wanted = config_row(dump_path, output, options)
@@ -85,7 +85,7 @@ def prepare(
 
 
 def _check_digest(spark: SparkSession, path: str, sha256: str | None, sha1: str | None) -> None:
-    actual = fingerprints.file_digests(spark, path).first()
+    actual = fingerprints.stream_digest(spark, path).first()
     for name, wanted in (("sha256", sha256), ("sha1", sha1)):
         if wanted and actual[name] != wanted.lower():
             raise ValueError(f"{name} mismatch for {path}: expected {wanted.lower()}, got {actual[name]}")

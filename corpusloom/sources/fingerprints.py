@@ -2,31 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.sources.tables import table_bytes
+from corpusloom.session import ship_package
+from corpusloom.sources.lines import lines_of, number_lines
 from corpusloom.sources.text_files import local_name, require_rows
 
-MAX_LISTED_FILES = 100_000
-MAX_HASHED_BYTES = 1 << 30
 _PIECES = 4
 _PIECE_DIGITS = 15  # hex digits that fit a signed 64-bit number
-
-
-def _json_text(value: Column) -> Column:
-    """A JSON string the way an ASCII-only writer escapes it."""
-    listed = F.to_json(F.array(value))
-    quoted = F.substring(listed, F.lit(2), F.length(listed) - 2)
-    codes = F.regexp_extract_all(F.hex(F.encode(quoted, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
-    escaped = F.transform(codes, lambda code: F.when(
-        code < "0080", F.decode(F.unhex(F.substring(code, 3, 2)), "US-ASCII")
-    ).otherwise(F.concat(F.lit("\\u"), F.lower(code))))
-    return F.array_join(escaped, "")
+_BUFFER = 8 << 20
 
 
 def file_digests(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """`(path, size, sha256, sha1)` per file. A file is one cell, so files stay below 2 GiB."""
+    """`(path, size, sha256, sha1)` of many small files, one cell each; `stream_digest` is for large ones."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -36,38 +30,49 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None, recurs
     )
 
 
-def source_file_fingerprint(spark: SparkSession, path: str, max_bytes: int = MAX_HASHED_BYTES) -> str:
-    """SHA-256 of one file; beyond what a cell can hold, the digest of its lines as a table."""
-    if table_bytes(spark, path) <= max_bytes:
-        return file_digests(spark, path).first()["sha256"]
-    return table_fingerprint(spark.read.text(path), ["value"]).first()["fingerprint"]
+def stream_digest(spark: SparkSession, path: str) -> DataFrame:
+    """One row `(path, size, sha256, sha1)` of a file of any size, read once by one task in small buffers.
+
+    A whole-file digest has to see the bytes in order. The path is opened by the file systems that
+    Arrow knows (local, HDFS, object stores).
+    """
+
+    def run(batches):
+        for batch in batches:
+            for name in batch["path"]:
+                system, inner = pafs.FileSystem.from_uri(name) if "://" in name or name.startswith("file:") else (pafs.LocalFileSystem(), name)
+                digests, size = (hashlib.sha256(), hashlib.sha1()), 0
+                with system.open_input_stream(inner) as stream:
+                    while data := stream.read(_BUFFER):
+                        size += len(data)
+                        for digest in digests:
+                            digest.update(data)
+                yield pd.DataFrame({"path": [name], "size": [size], "sha256": [digests[0].hexdigest()], "sha1": [digests[1].hexdigest()]})
 
+    ship_package(spark)
+    named = spark.createDataFrame([(re.sub(r"\Afile:/(?!/)", "file:///", path),)], "path string")
+    return named.mapInPandas(run, "path string, size long, sha256 string, sha1 string")
 
-def text_tree_fingerprint(spark: SparkSession, root: str, max_listed: int = MAX_LISTED_FILES) -> DataFrame:
-    """One row `(fingerprint, kind, file_count, total_bytes)` of the `.txt` files below `root`.
 
-    The digest covers the ordered listing of (path, size, content hash). A listing beyond
-    `max_listed` files is not put into one row: its entries are digested as a table, and the kind
-    says `summed`.
+def source_file_fingerprint(spark: SparkSession, path: str) -> str:
+    """Digest of a line file, or of a folder of them: the table digest of (file name, line number, line).
+
+    The same for every size, and read in parallel. Lines end at LF only, so other line endings and
+    another order of the lines give another digest.
     """
+    lines = number_lines(lines_of(spark.read.option("lineSep", "\n").text(path)))
+    named = lines.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "line", "value")
+    return table_fingerprint(named, ["file", "line", "value"]).first()["fingerprint"]
+
+
+def text_tree_fingerprint(spark: SparkSession, root: str) -> DataFrame:
+    """One row `(fingerprint, file_count, total_bytes)` of the `.txt` files below `root`: the table
+    digest of (path below root, size, content hash), the same for a tree of any size."""
     base = local_name(F.lit(root.rstrip("/") + "/"))
     files = file_digests(spark, root, "*.txt", recursive=True)
     require_rows(files.select("path"), f"no .txt files found under {root}")
-    files = files.withColumn("rel", F.substr("path", F.length(base) + 1))
-    entry = F.concat(
-        F.lit('{"content_hash":"'), "sha256", F.lit('","relative_path":'), _json_text(F.col("rel")),
-        F.lit(',"size":'), F.col("size").cast("string"), F.lit("}"),
-    )
-    rows = files.select(F.split("rel", "/").alias("parts"), entry.alias("entry"), "size")
-    if rows.select("size").count() > max_listed:
-        total = rows.agg(F.sum("size")).first()[0]
-        summed = table_fingerprint(rows, ["entry"]).withColumnRenamed("row_count", "file_count")
-        return summed.withColumn("total_bytes", F.lit(total))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("parts", "entry"))), lambda e: e["entry"])
-    return rows.agg(
-        F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("fingerprint"),
-        F.lit("listing").alias("kind"), F.count("*").alias("file_count"), F.sum("size").alias("total_bytes"),
-    )
+    rows = files.select(F.substr("path", F.length(base) + 1).alias("file"), "size", "sha256")
+    return table_fingerprint(rows, ["file", "size", "sha256"], total_bytes=F.sum("size")).withColumnRenamed("row_count", "file_count")
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -76,22 +81,23 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def table_fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """`(fingerprint, kind, row_count)` of a table, whatever its row order and partitioning.
+def table_fingerprint(rows: DataFrame, columns: list[str], **sums: Column) -> DataFrame:
+    """`(fingerprint, row_count)` of a table, whatever its row order and partitioning; `sums` are
+    further aggregates of its columns.
 
     Row digests are added up piece by piece, so every task combines its rows to one partial sum and
     nothing is collected. Copies of a row count as often as they occur.
     """
-    digested = rows.select(row_digest(columns).alias("_digest"))
+    digested = rows.withColumn("_digest", row_digest(columns))
     pieces = [
         F.sum(F.conv(F.substring("_digest", 1 + p * _PIECE_DIGITS, _PIECE_DIGITS), 16, 10).cast("decimal(20,0)")).alias(f"_p{p}")
         for p in range(_PIECES)
     ]
-    sums = digested.agg(F.count("*").alias("row_count"), *pieces)
+    added = digested.agg(F.count("*").alias("row_count"), *pieces, *[total.alias(name) for name, total in sums.items()])
     line = F.concat_ws(":", F.col("row_count").cast("string"), *[
         F.coalesce(F.col(f"_p{p}").cast("string"), F.lit("0")) for p in range(_PIECES)
     ])
-    return sums.select(F.sha2(line, 256).alias("fingerprint"), F.lit("summed").alias("kind"), "row_count")
+    return added.select(F.sha2(line, 256).alias("fingerprint"), "row_count", *sums)
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:

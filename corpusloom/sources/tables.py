@@ -1,4 +1,4 @@
-"""Columnar tables: driver inputs, chunk tables, and the spread of small inputs over the cores."""
+"""Columnar tables: driver inputs and chunk tables."""
 
 from __future__ import annotations
 
@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 
-SPLIT_BYTES = 128 << 20
-SMALLEST_SPREAD = 64 << 10
-
-
-def table_bytes(spark: SparkSession, path: str) -> int:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return file_system.getContentSummary(hadoop_path).getLength()
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One too small to fill the cores with splits is spread over them first;
-    a large one already has more splits than cores and is read as it lies."""
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A Parquet table as it lies; with `spread`, for small single-file inputs, dealt over the cores."""
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if SMALLEST_SPREAD < table_bytes(spark, path) < cores * SPLIT_BYTES:
-        return table.repartition(cores)
-    return table
+    return table.repartition(spark.sparkContext.defaultParallelism) if spread else table
 
 
 def read_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -110,18 +110,36 @@ def test_chunk_table_check(spark, tmp_path):
     assert [(r["id"], r["missing"]) for r in bad.collect()] == [("k", ["source", "chunk_index", "text", "sha256"])]
 
 
+def summed(rows):
+    """The table digest, by hand."""
+    digests = [hashlib.sha256("".join(hashlib.sha256(str(x).encode()).hexdigest() for x in row).encode()).hexdigest() for row in rows]
+    sums = [sum(int(d[15 * p : 15 * p + 15], 16) for d in digests) for p in range(4)]
+    return hashlib.sha256(":".join(map(str, [len(rows), *sums])).encode()).hexdigest()
+
+
 def test_text_tree_fingerprint(spark, tree):
-    listed = sorted((p.relative_to(tree) for p in tree.rglob("*.txt")), key=lambda p: p.parts)
-    entries = [
-        {"relative_path": p.as_posix(), "size": (tree / p).stat().st_size, "content_hash": hashlib.sha256((tree / p).read_bytes()).hexdigest()}
-        for p in listed
-    ]
-    expected = hashlib.sha256(json.dumps(entries, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    entries = [(p.relative_to(tree).as_posix(), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tree.rglob("*.txt")]
     row = fingerprints.text_tree_fingerprint(spark, str(tree)).first()
-    assert (row["fingerprint"], row["file_count"], row["kind"]) == (expected, len(entries), "listing")
-    assert row["total_bytes"] == sum(e["size"] for e in entries)
-    summed = fingerprints.text_tree_fingerprint(spark, str(tree), max_listed=2).first()
-    assert summed["kind"] == "summed" and summed["file_count"] == len(entries) and summed["total_bytes"] == row["total_bytes"]
+    assert (row["fingerprint"], row["file_count"], row["total_bytes"]) == (summed(entries), len(entries), sum(e[1] for e in entries))
+
+
+def test_line_file_fingerprint_sees_order_and_line_ends(spark, tmp_path):
+    found = set()
+    for text in ("a\nb\n", "b\na\n", "a\r\nb\r\n", "a\nb\n\n", "a\nc\n"):
+        path = tmp_path / "x.jsonl"
+        path.write_bytes(text.encode())
+        found.add(fingerprints.source_file_fingerprint(spark, str(path)))
+    assert len(found) == 5
+    path.write_bytes(b"a\nb\n")
+    assert fingerprints.source_file_fingerprint(spark, str(path)) == summed([("x.jsonl", 1, "a"), ("x.jsonl", 2, "b")])
+
+
+def test_stream_digest(spark, tmp_path, monkeypatch):
+    path = tmp_path / "dump bytes.bin"
+    path.write_bytes(b"0123456789" * 2_000_000)
+    for name in (str(path), f"file://{path}".replace(" ", "%20")):
+        row = fingerprints.stream_digest(spark, name).first()
+        assert (row["size"], row["sha256"], row["sha1"]) == (20_000_000, hashlib.sha256(path.read_bytes()).hexdigest(), hashlib.sha1(path.read_bytes()).hexdigest())
 
 
 def test_table_fingerprint_ignores_layout_but_not_content(spark):
