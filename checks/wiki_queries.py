@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from checks.base import query, scratch, table
@@ -228,20 +230,41 @@ def wiki_write(spark, sf_dir):
     return articles.select("id", "metadata.page_id", tx.sha256_hex("text").alias("text_digest"))
 
 
-@query("wiki_resume", f"""WITH {_SQL_PAGES}
-SELECT page_id, sha256(clean) AS text_digest FROM states WHERE disposition = 'emitted'""")
-def wiki_resume(spark, sf_dir):
-    """A run over some languages, then a resumed one over the whole dump."""
+_SQL_LIMITED = f"""WITH {_SQL_PAGES},
+last AS (SELECT max(page_id) AS page_id FROM (SELECT page_id FROM states WHERE disposition = 'emitted' ORDER BY page_id LIMIT 400)),
+taken AS (SELECT s.* FROM states s, last WHERE s.page_id <= last.page_id)"""
+
+
+def _resumed(spark, sf_dir) -> str:
+    """A run over three batches with a limit that died behind its first one, in the middle of the second, then resumed."""
     output, dump = scratch(spark, "prepared"), _dump(spark, sf_dir)
-    options = _options()
-    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
-    begun = wiki.dispose(wiki_dump.read_pages(spark, dump).join(labelled, "page_id", "left_semi"), options)
-    wiki.article_records(begun, options).write.json(f"{output}/articles")
+    options = dataclasses.replace(_options(), limit=400)
+    pages = wiki_dump.read_pages(spark, dump)
+    edges = [int(x) for x in pages.approxQuantile("page_id", [1 / 3, 2 / 3], 0.001)]
+    named = [F.lit(v).alias(k) for k, v in wiki_prepare.config_row(dump, output, options).items()]
+    spark.range(1).select(*named, F.array(*map(F.lit, edges)).cast("array<bigint>").alias("edges")).write.parquet(f"{output}/settings")
+    wiki_prepare.prepare_batch(spark, pages, output, options, edges, 0, 400)
+    wiki_prepare.read_articles(spark, f"{output}/articles").write.json(f"{output}/articles/batch=00000001")  # torn
     wiki_prepare.prepare(spark, dump, output, options, resume=True)
-    articles = wiki_prepare.read_articles(spark, f"{output}/articles")
+    return output
+
+
+@query("wiki_resume", _SQL_LIMITED + " SELECT page_id, sha256(clean) AS text_digest FROM taken WHERE disposition = 'emitted'")
+def wiki_resume(spark, sf_dir):
+    articles = wiki_prepare.read_articles(spark, f"{_resumed(spark, sf_dir)}/articles")
     return articles.select("metadata.page_id", tx.sha256_hex("text").alias("text_digest"))
 
 
+@query("wiki_resume_totals", _SQL_LIMITED + """ SELECT count(*) AS pages_scanned, count(*) FILTER (disposition = 'emitted') AS records_emitted,
+  count(*) FILTER (disposition = 'error') AS page_errors, count(*) FILTER (disposition = 'error') AS error_rows FROM taken""")
+def wiki_resume_totals(spark, sf_dir):
+    """The summary of the resumed run, and its error rows, as of one that was never interrupted."""
+    output = _resumed(spark, sf_dir)
+    errors = wiki_prepare.read_errors(spark, output).count()
+    summary = spark.read.parquet(f"{output}/summary").select("pages_scanned", "records_emitted", "page_errors")
+    return summary.withColumn("error_rows", F.lit(errors).cast("bigint"))
+
+
 @query("partial_repair", """
 SELECT count(*) FILTER (lang <> 'de') AS whole_records, count(*) FILTER (lang = 'de') AS torn_records FROM documents""")
 def partial_repair(spark, sf_dir):

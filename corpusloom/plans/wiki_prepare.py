@@ -1,8 +1,9 @@
 """Prepare a wiki dump: scan, filter, clean, write articles, errors and one summary row.
 
-The page table with its dispositions is written once to the output's work folder; articles,
-counters and errors are read from there, so the expensive clean-up runs once. A later run over the
-same output only handles pages whose articles are not there yet.
+The settings are written first, so that a run which died can only be resumed with the same ones. Pages
+are cut into batches by page id; each writes its articles and errors to folders of its own and then a
+commit with its counters. A resumed run goes on with the batches that are not committed, its limit
+counts what is, and the summary adds up the commits.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import wikitext as wt
 from corpusloom.operators import wiki
-from corpusloom.session import path_exists, scratch_path
+from corpusloom.session import delete_path, matching_paths, path_exists, scratch_path
 from corpusloom.sources import fingerprints, wiki_dump
+from corpusloom.sources.text_files import table_bytes
 
 ARTICLE_DDL = (
     "id STRING, title STRING, text STRING, source STRING, url STRING, metadata STRUCT<page_id: BIGINT, "
@@ -39,63 +41,136 @@ def config_mismatches(stored: dict, wanted: dict) -> list[str]:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ARTICLE_DDL).json(path)
+    """The committed articles below `<output>/articles`."""
+    output = path.rstrip("/").removesuffix("/articles")
+    done = [f"{path}/batch={n:08d}" for n in _committed(spark, output)]
+    return spark.read.schema(ARTICLE_DDL).json(done) if done else spark.createDataFrame([], ARTICLE_DDL)
+
+
+def read_errors(spark: SparkSession, output: str) -> DataFrame:
+    """The error rows of all committed batches."""
+    return spark.read.parquet(*[f"{output}/errors/batch={n:08d}" for n in _committed(spark, output)])
+
+
+def _committed(spark: SparkSession, output: str) -> list[int]:
+    found = matching_paths(spark, f"{output}/commits/batch=*/_SUCCESS")
+    return sorted(int(name.rsplit("batch=", 1)[1].split("/")[0]) for name in found)
+
+
+def plan(spark: SparkSession, dump_path: str, options: wiki.WikiOptions = wiki.WikiOptions()) -> DataFrame:
+    """Dry run: one row with the settings and how many pages would be looked at; nothing is written."""
+    settings = [F.lit(value).alias(name) for name, value in config_row(dump_path, "", options).items()]
+    pages = wiki_dump.read_pages(spark, dump_path)
+    return pages.agg(F.count("*").alias("pages_found"), F.count_if(F.col("error").isNotNull()).alias("pages_unusable")).select(
+        "pages_found", "pages_unusable", F.lit("planned").alias("status"), *settings
+    )
 
 
 def prepare(
     spark: SparkSession, dump_path: str, output: str, options: wiki.WikiOptions = wiki.WikiOptions(),
     resume: bool = False, force: bool = False, sha256: str | None = None, sha1: str | None = None,
+    batches: int = 1, source_url: str | None = None, dump_date: str | None = None, digest: bool = False,
 ) -> DataFrame:
-    """Run the job and return its summary row. `output` holds `articles`, `errors` and `summary`.
+    """Run the job and return its summary row. `output` holds `settings`, `articles`, `errors`, `commits` and `summary`.
 
-    An expected checksum is compared before anything else is read.
+    An expected checksum is compared before anything else is read. With `digest` the summary has the
+    dump's SHA-256, which one task reads through. Each batch scans the dump once.
     """
-    articles, summaries = f"{output}/articles", f"{output}/summary"
     wanted = config_row(dump_path, output, options)
-    if path_exists(spark, summaries) and not force:
-        if not resume:
+    if force:
+        for part in ("settings", "articles", "errors", "commits", "summary"):
+            delete_path(spark, f"{output}/{part}")
+    started = path_exists(spark, f"{output}/settings/_SUCCESS")
+    if started and not resume:
+        if _committed(spark, output):
             raise ValueError(f"{output} already holds prepared articles (resume or force)")
-        stored = spark.read.parquet(summaries).select(*CONFIG_FIELDS).first()
-        differing = config_mismatches(stored.asDict(), wanted)
+        started = False  # a run that died before its first commit: nothing to keep
+    described = _check_digest(spark, dump_path, sha256, sha1) if sha256 or sha1 or digest else None
+    pages = wiki_dump.read_pages(spark, dump_path)
+    if started:
+        stored = spark.read.parquet(f"{output}/settings").first().asDict()
+        differing = config_mismatches(stored, wanted)
         if differing:
             raise ValueError("cannot resume, different " + ", ".join(differing))
-    if sha256 or sha1:
-        _check_digest(spark, dump_path, sha256, sha1)
-    pages = wiki_dump.read_pages(spark, dump_path)
-    if resume and path_exists(spark, articles):
-        done = read_articles(spark, articles).select(F.col("metadata.page_id").alias("page_id"))
-        pages = pages.join(done, "page_id", "left_anti")
-    disposed = _stage(spark, pages, options)
-    if not options.continue_on_error:
-        bad = wiki.page_errors(disposed).first()
-        if bad is not None:
-            raise ValueError(bad["message"])
-    if options.limit is not None:
-        disposed = wiki.first_emitted(disposed, options.limit)
-    mode = "append" if resume else "overwrite" if force else "errorifexists"
-    wiki.article_records(disposed, options).write.mode(mode).option("ignoreNullFields", "false").json(articles)
-    wiki.page_errors(disposed).write.mode(mode).parquet(f"{output}/errors")
+        edges = list(stored["edges"])
+    else:
+        shares = [n / batches for n in range(1, batches)]
+        edges = [int(x) for x in pages.filter("error IS NULL").approxQuantile("page_id", shares, 0.001)] if shares else []
+        named = [F.lit(value).alias(name) for name, value in wanted.items()]
+        listed = F.array(*[F.lit(x) for x in edges]).cast("array<bigint>").alias("edges")
+        spark.range(1).select(*named, listed).coalesce(1).write.mode("overwrite").parquet(f"{output}/settings")
+
+    done = _committed(spark, output)
+    emitted = sum(row["records_emitted"] for row in _commits(spark, output, done).collect()) if done else 0  # one row a batch
+    for number in range(len(edges) + 1):
+        left = None if options.limit is None else options.limit - emitted
+        if number in done:
+            continue
+        if left is not None and left <= 0:
+            break
+        emitted += prepare_batch(spark, pages, output, options, edges, number, left)
+    counted = _commits(spark, output, _committed(spark, output))
+    totals = counted.agg(*[F.sum(name).alias(name) for name in counted.columns])
     status = F.when(F.col("page_errors") > 0, "failed").otherwise("completed")
-    summary = wiki.counters(disposed).select(
+    extra = {
+        "source_url": source_url, "dump_date": dump_date, "dump_sha256": described["sha256"] if described else None,
+        "dump_bytes": table_bytes(spark, dump_path), "batches": len(edges) + 1, "articles_path": f"{output}/articles",
+    }
+    summary = totals.select(
         "*", status.alias("status"), *[F.lit(value).alias(name) for name, value in wanted.items()],
+        *[F.lit(value).cast("bigint" if name in ("dump_bytes", "batches") else "string").alias(name) for name, value in extra.items()],
         F.current_timestamp().alias("finished_at"),
     )
-    summary.write.mode(mode).parquet(summaries)
-    return spark.read.parquet(summaries).orderBy(F.col("finished_at").desc()).limit(1)
+    summary.coalesce(1).write.mode("overwrite").parquet(f"{output}/summary")
+    return spark.read.parquet(f"{output}/summary")
+
+
+def prepare_batch(
+    spark: SparkSession, pages: DataFrame, output: str, options: wiki.WikiOptions, edges: list[int], number: int, limit: int | None = None
+) -> int:
+    """Articles, errors and the commit of one range of page ids; returns how many articles it gave.
+
+    Pages without an id belong to the first range.
+    """
+    key = F.coalesce("page_id", F.lit(-(1 << 62)))
+    part = pages
+    if number > 0:
+        part = part.filter(key > edges[number - 1])
+    if number < len(edges):
+        part = part.filter(key <= edges[number])
+    disposed, scratch = _stage(spark, part, options)
+    if not options.continue_on_error:
+        bad = wiki.page_errors(disposed, options.max_message_chars).first()
+        if bad is not None:
+            raise ValueError(bad["message"])
+    if limit is not None:
+        disposed = wiki.first_emitted(disposed, limit)
+    folder = f"batch={number:08d}"
+    wiki.article_records(disposed, options).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{output}/articles/{folder}")
+    wiki.page_errors(disposed, options.max_message_chars).write.mode("overwrite").parquet(f"{output}/errors/{folder}")
+    wiki.counters(disposed).write.mode("overwrite").parquet(f"{output}/commits/{folder}")
+    delete_path(spark, scratch)
+    return spark.read.parquet(f"{output}/commits/{folder}").first()["records_emitted"]
+
+
+def _commits(spark: SparkSession, output: str, numbers: list[int]) -> DataFrame:
+    return spark.read.parquet(*[f"{output}/commits/batch={n:08d}" for n in numbers])
 
 
-def _check_digest(spark: SparkSession, path: str, sha256: str | None, sha1: str | None) -> None:
+def _check_digest(spark: SparkSession, path: str, sha256: str | None, sha1: str | None) -> dict:
     actual = fingerprints.stream_digest(spark, path).first()
     for name, wanted in (("sha256", sha256), ("sha1", sha1)):
         if wanted and actual[name] != wanted.lower():
             raise ValueError(f"{name} mismatch for {path}: expected {wanted.lower()}, got {actual[name]}")
+    return actual.asDict()
 
 
-def _stage(spark: SparkSession, pages: DataFrame, options: wiki.WikiOptions) -> DataFrame:
+def _stage(spark: SparkSession, pages: DataFrame, options: wiki.WikiOptions) -> tuple[DataFrame, str]:
+    """The disposed pages, stored so that the clean-up runs once, and where."""
     path = scratch_path(spark, "wiki-pages")
     disposed = wiki.dispose(pages, options)
     disposed.write.partitionBy("disposition").parquet(path)
-    return spark.read.schema(disposed.schema).parquet(path)
+    return spark.read.schema(disposed.schema).parquet(path), path
 
 
 def repair_output(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

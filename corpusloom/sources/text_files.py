@@ -75,3 +75,9 @@ def check_source_path(root: str, path: str, text_only: bool = True) -> str:
     if text_only and "." in name and not name.endswith(".txt"):
         raise ValueError("only .txt files and folders are supported")
     return full
+
+
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop_path).getLength()

@@ -1,5 +1,6 @@
 import bz2
 import gzip
+import hashlib
 import html
 import random
 
@@ -156,16 +157,38 @@ def test_page_errors_and_resume(spark, tmp_path):
     lenient = wiki.WikiOptions(project="testwiki", min_text_chars=50, continue_on_error=True)
     summary = wiki_prepare.prepare(spark, str(path), out, lenient).first()
     assert counts(summary) == (8, 1, 1, 2, 1, 3) and summary["status"] == "failed"
-    errors = {r["error_type"] for r in spark.read.parquet(f"{out}/errors").collect()}
+    errors = {r["error_type"] for r in wiki_prepare.read_errors(spark, out).collect()}
     assert errors == {"missing_revision", "missing_title", "missing_id"}
     with pytest.raises(ValueError, match="resume or force"):
         wiki_prepare.prepare(spark, str(path), out, lenient)
     with pytest.raises(ValueError, match="min_text_chars"):
         wiki_prepare.prepare(spark, str(path), out, wiki.WikiOptions(project="testwiki", min_text_chars=5), resume=True)
-    wiki_prepare.prepare(spark, str(path), out, lenient, resume=True)
+    again = wiki_prepare.prepare(spark, str(path), out, lenient, resume=True).first()
+    assert counts(again) == counts(summary) and wiki_prepare.read_errors(spark, out).count() == 3
     assert wiki_prepare.read_articles(spark, f"{out}/articles").count() == 1
 
 
+def test_a_run_that_died_keeps_its_settings_and_counters(spark, tmp_path):
+    path, whole, out = tmp_path / "d.xml", str(tmp_path / "whole"), str(tmp_path / "out")
+    pages = [page(f"P{k}", 0, k, LONG) for k in range(1, 13)] + [page("", 0, 5, LONG)]
+    path.write_text("<mediawiki>\n" + "\n".join(pages) + "\n</mediawiki>")
+    options = wiki.WikiOptions(project="testwiki", min_text_chars=50, continue_on_error=True, limit=9)
+    once = wiki_prepare.prepare(spark, str(path), whole, options).first()
+    wiki_prepare.prepare(spark, str(path), out, options, batches=3)
+    for part in ("commits/batch=00000001", "commits/batch=00000002", "summary"):  # as if it had died in its second batch
+        wiki_prepare.delete_path(spark, f"{out}/{part}")
+    with pytest.raises(ValueError, match="different project"):
+        wiki_prepare.prepare(spark, str(path), out, wiki.WikiOptions(project="other", min_text_chars=50), resume=True)
+    resumed = wiki_prepare.prepare(spark, str(path), out, options, resume=True, source_url="https://e.org/d.xml", digest=True).first()
+    assert counts(resumed) == counts(once) == (10, 9, 0, 0, 0, 1)
+    ids = lambda o: sorted(r["id"] for r in wiki_prepare.read_articles(spark, f"{o}/articles").collect())
+    assert ids(out) == ids(whole) and len(ids(out)) == 9
+    assert (resumed["source_url"], resumed["dump_bytes"], resumed["batches"]) == ("https://e.org/d.xml", path.stat().st_size, 3)
+    assert resumed["dump_sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
+    planned = wiki_prepare.plan(spark, str(path), options).first()
+    assert (planned["pages_found"], planned["pages_unusable"], planned["status"]) == (13, 1, "planned")
+
+
 def test_a_broken_page_costs_no_other(spark, tmp_path):
     path = tmp_path / "d.xml"
     pages = [page(f"P{k}", 0, k, LONG) for k in range(1, 8)]
