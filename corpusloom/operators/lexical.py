@@ -10,17 +10,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import blocked
+from corpusloom.session import checked_keys, cut_lineage
 
 # Ten times the base score of a present token, and of one occurrence.
 BASE_SCORE_10 = 10
 COUNT_SCORE_10 = 1
-MAX_LOOKUP_WORDS = 500
-MAX_LOOKUP_QUERIES = 50
+MAX_PUSHED_WORDS = 500  # so many words are also given to the postings scan, which then skips row groups
 _UNIT_PER_TENTH = blocked.SCORE_UNIT // 10
 
 
@@ -65,13 +65,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def all_scores(posting_rows: DataFrame, query_term_rows: DataFrame, salts: int = 16) -> DataFrame:
     """Every `(query_id, chunk_id, score)` with a positive score.
 
-    The result itself holds all matching pairs; use `search` for the k best. A frequent token would
-    put its whole posting list into one task, so the token key is salted on the posting side (by
-    chunk) and the short query side is repeated per salt.
+    The result itself holds all matching pairs; use `search` for the k best. Query words are counted,
+    and broadcast while they are few; then postings stay where they are and only partial sums are
+    shuffled. Beyond that a frequent token would put its whole posting list into one task, so the token
+    key is salted on the posting side (by chunk) and the short query side is repeated per salt.
     """
-    left = posting_rows.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    right = query_term_rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    matched = left.join(right, ["token", "_salt"])
+    asked = checked_keys(query_term_rows)
+    if asked.small:
+        matched = posting_rows.join(F.broadcast(asked.keys), "token")
+    else:
+        left = posting_rows.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        right = asked.keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        matched = left.join(right, ["token", "_salt"])
     tenths = F.sum(F.col("qtf") * (F.lit(BASE_SCORE_10) + F.col("tf") * COUNT_SCORE_10))
     return matched.groupBy("query_id", "chunk_id").agg((tenths / 10).alias("score"))
 
@@ -151,23 +156,20 @@ def search(
     return blocked.top_k(terms, asked, TermScorer(), k, size, **layout)
 
 
-def lookup(posting_rows: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, int] | None:
-    """`search` by way of the postings, for few queries; None when they are more or too wordy.
+def lookup(posting_rows: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, int]:
+    """`search` by way of the postings, for few queries.
 
-    The words are counted first and then become a filter of the postings scan: the table is sorted by
-    token, so most row groups are skipped. Every matching (query, chunk) pair is shuffled, which a
-    handful of queries can afford and a large table of them cannot.
+    Few words become a filter of the postings scan: the table is sorted by token, so most row groups
+    are skipped. Every matching (query, chunk) pair is summed, which a handful of queries can afford
+    and a large table of them cannot; the results are those of `search` for any number of them.
     """
     check_limit(k)
-    n_queries = queries.limit(MAX_LOOKUP_QUERIES + 1).count()
-    if n_queries > MAX_LOOKUP_QUERIES:
-        return None
-    asked = query_terms(queries)
-    words = asked.select("token").distinct().limit(MAX_LOOKUP_WORDS + 1).toPandas()["token"].tolist()
-    if len(words) > MAX_LOOKUP_WORDS:
-        return None
-    found = all_scores(posting_rows.filter(F.col("token").isin(words)), asked)
-    return blocked.rank_rows(found.withColumnRenamed("chunk_id", "id"), k), n_queries * k
+    asked = cut_lineage(query_terms(queries), "asked")
+    words = asked.select("token").distinct().limit(MAX_PUSHED_WORDS + 1).toPandas()["token"].tolist()
+    if len(words) <= MAX_PUSHED_WORDS:
+        posting_rows = posting_rows.filter(F.col("token").isin(words))
+    found = all_scores(posting_rows, asked)
+    return blocked.rank_rows(found.withColumnRenamed("chunk_id", "id"), k), queries.count() * k
 
 
 def search_chunks(terms: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5, **layout: int) -> DataFrame:
@@ -175,10 +177,9 @@ def search_chunks(terms: DataFrame, chunks: DataFrame, queries: DataFrame, k: in
     return _with_texts(search(terms, queries, k, **layout), chunks)
 
 
-def lookup_chunks(posting_rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame | None:
+def lookup_chunks(posting_rows: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """`lookup` with the columns of a search result."""
-    found = lookup(posting_rows, queries, k)
-    return None if found is None else _with_texts(found, chunks)
+    return _with_texts(lookup(posting_rows, queries, k), chunks)
 
 
 def _with_texts(found: tuple[DataFrame, int | None], chunks: DataFrame) -> DataFrame:
@@ -195,9 +196,9 @@ def check_limit(limit: int) -> None:
 
 def shape_results(results: DataFrame, queries: DataFrame, mode: str, score_semantics: str) -> DataFrame:
     """Search results as reported to a caller: the query, its result count, mode and score meaning."""
-    counts = results.groupBy("query_id").agg(F.max("rank").cast("bigint").alias("result_count"))
+    count = F.max("rank").over(Window.partitionBy("query_id")).cast("bigint")  # the few results of a query
     return (
-        results.join(counts, "query_id")
+        results.withColumn("result_count", count)
         .join(queries.select("query_id", F.col("text").alias("query")), "query_id")
         .select(
             "query_id", "query", "rank", "score", "id", "title", "source", "chunk_index",

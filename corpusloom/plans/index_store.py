@@ -217,8 +217,9 @@ def search_index(
     backend = index_stats(spark, path).first()["backend"]
     if backend == LEXICAL:
         chunks = index_table(spark, path, "chunks")
-        found = lexical.lookup_chunks(index_table(spark, path, "postings"), chunks, queries, k) if by_postings else None
-        if found is None:
+        if by_postings:
+            found = lexical.lookup_chunks(index_table(spark, path, "postings"), chunks, queries, k)
+        else:
             found = lexical.search_chunks(index_table(spark, path, "terms"), chunks, queries, k)
         return found.withColumn("score_semantics", F.lit("lexical_term_frequency"))
     stored = read_identity(spark, path)
