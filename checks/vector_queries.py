@@ -276,7 +276,7 @@ def _scaled(spark, sf_dir):
 s AS (SELECT q.vec_id AS query_id, 'v' || u.vec_id AS id, -list_sum(list_transform(list_zip(u.v, q.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score
       FROM usable u, usable q WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, rank, id, round(score / 1000000, 3) AS millions FROM r WHERE rank <= 5""")
+SELECT query_id, rank, id, round(score / 1000000, 3) + 0.0 AS millions FROM r WHERE rank <= 5""")
 def vec_search_long(spark, sf_dir):
     """Squared distances far beyond nine digits, among vectors of which the unusable ones were set aside."""
     good, _ = _scaled(spark, sf_dir)
