@@ -1,6 +1,6 @@
 """Byte-level BPE by replaying the merges over a table of distinct words.
 
-A task takes the texts of up to 8 MB, cuts them by the vocabulary's pattern and keeps each distinct word that it does
+A task takes the texts of up to 4 MB, cuts them by the vocabulary's pattern and keeps each distinct word that it does
 not know yet once, as a row of symbols. An inverted index leads from each pair of neighbouring symbols, by the rank of
 its merge, to its places in that table. Merges are applied in rank order to all their places at once, and only the pairs
 left and right of a merged place are looked up anew and entered. Documents are then strings of known words.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import extended, free_name, pieces, require, sha256_joined
 from corpusloom.llm.merging import PairTable, leftmost_apart
 
-CORPUS_BYTES = 8 << 20
-REMEMBERED = 300_000  # words a worker keeps; more only cost time
+CORPUS_BYTES = 4 << 20
+_STEP = 1 << 18
+REMEMBERED = 200_000  # words a task keeps; more only cost time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -65,10 +65,12 @@ class Encoder:
         joined = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
         symbol = self.byte[joined]
         symbol[ends - 1] = -1  # a stop behind each word
-        word = np.repeat(np.arange(len(words)), sizes + 1)
-        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes + 1)
+        before, after = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
         made = np.full(n, -1, np.int32)
-        made[:-1] = self.table.look_up(symbol[:-1], symbol[1:])
+        for k in range(0, n - 1, _STEP):  # in steps, as the look-up needs room
+            at = slice(k, min(k + _STEP, n - 1))
+            made[at] = self.table.look_up(symbol[at], symbol[k + 1 : at.stop + 1])
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -86,7 +88,7 @@ class Encoder:
 
         some = np.flatnonzero(made >= 0)
         if len(some):
-            enter(some)
+            enter(some.astype(np.int32))
         alone: set[int] = set()
         while queue:
             rank = heapq.heappop(queue)
@@ -155,9 +157,6 @@ class Numbers(dict):
         return n
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with a column `ids`, array<int>: the whole text by the rank file at `ranks`, each match of `pattern` by itself.
 
@@ -166,15 +165,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
     the tasks.
     """
     require(docs, text)
-    sent, key = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks), pattern)), uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks), pattern))
     others = [c for c in docs.columns if c != ids]
     kind = extended(docs.select(*others), f"`{ids}` array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(*sent.value)
-        encoder = _encoders[key]
+        encoder = Encoder(*sent.value)
         for batch in pieces(batches, text, CORPUS_BYTES):
             found = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
             at = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)

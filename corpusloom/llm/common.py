@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from corpusloom.session import may_broadcast, ship_package
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:

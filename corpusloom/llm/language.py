@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from typing import NamedTuple
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa

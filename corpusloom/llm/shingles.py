@@ -34,18 +34,17 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return values, ends
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = np.ones(1, np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the prime and of its inverse, kept for the worker's next batch."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_PRIME, pow(_PRIME, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def powers(n: int) -> np.ndarray:
+    """The first `n` powers of the prime; the table grows with the longest word, not with the text."""
+    global _powers
+    if len(_powers) < n:
+        steps = np.full(max(256, 2 * n), _PRIME, np.uint64)
+        steps[0] = 1
+        _powers = np.multiply.accumulate(steps)
+    return _powers[:n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,15 +56,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     opens[1:] &= ~inside[:-1]
     first = offsets[:-1][offsets[:-1] < n]
     opens[first] = inside[first]
-    closes = np.ones(n, bool)
-    closes[:-1] = ~inside[1:] | opens[1:]
-    closes &= inside
-    start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * power[:n], out=sums[1:])
-    hashes = mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * _STEP)
-    return hashes, np.searchsorted(start, offsets)
+    start = np.flatnonzero(opens)
+    rows = np.searchsorted(start, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint64), rows
+    letters = data[inside]
+    begin = np.flatnonzero(opens[inside])
+    length = np.diff(np.append(begin, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(begin, length)
+    sums = np.add.reduceat(values[letters] * powers(int(length.max()))[place], begin)
+    return mixed(sums + length.astype(np.uint64) * _STEP), rows
 
 
 def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

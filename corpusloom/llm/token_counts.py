@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from corpusloom.llm.common import extended, pieces, require
 from corpusloom.llm.merging import NO_RANK, PairTable, leftmost_apart
 
 BLANK = "▁"  # stands for a blank in pieces
-REMEMBERED = 500_000  # pre-tokens a worker keeps; more only cost time
+REMEMBERED = 300_000  # pre-tokens a task keeps; more only cost time
 LIMIT = 4096
 
 
@@ -123,9 +122,6 @@ class Counter:
         return [sum(map(known, c)) for c in cut]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """`docs` with `n_bytes` (UTF-8), `n_tokens` and `over_limit` (n_tokens > `limit`).
 
@@ -134,16 +130,13 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = L
     kept; columns with the result's names are replaced. The vocabulary is read on the driver and sent to the tasks.
     """
     require(docs, text)
-    sent, key = docs.sparkSession.sparkContext.broadcast(read_pieces(model)), uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast(read_pieces(model))
     result = ["n_bytes", "n_tokens", "over_limit"]
     others = [c for c in docs.columns if c not in result]
     kind = extended(docs.select(*others), "n_bytes long, n_tokens long, over_limit boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = Counter(sent.value)
-        counter = _counters[key]
+        counter = Counter(sent.value)
         for batch in pieces(batches, text):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             tokens = counter.counts(texts)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
-from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import extended, free_name, pieces, require
-from corpusloom.llm.shingles import _power_tables, mixed
+from corpusloom.llm.shingles import mixed
 
 MAX_ROWS = 1500
 MAX_CHARS = 8_000
@@ -30,27 +30,34 @@ THRESHOLD = 0.3
 SPAN = 0.5
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
-REMEMBERED = 500_000  # words a worker keeps; more only cost time
+REMEMBERED = 300_000  # words a task keeps; more only cost time
 _BLOCK = 128
 _words = re.compile(r"\w+").findall
 _places = re.compile(r"\w+").finditer
 _SALT = 0x9E3779B97F4A7C15
+_STEP = 0xD6E8FEB86659FD93
+
+
+def _hashes(code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of characters."""
+    total = np.zeros(len(begin), np.uint64)
+    for k in range(int(length.max(initial=0))):  # as many steps as the longest stretch has characters
+        more = np.flatnonzero(length > k)
+        total[more] = mixed(total[more] * np.uint64(_STEP) + code[begin[more] + k])
+    return total
 
 
 def forms(words: list[str]) -> np.ndarray:
     """Bucket numbers of each word's forms: the word, its proper prefixes, its ending; 0 where there is none."""
     sizes = np.array([len(w) for w in words], np.int64)
     code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    power, inverse = _power_tables(len(code) + 1)
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(mixed((code + np.uint64(1)) * np.uint64(_SALT)) * power[: len(code)], out=sums[1:])
     start = np.cumsum(sizes) - sizes
     out = np.zeros((len(words), len(PREFIXES) + 2), np.int64)
-    for k, (a, b, has) in enumerate([
-        (start, start + sizes, sizes > 0), *[(start, start + np.minimum(n, sizes), sizes > n) for n in PREFIXES],
-        (start + np.maximum(sizes - 3, 0), start + sizes, sizes > 3),
-    ]):
-        value = mixed((sums[b] - sums[a]) * inverse[a] + np.uint64((k + 1) * _SALT % (1 << 64)))
+    ending = np.minimum(sizes, 3)
+    whole = np.array([crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    stretches = [(start, np.minimum(n, sizes), sizes > n) for n in PREFIXES] + [(start + sizes - ending, ending, sizes > 3)]
+    for k, (value, has) in enumerate([(whole, sizes > 0), *[(_hashes(code, a, n), has) for a, n, has in stretches]]):
+        value = mixed(value + np.uint64((k + 1) * _SALT % (1 << 64)))
         out[:, k] = np.where(has, value % np.uint64(BUCKETS - 1) + np.uint64(1), 0)
     return out
 
@@ -268,7 +275,6 @@ class Tagger:
         return score, spans
 
 
-_taggers: dict[str, Tagger] = {}
 SPANS = "array<struct<start:int,stop:int,chance:double>>"
 
 
@@ -280,17 +286,14 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
     columns are kept; columns with the result's names are replaced.
     """
     require(docs, text)
-    sent, key = docs.sparkSession.sparkContext.broadcast(chain), uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
     result = ["score", "predicted", "spans"]
     others = [c for c in docs.columns if c not in result]
     kind = extended(docs.select(*others), f"score double, predicted int, spans {SPANS}")
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("chance", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _taggers:
-            _taggers.clear()
-            _taggers[key] = Tagger(sent.value)
-        tagger = _taggers[key]
+        tagger = Tagger(sent.value)
         for batch in pieces(batches, text):
             values, spans = tagger.score([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays(
