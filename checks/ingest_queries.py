@@ -417,6 +417,49 @@ def workspace_ingest(spark, sf_dir):
     return space.ingest_sources(" All Documents ", sources).select("name", "slug", "backend", "chunk_count", "source_count")
 
 
+def _workspaces(spark, sf_dir) -> tuple[Workspace, Workspace]:
+    """A workspace with a lexical and a semantic index, and one that has imported its export over data in the way."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("doc "), "doc_id").alias("title"), "text", F.concat(F.lit("/in/"), "doc_id").alias("source"))
+    space = Workspace(spark, scratch(spark, "workspace"))
+    for lang, backend in (("de", index_store.LEXICAL), ("es", index_store.SEMANTIC)):
+        space.ingest_sources(f"Lang {lang}", docs.filter(F.col("lang") == lang).drop("lang"), backend)
+    out = scratch(spark, "export")
+    space.export(out)
+    other = Workspace(spark, scratch(spark, "other"))
+    index_store.build_vectors(chunks(spark, sf_dir).drop("document_id").filter("chunk_index > 5"), other.index_dir("lang-de"))
+    try:  # not in the catalog, but in the way
+        other.import_(out)
+    except ValueError:
+        other.import_(out, force=True)
+    return space, other
+
+
+@query("workspace_import", f"""WITH {SQL_CHUNKS}
+SELECT 'lang-' || lang AS slug, CASE lang WHEN 'de' THEN 'simple' ELSE 'semantic' END AS backend, '/in/' || document_id AS source, CAST(chunk_index AS BIGINT) AS chunk_index, sha256
+FROM chunks JOIN documents d ON CAST(d.doc_id AS VARCHAR) = document_id WHERE lang IN ('de', 'es')""")
+def workspace_import(spark, sf_dir):
+    """The rows of two exported indexes as they lie in the workspace that imported them."""
+    _, other = _workspaces(spark, sf_dir)
+    parts = []
+    for slug, backend in (("lang-de", index_store.LEXICAL), ("lang-es", index_store.SEMANTIC)):
+        rows = index_store.index_table(spark, other.index_dir(slug), index_store.TABLES[backend][0])
+        parts.append(rows.select(F.lit(slug).alias("slug"), F.lit(other.entry(slug)["backend"]).alias("backend"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), "sha256"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("workspace_search", f"""WITH {SQL_TERMS}, {SQL_USER_TURNS},
+scored AS (SELECT query_id, chunk_id, round(sum(qtf * (1 + 0.1::DOUBLE * tf)), 9) AS score
+  FROM asked_terms JOIN terms USING (token) JOIN chunks ON id = chunk_id JOIN documents d ON CAST(d.doc_id AS VARCHAR) = document_id WHERE lang = 'de' GROUP BY ALL)
+SELECT query_id, round(max(score), 6) AS best FROM scored GROUP BY query_id""")
+def workspace_search(spark, sf_dir):
+    """Best scores in an imported index; the workspace's other index was deleted before."""
+    _, other = _workspaces(spark, sf_dir)
+    if not other.delete("lang-es") or other.missing_indexes():
+        raise AssertionError("the deleted index had no data, or another is missing")
+    found = index_store.search_index(spark, other.index_dir("lang-de"), user_turns(spark, sf_dir), 1)
+    return found.select("query_id", F.round("score", 6).alias("best"))
+
+
 # digests ------------------------------------------------------------------------------------------
 @query("table_fingerprint", """
 WITH d AS (SELECT sha256(coalesce(sha256(CAST(doc_id AS VARCHAR)), 'null') || coalesce(sha256(text), 'null') || coalesce(sha256(source), 'null')) AS digest FROM documents)
