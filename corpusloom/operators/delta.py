@@ -19,6 +19,13 @@ def _copies(docs: DataFrame) -> DataFrame:
     )
 
 
+def _touched(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a large stored table that a batch can meet: while the batch's keys are few they are
+    broadcast to them, so that a batch does not shuffle all that was ever stored."""
+    wanted = checked_keys(keys.select(key).distinct())
+    return stored.join(F.broadcast(wanted.keys), key, "left_semi") if wanted.small else stored
+
+
 def classify(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """`(document_id, content_digest, position, copies, verdict)` of incoming documents.
 
@@ -32,7 +39,7 @@ def classify(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     several = copies.groupBy("document_id").agg(
         F.min_by("content_digest", "position").alias("_first"), F.count("*").alias("_n")
     ).filter(F.col("_n") > 1)
-    known = ledger.select("document_id", F.col("content_digest").alias("_done"))
+    known = _touched(ledger, copies, "document_id").select("document_id", F.col("content_digest").alias("_done"))
     joined = copies.join(several, "document_id", "left").join(known, "document_id", "left")
     first = F.coalesce("_first", "content_digest")
     verdict = (
@@ -97,8 +104,9 @@ def unseen_chunks(chunks: DataFrame, existing: DataFrame, ids: DataFrame | None
     The ids already there are found over narrow columns; they are few when the documents are new,
     and then the texts need no shuffle.
     """
-    ids = chunks.select("id") if ids is None else ids.select("id")
-    return _without(chunks, ids, ids.join(existing.select("id"), "id", "left_semi").distinct())
+    ids = cut_lineage(chunks.select("id") if ids is None else ids.select("id"), "ids")
+    there = _touched(existing.select("id"), ids, "id")
+    return _without(chunks, ids, ids.join(there, "id", "left_semi").distinct())
 
 
 def _without(chunks: DataFrame, ids: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -117,7 +125,8 @@ def compare_chunks(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     The digest comparison only needs narrow columns; the wide ones follow in `chunks_to_add`.
     """
     mine = chunks.groupBy("id").agg(F.min("sha256").alias("sha256"), F.max("sha256").alias("_other"))
-    theirs = existing.select("id", F.col("sha256").alias("_stored"))
+    mine = cut_lineage(mine, "incoming")
+    theirs = _touched(existing.select("id", F.col("sha256").alias("_stored")), mine, "id")
     action = (
         F.when(F.col("sha256") != F.col("_other"), CONFLICT)
         .when(F.col("_stored").isNull(), ADD)
