@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import extended, free_name, pieces, require
+from corpusloom.llm.common import extended, free_name, pieces, released, require
 from corpusloom.llm.shingles import mixed
 
 MAX_ROWS = 1500
 MAX_CHARS = 8_000
 THRESHOLD = 0.3
 SPAN = 0.5
+LEAST_SHARE = 0.025  # of the toxic texts of the sample that have a form before it counts as toxic
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 REMEMBERED = 300_000  # words a task keeps; more only cost time
@@ -151,13 +152,17 @@ def _token_labels(form: np.ndarray, word: np.ndarray, text: np.ndarray, toxic: n
         for c in (0, 1):
             seen[c] += np.bincount(each[toxic[each[:, 0]] == c, 1], minlength=BUCKETS)
     rate = [(seen[0] + 0.5) / n_clean, seen[1] / n_toxic]
-    marked = (seen[1] >= 4) & (rate[1] >= 12 * rate[0])
+    # a form of few texts may only belong to copies of one text
+    marked = (seen[1] >= max(3, LEAST_SHARE * n_toxic)) & (rate[1] >= 12 * rate[0])
     marked[0] = False
     return marked[form].any(1)[word] & toxic[text]
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 40) -> Chain:
     """A chain from labelled texts; `prior` is the share of toxic texts where scores are to hold."""
+    first_of = {t: k for k, t in reversed(list(enumerate(texts)))}  # copies of a text count once
+    kept = sorted(first_of.values())
+    texts, toxic = [texts[k] for k in kept], toxic[kept]
     nothing = Chain(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), 0.0, np.array([0, 0, 0, np.log(prior / (1 - prior))]))
     if len(texts) < 20 or toxic.all() or not toxic.any():
         return nothing
@@ -301,7 +306,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
                 names=[*others, *result],
             )
 
-    return docs.select(*others).mapInArrow(run, kind)
+    return docs.select(*others).mapInArrow(released(run), kind)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
