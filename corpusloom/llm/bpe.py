@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import extended, free_name, pieces, require, sha256_joined
+from corpusloom.llm.common import extended, free_name, pieces, released, require, sha256_joined
 from corpusloom.llm.merging import PairTable, leftmost_apart
 
 CORPUS_BYTES = 4 << 20
 _STEP = 1 << 18
-REMEMBERED = 200_000  # words a task keeps; more only cost time
+REMEMBERED = 120_000  # words a task keeps; more only cost time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -157,17 +157,11 @@ class Numbers(dict):
         return n
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with a column `ids`, array<int>: the whole text by the rank file at `ranks`, each match of `pattern` by itself.
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    Equal to what the file's library gives without special tokens. A null or empty text has no ids. All rows and
-    columns are kept as they are; a column named as `ids` is replaced. The vocabulary is read on the driver and sent to
-    the tasks.
-    """
-    require(docs, text)
+
+def _encoding(docs: DataFrame, ranks: str, pattern: str, text: str, ids: str, kept: list[str]) -> Run:
     sent = docs.sparkSession.sparkContext.broadcast((read_ranks(ranks), pattern))
-    others = [c for c in docs.columns if c != ids]
-    kind = extended(docs.select(*others), f"`{ids}` array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*sent.value)
@@ -175,22 +169,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: s
             found = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
             at = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
             values = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(found), np.int32)))
-            kept = [batch.column(c) for c in others]
-            yield pa.RecordBatch.from_arrays([*kept, values], names=[*others, ids])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], values], names=[*kept, ids])
 
-    return docs.select(*others).mapInArrow(run, kind)
+    return run
 
 
-def decode(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`docs` with a column `decoded`, binary: the bytes that `ids` stand for.
-
-    Null ids give null, none give no bytes; an id that the vocabulary does not hold is an error. All rows and other
-    columns are kept; a column named as `decoded` is replaced.
-    """
-    require(docs, ids)
+def _decoding(docs: DataFrame, ranks: str, ids: str, decoded: str, kept: list[str]) -> Run:
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
-    others = [c for c in docs.columns if c != decoded]
-    kind = extended(docs.select(*others), f"`{decoded}` binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = sent.value
@@ -204,17 +189,51 @@ def decode(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decode
                 if len(numbers) and numbers.min() < 0:
                     raise ValueError("ids are 0 or more")
                 out.append(b"".join(map(token.__getitem__, numbers.tolist())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(out, pa.binary())], names=[*others, decoded])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, decoded])
+
+    return run
+
 
-    return docs.select(*others).mapInArrow(run, kind)
+def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """`docs` with a column `ids`, array<int>: the whole text by the rank file at `ranks`, each match of `pattern` by itself.
+
+    Equal to what the file's library gives without special tokens. A null or empty text has no ids. All rows and
+    columns are kept as they are; a column named as `ids` is replaced. The vocabulary is read on the driver and sent to
+    the tasks.
+    """
+    require(docs, text)
+    others = [c for c in docs.columns if c != ids]
+    kept = docs.select(*others)
+    return kept.mapInArrow(released(_encoding(docs, ranks, pattern, text, ids, others)), extended(kept, f"`{ids}` array<int>"))
+
+
+def decode(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`docs` with a column `decoded`, binary: the bytes that `ids` stand for.
+
+    Null ids give null, none give no bytes; an id that the vocabulary does not hold is an error. All rows and other
+    columns are kept; a column named as `decoded` is replaced.
+    """
+    require(docs, ids)
+    others = [c for c in docs.columns if c != decoded]
+    kept = docs.select(*others)
+    return kept.mapInArrow(released(_decoding(docs, ranks, ids, decoded, others)), extended(kept, f"`{decoded}` binary"))
+
+
+def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`decode` of `encode`, in one worker, with `ids` and `decoded` in place of the text."""
+    require(docs, text)
+    others = [c for c in docs.columns if c not in (ids, decoded, text)]
+    coding = _encoding(docs, ranks, pattern, text, ids, others)
+    decoding = _decoding(docs, ranks, ids, decoded, [*others, ids])
+    kind = extended(docs.select(*others), f"`{ids}` array<int>, `{decoded}` binary")
+    return docs.select(*others, text).mapInArrow(released(lambda batches: decoding(coding(batches))), kind)
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(`id`, `n_tokens`, `ids_sha256`, `decoded_sha256`) of every row: digests of the ids and of the bytes they give back."""
     rows = docs.select(id, text)
     ids = free_name(rows, "ids")
-    coded = encode(rows, ranks, pattern, text, ids).select(id, ids)
-    decoded = free_name(coded, "decoded")
-    return decode(coded, ranks, ids, decoded).select(
+    decoded = free_name(rows, "decoded")
+    return encode_and_decode(rows, ranks, pattern, text, ids, decoded).select(
         id, F.size(ids).cast("long").alias("n_tokens"), sha256_joined(F.col(ids)).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"),
     )

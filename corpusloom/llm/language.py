@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, pieces, require, text_bytes
+from corpusloom.llm.common import free_name, pieces, released, require, text_bytes
 from corpusloom.session import checked_keys, cut_lineage, key_bytes, may_broadcast
 
 SAMPLE_ROWS = 3000
@@ -98,7 +98,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: str, keep: list[str])
             )
 
     fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"{fields}, letters long, text_log array<double>")
+    return source.mapInArrow(released(run), f"{fields}, letters long, text_log array<double>")
 
 
 def _with_posterior(rows: DataFrame, logs: str, name: str) -> DataFrame:

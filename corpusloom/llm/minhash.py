@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles as sh
-from corpusloom.llm.common import pieces, require, text_bytes
+from corpusloom.llm.common import pieces, released, require, text_bytes
 from corpusloom.llm.components import connected_components
 from corpusloom.session import checked_keys, cut_lineage
 
 COORDINATES = 32
 MATCHES = 13
+PIECE_BYTES = 1 << 20  # of text that are hashed at a time
 LIST_ROWS = 64  # longer lists are cut into tiles
 TILE_ROWS = 1024
 TILE_SHINGLES = 1 << 21
@@ -60,7 +61,7 @@ def with_signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFram
     """(`id`, `n_shingles`, `digest` of the set, `signature`) of every row, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             values, offsets, sets = _sets_of(batch, "text", words)
             coordinates = signatures(values, offsets)
             yield pa.RecordBatch.from_arrays(
@@ -74,14 +75,14 @@ def with_signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFram
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, digest binary, signature array<int>")
+    return rows.mapInArrow(released(run), f"id {kind}, n_shingles long, digest binary, signature array<int>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, words: int) -> DataFrame:
     """(`id`, `shingles`) of the documents whose `id` is in `ids`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE_BYTES):
             sets = _sets_of(batch, "text", words)[2]
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -91,7 +92,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, words: int
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(keys.keys) if keys.small else keys.keys, "id", "left_semi")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return rows.mapInArrow(released(run), f"id {kind}, shingles array<long>")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def candidates(lists: DataFrame) -> DataFrame:
 
     kind = lists.schema["id"].dataType.simpleString()
     dealt = lists.repartition("coordinate", "value").sortWithinPartitions("coordinate", "value")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(released(run), f"a {kind}, b {kind}")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -218,7 +219,7 @@ def tile_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
     spread = placed.join(sets, "id").select("*", F.explode(pairs).alias("pair")).select("coordinate", "value", "pair.i", "pair.j", "tile", "id", "n_shingles", "posted", "signature", "shingles")
     dealt = spread.repartition("coordinate", "value", "i", "j").sortWithinPartitions("coordinate", "value", "i", "j")
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.mapInArrow(released(run), f"a {kind}, b {kind}")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import pieces, require
+from corpusloom.llm.common import pieces, released, require
 from corpusloom.session import cut_lineage, key_bytes, may_broadcast
 
 MOST = 0.5  # share of a host's pages that a template's class is found on
@@ -202,7 +202,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return pages.mapInArrow(run, "host string, page long, token string, n long, place int, content boolean, dropped boolean, chars long")
+    return pages.mapInArrow(released(run), "host string, page long, token string, n long, place int, content boolean, dropped boolean, chars long")
 
 
 def templates(tokens: DataFrame) -> DataFrame:
@@ -263,5 +263,5 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
             )
 
     placed = rows.join(F.broadcast(found) if may_broadcast(count, size) else found, "host", "left").select("id", "url", "html", "slots")
-    out = placed.mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = placed.mapInArrow(released(run), f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id, "url": url})

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.common import extended, pieces, require
+from corpusloom.llm.common import extended, pieces, released, require
 from corpusloom.llm.merging import NO_RANK, PairTable, leftmost_apart
 
 BLANK = "▁"  # stands for a blank in pieces
@@ -146,4 +146,4 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = L
                 names=[*others, *result],
             )
 
-    return docs.select(*others).mapInArrow(run, kind)
+    return docs.select(*others).mapInArrow(released(run), kind)
