@@ -22,7 +22,7 @@ def prepare(spark: SparkSession) -> None:
     """What a job that uses Python workers needs: this package on the workers, Arrow batches of bounded bytes."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 

@@ -31,6 +31,7 @@ SPAN = 0.5
 LEAST_SHARE = 0.025  # of the toxic texts of the sample that have a form before it counts as toxic
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
+PART_TOKENS = 1 << 16  # of the sample that are looked at together
 REMEMBERED = 300_000  # words a task keeps; more only cost time
 _BLOCK = 128
 _words = re.compile(r"\w+").findall
@@ -129,6 +130,21 @@ def marginals(emission: np.ndarray, starts: np.ndarray, steps: np.ndarray, first
     return chance, joint.sum(0), chance[starts].sum()
 
 
+def _in_parts(emission: np.ndarray, starts: np.ndarray, steps: np.ndarray, first: float):
+    """`marginals` with pairs, over some texts at a time, so that a large sample needs little memory."""
+    chances, joint, opening = [], np.zeros((2, 2)), 0.0
+    k = 0
+    while k < len(starts):
+        after = max(k + 1, int(np.searchsorted(starts, starts[k] + PART_TOKENS, "right")) - 1)
+        stop = starts[after] if after < len(starts) else len(emission)
+        chance, own, begun = marginals(emission[starts[k] : stop], starts[k:after] - starts[k], steps, first, pairs=True)
+        chances.append(chance)
+        joint += own
+        opening += begun
+        k = after
+    return np.concatenate(chances), joint, opening
+
+
 def _summaries(chance: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Per text: logarithm of the summed toxic chances, their density, the peak, and 1; texts without tokens are zero."""
     out = np.zeros((len(sizes), 4))
@@ -158,6 +174,28 @@ def _token_labels(form: np.ndarray, word: np.ndarray, text: np.ndarray, toxic: n
     return marked[form].any(1)[word] & toxic[text]
 
 
+def _logistic(x: np.ndarray, t: np.ndarray, weight: np.ndarray, start: float) -> np.ndarray:
+    """A weighted logistic regression by Newton steps, each halved until it lowers the loss, so that it cannot swing."""
+    ridge = np.array([0.05, 0.05, 0.05, 1e-4])
+
+    def loss(c: np.ndarray) -> float:
+        z = x @ c
+        return float(weight @ (np.logaddexp(0, z) - t * z) + 0.5 * ridge @ (c * c))
+
+    curve = np.array([0.0, 0, 0, start])
+    best = loss(curve)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        move = np.linalg.solve(hessian, x.T @ (weight * (t - p)) - ridge * curve)
+        while (now := loss(curve + move)) > best and np.abs(move).max() > 1e-9:
+            move = move / 2
+        if not now < best - 1e-10 * abs(best):
+            break
+        curve, best = curve + move, now
+    return curve
+
+
 def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 40) -> Chain:
     """A chain from labelled texts; `prior` is the share of toxic texts where scores are to hold."""
     first_of = {t: k for k, t in reversed(list(enumerate(texts)))}  # copies of a text count once
@@ -193,7 +231,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 40) ->
     wanted = np.bincount(used, y, len(form))
     square = [np.full(BUCKETS, 1e-2), np.full((2, 2), 1.0)]
     for _ in range(rounds):
-        chance, joint, opening = marginals(weights[form].sum(1)[used], starts, steps, first, pairs=True)
+        chance, joint, opening = _in_parts(weights[form].sum(1)[used], starts, steps, first)
         by_word = wanted - np.bincount(used, chance, len(form))
         gradient = np.bincount(form.ravel(), np.repeat(by_word, form.shape[1]), BUCKETS) - 0.05 * weights
         gradient[0] = 0
@@ -205,15 +243,10 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 40) ->
         first += 0.2 * np.sign(y[starts].sum() - opening) * min(1, abs(y[starts].sum() - opening) / (1 + y[starts].sum()))
     weights[0] = 0
     others = ~train
-    chance = marginals(weights[form].sum(1)[word[others]], starts_of(~seen), steps, first)
+    chance = _in_parts(weights[form].sum(1)[word[others]], starts_of(~seen), steps, first)[0]
     x, t = _summaries(chance, starts_of(~seen), sizes[~seen]), toxic[~seen]
     balance = np.where(t, prior / max(t.mean(), 1e-6), (1 - prior) / max(1 - t.mean(), 1e-6))
-    curve = np.array([0.0, 0, 0, np.log(prior / (1 - prior))])
-    for _ in range(40):  # Newton steps of a weighted logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        hessian = (x * (balance * p * (1 - p))[:, None]).T @ x + np.diag([0.05, 0.05, 0.05, 1e-4])
-        move = np.linalg.solve(hessian, x.T @ (balance * (t - p)) - np.array([0.05, 0.05, 0.05, 0]) * curve)
-        curve = curve + np.clip(move, -2, 2)
+    curve = _logistic(x, t.astype(float), balance, np.log(prior / (1 - prior)))
     return Chain(weights.astype(np.float32), steps, float(first), curve)
 
 
