@@ -1,15 +1,16 @@
 """Language of documents and pages by Bayesian fusion of evidence.
 
 Evidence of a row: its text (letter trigrams of UTF-8 bytes), the language it declares (markup or a column), the last
-part of its address, and the languages of its host. The text model is fitted on a bounded sample of rows that declare a
-language. What a declared value or an address suffix says is estimated over all rows from the text posteriors, by grouped
+part of its address, and the languages of its host. The text model is fitted on a bounded sample of texts of each
+language that rows declare. What a declared value or an address suffix says is estimated over all rows from the text posteriors, by grouped
 sums. A host's prior is smoothed to its domain's, that to its suffix's, that to all rows'; a row's own share is taken out
-of each, so that nothing counts twice. The languages are those declared in the sample, and `und` for none of them.
+of each, so that nothing counts twice. The languages are those that LEAST_ROWS different texts or more declare, counted
+over all rows, and `und` for none of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import free_name, pieces, released, require, text_bytes
 from corpusloom.session import checked_keys, cut_lineage, key_bytes, may_broadcast
 
-SAMPLE_ROWS = 3000
-MAX_CHARS = 8000  # longer texts are not taken into the sample
-LEAST_ROWS = 5  # of the sample that a language needs
+SAMPLE_ROWS = 3000  # texts of the sample, shared out evenly among the languages
+LEAST_SHARE = 100  # texts of the sample for each language, however many languages there are
+MAX_CHARS = 8000  # of a text in the sample
+LEAST_ROWS = 5  # different texts, of all rows, that a language needs
 BUCKETS = 1 << 15
 EFFECTIVE = 60  # trigrams overlap and repeat: a text weighs as so many independent ones at most
 OTHER = "und"
@@ -57,27 +59,40 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (code * np.uint32(0x9E3779B1) >> np.uint32(17)).astype(np.int64), np.searchsorted(offsets, at, "right") - 1
 
 
-def fit(texts: list[str], declared: list[str]) -> TextModel:
-    names = [x for x in sorted(set(declared)) if declared.count(x) >= LEAST_ROWS and x != OTHER]
+def fit(sample: Iterable[tuple[str, str]], names: list[str]) -> TextModel:
+    """The model of texts and the languages they declare; one text is held at a time."""
+    at = {name: k for k, name in enumerate(names)}
     counts = np.full((len(names), BUCKETS), 0.05)
-    for text, name in zip(texts, declared):
-        if name in names:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            bucket, _ = trigrams(raw, np.array([0, len(raw)]))
-            # a long text counts as a short one, so that no single text makes the model
-            counts[names.index(name)] += np.bincount(bucket, minlength=BUCKETS) * min(1.0, 1000 / max(1, len(bucket)))
+    for text, name in sample:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        bucket, _ = trigrams(raw, np.array([0, len(raw)]))
+        # a long text counts as a short one, so that no single text makes the model
+        counts[at[name]] += np.bincount(bucket, minlength=BUCKETS) * min(1.0, 1000 / max(1, len(bucket)))
     table = np.log(counts / counts.sum(1, keepdims=True)) if names else counts
     return TextModel([*names, OTHER], np.vstack([table, np.full(BUCKETS, OTHER_TRIGRAM)]).astype(np.float32))
 
 
 def train(rows: DataFrame, text: str, declared: Column) -> TextModel:
-    """The text model of at most SAMPLE_ROWS different texts of up to MAX_CHARS that declare a language, least hashes first."""
+    """The text model of every language that LEAST_ROWS different texts declare.
+
+    All rows are counted; a language then gives its texts of least hashes, about SAMPLE_ROWS over the number of languages
+    or LEAST_SHARE, and of each its first MAX_CHARS characters. A frequent language takes no texts from a rare one.
+    """
     require(rows, text)
     known = rows.select(F.lower(F.trim(declared)).alias("declared"), F.col(text).alias("text")).filter("declared <> '' AND text <> ''")
-    known = known.filter(F.length("text") <= MAX_CHARS).withColumn("h", F.xxhash64("text"))
-    sample = known.groupBy("h").agg(F.min("declared").alias("said")).orderBy("h").limit(SAMPLE_ROWS)
-    found = known.join(F.broadcast(sample), "h").dropDuplicates(["h"]).orderBy("h").select("text", "said").collect()  # SAMPLE_ROWS at most
-    return fit([r.text for r in found], [r.said for r in found])
+    known = known.filter(F.col("declared") != OTHER).withColumn("h", F.xxhash64("text"))
+    different = cut_lineage(known.select("declared", "h").distinct(), "declared-texts")
+    found = different.groupBy("declared").count().filter(F.col("count") >= LEAST_ROWS).collect()  # one row a language
+    if not found:
+        return fit([], [])
+    share = max(LEAST_SHARE, SAMPLE_ROWS // len(found))
+    # hashes are spread evenly, so that a bound gives a language about its share without ranking its texts
+    bounds = [(r["declared"], -(1 << 63) + ((1 << 64) * min(share, r["count"]) // r["count"]) - 1) for r in found]
+    limits = rows.sparkSession.createDataFrame(bounds, "declared string, bound long")
+    sample = different.join(F.broadcast(limits), "declared").filter("h <= bound").select("declared", "h")
+    cut = known.withColumn("text", F.substring("text", 1, MAX_CHARS)).join(F.broadcast(sample), ["declared", "h"])
+    texts = cut.dropDuplicates(["declared", "h"]).orderBy("declared", "h").select("text", "declared")
+    return fit(texts.toLocalIterator(), sorted(r["declared"] for r in found))
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text: str, keep: list[str]) -> DataFrame:

@@ -57,3 +57,18 @@ def test_nothing_declared(spark):
     docs = spark.createDataFrame([(1, "the thing"), (2, None)], "doc_id long, text string")
     model = lg.train(docs, "text", lg.F.lit(None).cast("string"))
     assert model.languages == ["und"] and {r.kept for r in lg.identify(docs, model).collect()} == {False}
+
+
+def test_rare_languages_and_long_texts_stay_in_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lg, "SAMPLE_ROWS", 40)
+    rows = [(k, t, lang) for k, t, lang in texts(1500)]
+    pick = random.Random(2)
+    rare = [(2000 + k, " ".join(pick.choice(("kzyx", "wqorb", "vlimt", "jupst", "hnaqk")) for _ in range(30)), "zz") for k in range(6)]
+    long = [(3000 + k, " ".join(pick.choice(("dåfgø", "bærmk", "cøtlå")) for _ in range(3000)), "yy") for k in range(6)]
+    few = [(4000 + k, f"gikmo pedra {k}", "xx") for k in range(4)]
+    docs = spark.createDataFrame(rows + rare + long + few, "doc_id long, text string, lang string")
+    model = lg.train(docs, "text", lg.F.col("lang"))
+    assert model.languages == ["de", "en", "fr", "yy", "zz", "und"]
+    got = {r.doc_id: r for r in lg.identify(docs, model, declared=lg.F.col("lang")).collect()}
+    assert all(got[k].language == lang and got[k].kept for k, _, lang in rare + long)
+    assert sum(got[k].language == lang for k, _, lang in rows) >= 1495
