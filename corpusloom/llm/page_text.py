@@ -26,6 +26,7 @@ from corpusloom.llm.common import pieces, released, require
 from corpusloom.session import cut_lineage, key_bytes, may_broadcast
 
 MOST = 0.5  # share of a host's pages that a template's class is found on
+WRAPS = 3  # times the text outside of it that a dropped element holds if it is a wrapper of the page
 MAX_PATH = 40  # elements of a path that tell tokens apart; deeper ones count as one
 
 # Elements of the markup language by what they mean for the text.
@@ -55,17 +56,21 @@ _WORD = re.compile(r"[a-z]+")
 _BLANKS = re.compile(r"\s+")
 
 
-def parsed(page: str) -> Iterator[tuple[str, str, str, str, bool]]:
+_NEVER = ("",)  # around what is dropped whatever it holds
+
+
+def parsed(page: str) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
     """The page as (`kind`, `path`, `name`, `text`, `dropped`) in page order.
 
     Kinds are `open`, `close`, `text` and `break` (the border of a block); `path` leads to the element, names joined by
-    `>`, with class and id where given; `dropped` says that the element or one around it is named as not the article's.
+    `>`, with class and id where given; `dropped` has the paths of the elements, this or around it, that only a form or a
+    word of their attributes names as not the article's, or _NEVER inside elements like menus; it is empty for the others.
     Elements left open are closed where the next one ends them, or at the end of the one around them.
     """
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    stack: list[tuple[str, str, tuple[str, ...]]] = [("", "", ())]
     at, n = 0, len(page)
 
-    def close(down_to: int) -> Iterator[tuple[str, str, str, str, bool]]:
+    def close(down_to: int) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
         while len(stack) > down_to:
             name, path, dropped = stack.pop()
             yield "close", path, name, "", dropped
@@ -106,11 +111,15 @@ def parsed(page: str) -> Iterator[tuple[str, str, str, str, bool]]:
         step = name + ("." + ".".join(sorted(set(label.split()))) if label else "")
         path = stack[-1][1] + ">" + step if len(stack) <= MAX_PATH else stack[-1][1]
         words = set(_WORD.findall(f"{label} {given.get('role', '').lower()}"))
-        own = name in DROPPED or (name not in ("html", "body", "main") and bool(words & BOILERPLATE) and not _is_content(name, label, given))
-        dropped = stack[-1][2] or own
+        content = _is_content(name, label, given)
+        dropped = stack[-1][2]
+        if name in DROPPED and name != "form":
+            dropped = _NEVER
+        elif dropped != _NEVER and (name == "form" or name not in ("html", "body", "main") and words & BOILERPLATE and not content):
+            dropped = (*dropped, path)
         if name in BLOCK:
             yield "break", path, name, "", dropped
-        yield "open", path, name, "content" if _is_content(name, label, given) else "", dropped
+        yield "open", path, name, "content" if content else "", dropped
         if name in VOID or found[3].endswith("/"):
             continue
         stack.append((name, path, dropped))
@@ -128,16 +137,48 @@ def _is_content(name: str, label: str, given: dict[str, str]) -> bool:
     return bool(set(label.split()) & CONTENT)
 
 
+def judged(page: str) -> list[tuple[str, str, str, str, tuple[str, ...]]]:
+    """`parsed`, in which an element that holds the page's article does not drop it.
+
+    As long as no article lies outside of dropped elements, the outermost one that holds WRAPS times the text outside of
+    all of them is a wrapper of the page; what is dropped inside it is judged after it.
+    """
+    found = list(parsed(page))
+    chains: dict[tuple[str, ...], int] = {}
+    named = set()
+    for kind, _, _, text, dropped in found:
+        if kind == "text" and dropped != _NEVER:
+            chains[dropped] = chains.get(dropped, 0) + len(text.strip())
+        elif kind == "open" and text == "content" and dropped != _NEVER:
+            named.add(dropped)
+    free: set[str] = set()
+    while not any(free.issuperset(chain) for chain in named):
+        outside, inside = 0, {}
+        for chain, size in chains.items():
+            first = next((x for x in chain if x not in free), None)
+            if first is None:
+                outside += size
+            else:
+                inside[first] = inside.get(first, 0) + size
+        most = max(inside, key=lambda x: (inside[x], x), default=None)
+        if most is None or inside[most] <= WRAPS * outside:
+            break
+        free.add(most)
+    if not free:
+        return found
+    return [(*x[:4], x[4] if x[4] == _NEVER else tuple(w for w in x[4] if w not in free)) for x in found]
+
+
 def tokens_of(page: str) -> dict[str, list]:
     """Each markup token of a page with its count, its first place, whether it opens content, is dropped, and the
     characters of text right inside."""
     out: dict[str, list] = {}
     place = 0
-    for kind, path, _, text, dropped in parsed(page):
+    for kind, path, _, text, dropped in judged(page):
         if kind == "open" or kind == "close":
             key = path if kind == "open" else "/" + path
             place += 1
-            seen = out.setdefault(key, [0, place, text == "content", dropped, 0])
+            seen = out.setdefault(key, [0, place, text == "content", bool(dropped), 0])
             seen[0] += 1
         elif kind == "text" and path in out:
             out[path][4] += len(text.strip())
@@ -146,6 +187,11 @@ def tokens_of(page: str) -> dict[str, list]:
 
 def main_text(page: str, slots: set[str]) -> str:
     """The text of a page that lies in the template's content slots, one line for each block."""
+    return _slot_text(judged(page), slots)
+
+
+def _slot_text(page: list[tuple], slots: set[str]) -> str:
+    """The text of a `judged` page that lies in the template's content slots, one line for each block."""
     blocks: list[str] = []
     now: list[str] = []
     inside: list[str] = []
@@ -156,7 +202,7 @@ def main_text(page: str, slots: set[str]) -> str:
             blocks.append(line)
         now.clear()
 
-    for kind, path, _, text, dropped in parsed(page):
+    for kind, path, _, text, dropped in page:
         if kind == "open" and path in slots and not dropped:
             end()
             inside.append(path)
@@ -211,7 +257,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     pages = tokens.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     vectors = tokens.groupBy("host", "token").agg(
         F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("found"), F.max("content").alias("content"),
-        F.min("dropped").alias("dropped"), F.sum("chars").alias("chars"),
+        (F.avg(F.col("dropped").cast("int")) > 0.5).alias("dropped"), F.sum("chars").alias("chars"),
     )
     frequent = vectors.join(pages, "host").filter(F.col("found") >= MOST * F.col("pages"))
     sized = frequent.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
@@ -253,11 +299,11 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
         for batch in pieces(batches, "html"):
             texts = []
             for page, slots in zip(batch.column("html").to_pylist(), batch.column("slots").to_pylist()):
-                page = page or ""
+                events = judged(page or "")
                 mine = set(slots or ())
-                if mine and not any(kind == "open" and path in mine and not dropped for kind, path, _, _, dropped in parsed(page)):
+                if mine and not any(kind == "open" and path in mine and not dropped for kind, path, _, _, dropped in events):
                     mine = set()
-                texts.append(main_text(page, mine or own_slots(tokens_of(page))))
+                texts.append(_slot_text(events, mine or own_slots(tokens_of(page or ""))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["id", "url", "text", "n_chars"]
             )

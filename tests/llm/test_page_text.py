@@ -27,6 +27,18 @@ def test_single_pages(body, want):
     assert pt.main_text(whole, pt.own_slots(pt.tokens_of(whole))) == want
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="layout has-sidebar">', '<div id="header-page">', '<div class="social-site"><div class="widget">', "<form>"])
+def test_wrappers_do_not_drop_the_article(spark, wrapper):
+    side = "<div class=sidebar><p>other things</p></div><div id=comments><p>" + "a reader's words " * 50 + "</p></div>"
+    rows = [(k, "http://a.org/", page(f"{wrapper}{MENU}<article><h1>Head {k}</h1><p>Body {k}</p></article>{side}")) for k in range(3)]
+    rows += [(10 + k, "http://b.org/", page(f"{wrapper}{MENU}<div class=text><p>{f'Body {k} ' * 30}</p></div><div class=sidebar>other</div>")) for k in range(3)]
+    got = {r.page_id: r.text for r in pt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k}\nBody {k}" for k in range(3)} | {10 + k: (f"Body {k} " * 30).strip() for k in range(3)}
+    # an article outside keeps what is named otherwise dropped
+    whole = page(f"<article>x</article>{wrapper}<article><p>{'teaser ' * 20}</p></article>")
+    assert pt.main_text(whole, pt.own_slots(pt.tokens_of(whole))) == "x"
+
+
 def frame(k, text, extra=""):
     return page(f"<div class=top>site {k}</div>{MENU}<div class=story-x><p>{text}</p><p>end {k}</p></div>{extra}<div class=end>long closing words of the site, long closing words of the site</div></body></html>")
 
