@@ -1,11 +1,14 @@
-"""Main text of pages by templates deduced from equivalence classes of markup.
+"""Main text of pages by element paths that equivalence classes of markup select.
 
 Pages of a host are compared by their markup tokens: an element's start or end, told apart by the path of elements around
 it. A token's occurrence vector has its count on every page of the host; tokens with the same vector form a class. A class
-is valid if its tokens come in the same order on all pages and if it is not a single token; valid classes that most pages
-of the host have are nested by their paths to the host's template. Between two neighbouring template tokens lies a slot.
-The template's slots inside an article (or, without one, the slot that holds most text outside menus and the like) are the
-host's content, and a page's text is what lies in them.
+is valid if its tokens come in the same order on all pages and if it is not a single token; the elements of valid classes
+that most pages of the host have are its template. The ones named as an article are the host's content. Without one, each
+element is a slot whose text differs between pages: content are the headlines and the slots that hold a tenth or more of
+what the fullest holds. A page's text is what lies in its host's content.
+
+This is less than the method of equivalence classes in two places: classes are not nested, as the paths of their tokens
+nest them already, and words are no tokens, so that text repeated inside a content slot stays.
 
 A vector is never gathered: it is compared by sums of hashes of (page, count), which Spark adds up before the shuffle.
 A host of any size therefore gives a few rows for each of its tokens, and pages are parsed where they are.
@@ -16,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,7 @@ from corpusloom.session import cut_lineage, key_bytes, may_broadcast
 
 MOST = 0.5  # share of a host's pages that a template's class is found on
 WRAPS = 3  # times the text outside of it that a dropped element holds if it is a wrapper of the page
+SLOT_SHARE = 0.1  # of the fullest slot's text that another one holds if it is content
 MAX_PATH = 40  # elements of a path that tell tokens apart; deeper ones count as one
 
 # Elements of the markup language by what they mean for the text.
@@ -52,6 +57,8 @@ CONTENT = set("articlebody article-body post-content entry-content article-conte
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-hidden|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+INNER = r">(p|h1|h2|h3|li|pre|blockquote|b|i|a|em|strong|span)$"  # part of the slot around it
+_HEADLINE = r">h1(\.[^>]*)?$"
 _WORD = re.compile(r"[a-z]+")
 _BLANKS = re.compile(r"\s+")
 
@@ -171,17 +178,19 @@ def judged(page: str) -> list[tuple[str, str, str, str, tuple[str, ...]]]:
 
 def tokens_of(page: str) -> dict[str, list]:
     """Each markup token of a page with its count, its first place, whether it opens content, is dropped, and the
-    characters of text right inside."""
+    characters of text right inside and their checksum."""
     out: dict[str, list] = {}
     place = 0
     for kind, path, _, text, dropped in judged(page):
         if kind == "open" or kind == "close":
             key = path if kind == "open" else "/" + path
             place += 1
-            seen = out.setdefault(key, [0, place, text == "content", bool(dropped), 0])
+            seen = out.setdefault(key, [0, place, text == "content", bool(dropped), 0, 0])
             seen[0] += 1
         elif kind == "text" and path in out:
-            out[path][4] += len(text.strip())
+            said = text.strip()
+            out[path][4] += len(said)
+            out[path][5] = crc32(said.encode("utf-8", "surrogatepass"), out[path][5])
     return out
 
 
@@ -203,7 +212,7 @@ def _slot_text(page: list[tuple], slots: set[str]) -> str:
         now.clear()
 
     for kind, path, _, text, dropped in page:
-        if kind == "open" and path in slots and not dropped:
+        if kind == "open" and path in slots and not dropped and (not inside or path == inside[-1]):
             end()
             inside.append(path)
         elif kind == "close" and inside and path == inside[-1]:
@@ -218,16 +227,20 @@ def _slot_text(page: list[tuple], slots: set[str]) -> str:
 
 
 def own_slots(tokens: dict[str, list]) -> set[str]:
-    """The content slots of a page taken for itself: its articles, else where most of its text is."""
+    """The content slots of a page taken for itself: its articles, else its headlines and where most of its text is."""
     named = {t for t, x in tokens.items() if x[2] and not x[3]}
     if named:
         return named
     weight: dict[str, int] = {}
+    heads = set()
     for token, x in tokens.items():
         if not x[3] and not token.startswith("/") and x[4]:
-            around = token.rsplit(">", 1)[0] if token.count(">") > 2 and token.rsplit(">", 1)[1].split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "blockquote", "b", "i", "a", "em", "strong", "span") else token
+            around = re.sub(INNER, "", token) if token.count(">") > 2 else token
             weight[around] = weight.get(around, 0) + x[4]
-    return {max(weight, key=lambda t: (weight[t], t))} if weight else set()
+            if re.search(_HEADLINE, token):
+                heads.add(token)
+    most = max(weight.values(), default=0)
+    return heads | {t for t, n in weight.items() if n >= SLOT_SHARE * most}
 
 
 def host_of(url: str) -> Column:
@@ -236,19 +249,19 @@ def host_of(url: str) -> Column:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(`host`, `page`, `token`, `n`, `place`, `content`, `dropped`, `chars`) of `pages` (`host`, `page`, `html`)."""
+    """(`host`, `page`, `token`, `n`, `place`, `content`, `dropped`, `chars`, `said`) of `pages` (`host`, `page`, `html`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "page", "token", "n", "place", "content", "dropped", "chars"]
+        names = ["host", "page", "token", "n", "place", "content", "dropped", "chars", "said"]
         for batch in pieces(batches, "html"):
             rows: list[tuple] = []
             for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
                 rows += [(host, page, token, *x) for token, x in tokens_of(text or "").items()]
-            columns = list(zip(*rows)) or [()] * 8
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64()]
+            columns = list(zip(*rows)) or [()] * 9
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return pages.mapInArrow(released(run), "host string, page long, token string, n long, place int, content boolean, dropped boolean, chars long")
+    return pages.mapInArrow(released(run), "host string, page long, token string, n long, place int, content boolean, dropped boolean, chars long, said long")
 
 
 def templates(tokens: DataFrame) -> DataFrame:
@@ -257,7 +270,7 @@ def templates(tokens: DataFrame) -> DataFrame:
     pages = tokens.groupBy("host").agg(F.countDistinct("page").alias("pages"))
     vectors = tokens.groupBy("host", "token").agg(
         F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("found"), F.max("content").alias("content"),
-        (F.avg(F.col("dropped").cast("int")) > 0.5).alias("dropped"), F.sum("chars").alias("chars"),
+        (F.avg(F.col("dropped").cast("int")) > 0.5).alias("dropped"), F.sum("chars").alias("chars"), (F.min("said") != F.max("said")).alias("varies"),
     )
     frequent = vectors.join(pages, "host").filter(F.col("found") >= MOST * F.col("pages"))
     sized = frequent.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
@@ -272,9 +285,18 @@ def templates(tokens: DataFrame) -> DataFrame:
     valid = classes.join(orders.filter("a = b").select("host", "vector"), ["host", "vector"], "left_semi")
     starts = valid.filter(~F.col("token").startswith("/") & ~F.col("dropped"))
     named = F.collect_set(F.when(F.col("content"), F.col("token")))
-    fullest = F.max(F.when(F.col("chars") > 0, F.struct("chars", "token")))["token"]
-    per_host = starts.groupBy("host").agg(named.alias("named"), fullest.alias("fullest"))
-    fallback = F.array_compact(F.array(F.regexp_replace("fullest", r">(p|h1|h2|h3|li|pre|blockquote|b|i|a|em|strong|span)$", "")))
+    # without an article: the text of p and the like belongs to the element around, text that never differs to the
+    # frame, unless no text of the host differs
+    filled = starts.filter("chars > 0").withColumn("slot", F.regexp_replace("token", INNER, ""))
+    heads = F.collect_set(F.when(F.col("token").rlike(_HEADLINE), F.struct("varies", "token")))
+    slots = filled.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.max("varies").alias("varies"), heads.alias("heads"))
+    filled = slots.groupBy("host").agg(F.collect_list(F.struct("varies", "chars", "slot")).alias("all"), F.flatten(F.collect_list("heads")).alias("heads"))
+    filled = filled.withColumn("most", F.array_max("all"))  # a varying one if there is any
+    alike = [F.filter(c, lambda x: x["varies"] == F.col("most.varies")) for c in ("all", "heads")]
+    fuller = F.filter(alike[0], lambda x: x["chars"] >= SLOT_SHARE * F.col("most.chars"))
+    content = F.array_union(F.transform(alike[1], lambda x: x["token"]), F.transform(fuller, lambda x: x["slot"]))
+    per_host = starts.groupBy("host").agg(named.alias("named")).join(filled.select("host", content.alias("unnamed")), "host", "left")
+    fallback = F.coalesce("unnamed", F.array().cast("array<string>"))
     return per_host.select("host", F.when(F.size("named") > 0, F.col("named")).otherwise(fallback).alias("slots"))
 
 

@@ -62,6 +62,22 @@ def test_template_of_a_host(spark):
     assert pt.main_texts(df.limit(0)).count() == 0
 
 
+def test_every_slot_with_text_that_differs(spark):
+    def parts(k):
+        return (f"<div class=headline><h1>Head {k}</h1></div><div class=slogan>The same slogan on all the pages of this site, at length.</div>"
+                f"<div class=first><p>{f'First {k} ' * 9}</p><p>a <b>b{k}</b> c</p></div><div class=second><ul><li>{f'Item {k} ' * 5}<li>last</ul></div>")
+
+    rows = [(k, f"http://a.org/{k}", page(parts(k))) for k in range(4)]
+    # where no text differs, all that is not a small part
+    rows += [(10 + k, "http://b.org/", page("<div class=one>the same</div><div class=two><p>the same everywhere</p></div>")) for k in range(3)]
+    rows.append((20, "http://alone.org/", page("<div class=head><h1>Alone</h1></div><div class=text><p>" + "many words " * 20 + "</p></div><div>few</div>")))
+    got = {r.page_id: r.text for r in pt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(4):
+        assert got[k] == f"Head {k}\n{(f'First {k} ' * 9).strip()}\na b{k} c\n{(f'Item {k} ' * 5).strip()}\nlast"
+    assert {got[10 + k] for k in range(3)} == {"the same\nthe same everywhere"}
+    assert got[20] == "Alone\n" + ("many words " * 20).strip()
+
+
 def test_given_pages_against_patterns(spark):
     import html
 
