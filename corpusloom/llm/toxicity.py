@@ -1,7 +1,8 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
 Only documents are labelled, so tokens get their labels from them first: a token of a toxic document is toxic if one
-of its forms (the word, or a proper prefix of it) is far more frequent in toxic than in other documents. A chain with
+of its forms (the word, or a proper prefix of it) is far more frequent in toxic than in other documents, and so often
+that chance does not explain it. A chain with
 two tags is trained on these labels. Its forward-backward marginals give each token's chance to be toxic; their sum,
 density and peak give the document's score through a logistic curve fitted on documents that the chain did not see.
 
@@ -12,6 +13,7 @@ MAX_CHARS), on the driver; everything else is a map over whole texts.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -28,7 +30,8 @@ MAX_ROWS = 1500
 MAX_CHARS = 8_000
 THRESHOLD = 0.3
 SPAN = 0.5
-LEAST_SHARE = 0.025  # of the toxic texts of the sample that have a form before it counts as toxic
+FALSE_SHARE = 0.05  # of the forms found toxic that may be so by chance
+LEAST_TEXTS = 3  # that have a form before it is tested
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PART_TOKENS = 1 << 16  # of the sample that are looked at together
@@ -158,19 +161,67 @@ def _summaries(chance: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
     return out
 
 
+def _copies(word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each text number the least text that it shares one of four least 5-word runs with, directly or by others."""
+    parent = np.arange(int(text.max(initial=-1)) + 1)
+    at = np.flatnonzero(text[4:] == text[:-4]) if len(text) > 4 else np.zeros(0, np.int64)
+    if not len(at):
+        return parent
+    run = np.zeros(len(at), np.uint64)
+    for k in range(5):
+        run = mixed(run * np.uint64(_STEP) + word[at + k].astype(np.uint64))
+    owner, begin = np.unique(text[at], return_index=True)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for seed in range(4):
+        least = np.minimum.reduceat(mixed(run + np.uint64((seed + 1) * _SALT % (1 << 64))), begin)
+        first: dict[int, int] = {}
+        for value, own in zip(least.tolist(), owner.tolist()):
+            one, other = root(first.setdefault(value, own)), root(own)
+            parent[max(one, other)] = min(one, other)
+    return np.array([root(k) for k in range(len(parent))], np.int64)
+
+
+def _by_chance(bad: np.ndarray, good: np.ndarray, share: float) -> np.ndarray:
+    """The chance that of bad + good texts, each toxic with the chance `share`, `bad` or more are toxic."""
+    n = (bad + good).astype(np.int64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int(n.max(initial=0)) + 1)))])
+    total = np.zeros(len(n))
+    for k in range(int(good.max(initial=-1)) + 1):
+        own = np.flatnonzero(good >= k)
+        m = n[own]
+        total[own] += np.exp(logs[m] - logs[k] - logs[m - k] + k * np.log1p(-share) + (m - k) * np.log(share))
+    return np.minimum(total, 1.0)
+
+
 def _token_labels(form: np.ndarray, word: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic texts with a form that toxic texts have far more often than others."""
-    n_toxic, n_clean = max(1, toxic.sum()), max(1, (~toxic).sum())
-    tied = np.unique(np.stack([text, word], 1), axis=0)
+    """1 for tokens of toxic texts with a form that toxic texts have far more often than others.
+
+    Texts that are copies of one another but for some words count once. Forms are tested against chance; the bound is that
+    of Benjamini and Hochberg, so that it does not depend on how many texts there are.
+    """
+    group = _copies(word, text)[text]
+    either = [np.unique(group[toxic[text] == c]) for c in (False, True)]
+    n_clean, n_toxic = (max(1, len(x)) for x in either)
+    tied = np.unique(np.stack([group * 2 + toxic[text], word], 1), axis=0)
     seen = np.zeros((2, BUCKETS))
     for k in range(form.shape[1]):
         each = np.unique(np.stack([tied[:, 0], form[tied[:, 1], k]], 1), axis=0)
         for c in (0, 1):
-            seen[c] += np.bincount(each[toxic[each[:, 0]] == c, 1], minlength=BUCKETS)
-    rate = [(seen[0] + 0.5) / n_clean, seen[1] / n_toxic]
-    # a form of few texts may only belong to copies of one text
-    marked = (seen[1] >= max(3, LEAST_SHARE * n_toxic)) & (rate[1] >= 12 * rate[0])
-    marked[0] = False
+            seen[c] += np.bincount(each[each[:, 0] % 2 == c, 1], minlength=BUCKETS)
+    seen[:, 0] = 0
+    tested = seen.sum(0) >= LEAST_TEXTS
+    likely = np.flatnonzero(tested & (seen[1] >= LEAST_TEXTS) & (seen[1] / n_toxic >= 12 * seen[0] / n_clean))
+    chance = _by_chance(seen[1, likely], seen[0, likely], n_toxic / (n_toxic + n_clean))
+    order = np.argsort(chance, kind="stable")
+    below = np.flatnonzero(chance[order] <= FALSE_SHARE * np.arange(1, len(order) + 1) / max(1, tested.sum()))
+    marked = np.zeros(BUCKETS, bool)
+    marked[likely[order[: below.max(initial=-1) + 1]]] = True
     return marked[form].any(1)[word] & toxic[text]
 
 
@@ -215,6 +266,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 40) ->
     label = np.zeros(len(word), bool)
     label[train] = _token_labels(form, word[train], text[train], toxic)
     if not label.any():
+        warnings.warn("no word is toxic beyond chance: every text gets the share of toxic labels as its score", stacklevel=2)
         return nothing
 
     def starts_of(chosen: np.ndarray) -> np.ndarray:

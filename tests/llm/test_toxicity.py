@@ -68,3 +68,30 @@ def test_without_labels_or_rows(spark):
     chain = tx.train(docs, none)
     assert {r.predicted for r in tx.score(docs, chain).collect()} == {0}
     assert tx.score(docs.limit(0), chain).count() == 0
+
+
+def test_rare_toxic_words_and_near_copies():
+    pick = random.Random(7)
+    rare = ["".join(pick.choice("bcdfghjklmnpqrstvwxz") + pick.choice("aeiou") for _ in range(5)) for _ in range(60)]
+
+    def clean():
+        return ["".join(pick.choice(("ba", "do", "ri", "mu")) for _ in range(pick.randrange(1, 4))) for _ in range(pick.randrange(20, 60))]
+
+    texts, toxic = [], []
+    for k in range(1600):  # each of the words is in about one and a half of 100 toxic texts
+        words = clean()
+        if k % 2:
+            words.insert(pick.randrange(len(words)), rare[k // 2 % 60])
+        texts.append(" ".join(words))
+        toxic.append(k % 2 == 1)
+    base = clean() * 2
+    base[10:10] = ["onlyhere", "whenever"]
+    for k in range(60):  # near copies of one toxic text
+        texts.append(" ".join([*base, rare[k], f"x{k}"]))
+        toxic.append(True)
+    tagger = tx.Tagger(tx.fit(texts, np.array(toxic), 0.5))
+    score, spans = tagger.score([" ".join([*clean(), w, *clean()]) for w in rare])
+    plain, _ = tagger.score([" ".join(clean()) for _ in range(60)])
+    assert (score >= tx.THRESHOLD).mean() >= 0.9 and (plain >= tx.THRESHOLD).mean() <= 0.1
+    assert sum(map(bool, spans)) >= 54
+    assert not tagger.score(["ba do onlyhere ri mu whenever ba"])[1][0]
