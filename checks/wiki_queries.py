@@ -235,15 +235,15 @@ last AS (SELECT max(page_id) AS page_id FROM (SELECT page_id FROM states WHERE d
 taken AS (SELECT s.* FROM states s, last WHERE s.page_id <= last.page_id)"""
 
 
-def _resumed(spark, sf_dir) -> str:
-    """A run over three batches with a limit that died behind its first one, in the middle of the second, then resumed."""
+def _resumed(spark, sf_dir, limit: int | None = 400) -> str:
+    """A run over three batches, with a limit if given, that died behind its first one, in the middle of the second, then resumed."""
     output, dump = scratch(spark, "prepared"), _dump(spark, sf_dir)
-    options = dataclasses.replace(_options(), limit=400)
+    options = dataclasses.replace(_options(), limit=limit)
     pages = wiki_dump.read_pages(spark, dump)
     edges = [int(x) for x in pages.approxQuantile("page_id", [1 / 3, 2 / 3], 0.001)]
     named = [F.lit(v).alias(k) for k, v in wiki_prepare.config_row(dump, output, options).items()]
     spark.range(1).select(*named, F.array(*map(F.lit, edges)).cast("array<bigint>").alias("edges")).write.parquet(f"{output}/settings")
-    wiki_prepare.prepare_batch(spark, pages, output, options, edges, 0, 400)
+    wiki_prepare.prepare_batch(spark, pages, output, options, edges, 0, limit)
     wiki_prepare.read_articles(spark, f"{output}/articles").write.json(f"{output}/articles/batch=00000001")  # torn
     wiki_prepare.prepare(spark, dump, output, options, resume=True)
     return output
@@ -265,6 +265,24 @@ def wiki_resume_totals(spark, sf_dir):
     return summary.withColumn("error_rows", F.lit(errors).cast("bigint"))
 
 
+@query("wiki_resume_whole", f"""WITH {_SQL_PAGES}
+SELECT page_id, sha256(clean) AS text_digest FROM states WHERE disposition = 'emitted'""")
+def wiki_resume_whole(spark, sf_dir):
+    """All pages of a dump, by a run that was interrupted and has no limit."""
+    articles = wiki_prepare.read_articles(spark, f"{_resumed(spark, sf_dir, None)}/articles")
+    return articles.select("metadata.page_id", tx.sha256_hex("text").alias("text_digest"))
+
+
+@query("wiki_resume_whole_totals", f"{_SQL_COUNTERS}, count(*) FILTER (disposition = 'error') AS error_rows, 3 AS batches FROM states")
+def wiki_resume_whole_totals(spark, sf_dir):
+    """The summary of that run, its error rows and its committed batches."""
+    output = _resumed(spark, sf_dir, None)
+    counted = [F.lit(wiki_prepare.read_errors(spark, output).count()).cast("bigint").alias("error_rows")]
+    summary = spark.read.parquet(f"{output}/summary")
+    names = ["pages_scanned", "records_emitted", "redirects_skipped", "namespace_pages_skipped", "short_pages_skipped", "page_errors"]
+    return summary.select(*names, *counted, F.lit(len(wiki_prepare._committed(spark, output))).alias("batches"))
+
+
 @query("partial_repair", """
 SELECT count(*) FILTER (lang <> 'de') AS whole_records, count(*) FILTER (lang = 'de') AS torn_records FROM documents""")
 def partial_repair(spark, sf_dir):

@@ -230,3 +230,12 @@ def test_repair(spark, tmp_path):
     whole, numbers = wiki_prepare.repair_output(spark, str(path))
     assert [r["id"] for r in whole.orderBy("id").collect()] == ["w:page:1", "w:page:2"]
     assert numbers.first().asDict() == {"whole_records": 2, "torn_records": 1}
+
+
+def test_a_registered_query_resumes_a_whole_dump(spark):
+    from checks import base, wiki_queries  # noqa: F401
+
+    sf_dir = "/root/testdata/sf0.001"
+    row = base.QUERIES["wiki_resume_whole_totals"](spark, sf_dir).first().asDict()
+    whole = base.QUERIES["wiki_counters"](spark, sf_dir).first().asDict()
+    assert row["batches"] == 3 and {k: row[k] for k in whole} == whole and row["error_rows"] == row["page_errors"]
