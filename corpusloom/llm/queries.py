@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    bpe, decontaminate, hard_negatives, language, minhash, page_text, shards, token_counts, toxicity, url_rules, vector_dups,
+    bpe, decontaminate, hard_negatives, language, merkle, minhash, page_text, shards, token_counts, toxicity, url_rules, vector_dups,
 )
 from corpusloom.llm.common import prepare
 
@@ -194,3 +194,14 @@ def op12(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proven = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claimed={"text": tampered})
+    return merkle.audit(proven).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
