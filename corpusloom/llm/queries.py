@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    bpe, decontaminate, hard_negatives, language, merkle, minhash, page_text, shards, token_counts, toxicity, url_rules, vector_dups,
+    bpe, decontaminate, hard_negatives, language, merkle, minhash, page_text, piece_coding, shards, token_counts, toxicity, url_rules, vector_dups,
 )
 from corpusloom.llm.common import prepare
 
@@ -205,3 +205,8 @@ def op13(spark, sf_dir):
     return merkle.audit(proven).select(
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified"
     )
+
+
+@query("op11_sentencepiece")
+def op11(spark, sf_dir):
+    return piece_coding.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
