@@ -67,9 +67,9 @@ class Vocabulary:
                 scores.append(model.get_score(i))
         if min(self.byte_id) < 0:
             raise ValueError("only vocabularies that write unknown characters as bytes")
-        for text in ("a  b ", "Ａ\t①\n"):  # runs of blanks and wide forms stay
-            if model.decode(model.encode(text)) != text or model.encode(text)[:1] == model.encode(BLANK + text)[:1] and text[0] != " ":
-                raise ValueError("only vocabularies that take texts as they are")
+        as_they_are = all(model.decode(model.encode(x)) == x for x in ("a  b ", "Ａ\t①\n"))
+        if not as_they_are or not model.id_to_piece(model.encode("a")[0]).startswith(BLANK):
+            raise ValueError("only vocabularies that take texts as they are and put a blank in front")
         self.ranks = np.unique(-np.array(scores), return_inverse=True)[1].astype(np.int32)
 
 
