@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from checks.base import (
     SQL_CHUNKS, chunks, query, scratch, sql_lexical_hits, stored_terms, table, user_turns, vectors,
 )
+from corpusloom import schemas
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vx
-from corpusloom.operators import evaluate, lexical, rag
+from corpusloom.operators import cells, evaluate, lexical, rag
 from corpusloom.operators import vectors as vec
-from corpusloom.plans import index_store
+from corpusloom.plans import index_store, vector_cells
 from corpusloom.session import cut_lineage
 
 # SQL twin of the hash embedder -------------------------------------------------------------------
@@ -156,11 +157,40 @@ def vec_distance_search(spark, sf_dir):
     return _nearest(spark, sf_dir, vec.DISTANCE)
 
 
+def _in_cells(stored):
+    rows = stored.select("id", "embedding")
+    centres = cells.train(rows)
+    placed = cut_lineage(cells.assign(rows, centres), "placed")
+    return placed, centres, cells.summary(placed)
+
+
 @query("vec_search_ann")
 def vec_search_ann(spark, sf_dir):
     stored = vectors(spark, sf_dir)
     asked = stored.select(F.col("id").alias("query_id"), "embedding")
-    return vec.approximate_search(stored, asked, 10)
+    placed, centres, counted = _in_cells(stored)
+    return cells.search(placed, asked, centres, counted, 10, exact=False)
+
+
+@query("vec_search_cells", _sql_nearest("list_cosine_similarity(v.e, q.e)", "DESC"))
+def vec_search_cells(spark, sf_dir):
+    stored = vectors(spark, sf_dir)
+    asked = stored.select(F.col("id").alias("query_id"), "embedding")
+    placed, centres, counted = _in_cells(stored)
+    found = cells.search(placed, asked, centres, counted, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 6) + 0.0).alias("score"), "id")
+
+
+@query("vec_ann_recall", """
+SELECT CAST(count_if(vec_id % 20 = 0) AS BIGINT) AS queries, CAST(count_if(vec_id % 20 = 0) * least(10, count(*)) AS BIGINT) AS expected,
+       TRUE AS reached FROM embeddings""")
+def vec_ann_recall(spark, sf_dir):
+    stored = vectors(spark, sf_dir)
+    asked = cut_lineage(stored.filter(F.col("position") % 20 == 0).select(F.col("id").alias("query_id"), "embedding"), "asked")
+    placed, centres, counted = _in_cells(stored)
+    found = cells.search(placed, asked, centres, counted, 10, exact=False)
+    measured = cells.recall(found, vec.search(stored, asked, 10)[0])
+    return measured.select("queries", "expected", (F.col("found") >= cells.TARGET_RECALL * F.col("expected")).alias("reached"))
 
 
 _SEMANTIC_TABLES = f"""WITH {SQL_CHUNKS},
@@ -185,6 +215,27 @@ def semantic_search(spark, sf_dir):
     )
 
 
+@query("semantic_cells", f"""
+{sql_embedding(_SEMANTIC_TABLES)},
+q AS (SELECT CAST(substring(id, 2) AS BIGINT) AS query_id, embedding AS qe FROM embedded WHERE id LIKE 'b%'),
+c AS (SELECT substring(id, 2) AS id, embedding AS e FROM embedded WHERE id LIKE 'c%'),
+s AS (SELECT query_id, id, round(list_cosine_similarity(e, qe), 9) AS score FROM c, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, id FROM r""")
+def semantic_cells(spark, sf_dir):
+    """A stored index in two batches, each brought into cells behind its commit."""
+    path = scratch(spark, "semantic-cells")
+    rows = chunks(spark, sf_dir)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    index_store.build_vectors(rows.join(labelled, "document_id", "left_semi").select(*schemas.CHUNK_FIELDS), path)
+    vector_cells.refresh(spark, path)
+    index_store.append_vectors(rows.select(*schemas.CHUNK_FIELDS), path)
+    vector_cells.refresh(spark, path)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vx.hash_embed("text").alias("embedding"))
+    found = vector_cells.search(spark, path, asked, 5)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "id")
+
+
 _BUILD_TABLES = f"WITH {SQL_CHUNKS}, texts AS (SELECT id, text FROM chunks)"
 
 

@@ -110,10 +110,10 @@ class VectorScorer:
         self.mode = mode
 
     def prepare(self, queries: pa.Table) -> np.ndarray:
-        return self._matrix(queries.column("embedding").combine_chunks())
+        return self.matrix(queries.column("embedding").combine_chunks())
 
     def keys(self, state: np.ndarray, items: pa.RecordBatch) -> np.ndarray:
-        vectors = self._matrix(items.column("embedding"))
+        vectors = self.matrix(items.column("embedding"))
         if self.mode == COSINE:
             scores = state @ vectors.T
         else:
@@ -124,7 +124,7 @@ class VectorScorer:
                 scores = np.stack([-((vectors - query) ** 2).sum(axis=1) for query in state])
         return np.rint(scores * blocked.SCORE_UNIT)
 
-    def _matrix(self, vectors: pa.Array) -> np.ndarray:
+    def matrix(self, vectors: pa.Array) -> np.ndarray:
         """Vectors as rows. Nulls, other sizes and values that are not finite are refused: they would
         shift or poison the scores of others."""
         sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
@@ -135,7 +135,7 @@ class VectorScorer:
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if not np.isfinite(flat).all():
             raise ValueError("a vector holds a null or a value that is not finite")
-        matrix = flat.reshape(len(vectors), -1)
+        matrix = flat.reshape(len(vectors), sizes[0] if len(sizes) else 0)
         if self.mode == COSINE:
             length = np.linalg.norm(matrix, axis=1, keepdims=True)
             matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
@@ -199,30 +199,3 @@ def semantic_search(
     return search_chunks(vectors, asked, k, mode, **layout).withColumn(
         "score_semantics", F.lit(SCORE_SEMANTICS[mode])
     )
-
-
-def approximate_search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 8, planes: int = 4, seed: int = 42
-) -> DataFrame:
-    """Opt-in approximate search: vectors on the same side of some random planes meet, cosine ranks them.
-
-    May miss neighbours; `search` is the exact default. Inside a bucket the search is exact and only
-    the k best leave a cell, so a bucket full of copies costs no more than its share of a full scan.
-    """
-    check_limit(k)
-    sample = queries.select(F.size("embedding").alias("d")).first()
-    width = sample["d"] if sample else 1
-    normals = np.random.default_rng(seed).normal(size=(tables, planes, width))
-
-    def bucket(table: int) -> Column:
-        sides = [
-            F.when(vx.dot("embedding", F.array(*[F.lit(float(w)) for w in plane])) >= 0, 1 << bit).otherwise(0)
-            for bit, plane in enumerate(normals[table])
-        ]
-        return F.struct(F.lit(table).alias("table"), sum(sides[1:], sides[0]).alias("bucket"))
-
-    def placed(df: DataFrame, key: str) -> DataFrame:
-        plain = df.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
-        return plain.select(key, "embedding", F.inline(F.array(*[bucket(t) for t in range(tables)])))
-
-    return blocked.top_k_within(placed(vectors, "id"), placed(queries, "query_id"), VectorScorer(COSINE), k, ("table", "bucket"))

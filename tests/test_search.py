@@ -143,17 +143,6 @@ def test_vector_search_matches_brute_force(spark, mode, layout):
         assert [s for _, s in found[key]] == pytest.approx([sign * s for s, _ in best], abs=1e-6)
 
 
-def test_approximate_search_is_a_ranked_subset(spark):
-    stored = spark.createDataFrame(vector_rows(150, 7, copies=50), "id string, embedding array<double>")
-    asked = stored.select(F.col("id").alias("query_id"), "embedding")
-    exact, _ = vec.search(stored, asked, 150)
-    scores = {(r["query_id"], r["id"]): r["score"] for r in exact.collect()}
-    rows = vec.approximate_search(stored, asked, 5).collect()
-    assert all(r["score"] == scores[r["query_id"], r["id"]] for r in rows)
-    assert {r["id"] for r in rows if r["query_id"] == "v040"} == {f"v00{i}" for i in range(5)}  # copies, lowest ids
-    assert max(Counter(r["query_id"] for r in rows).values()) == 5
-
-
 def test_top_columns_prefers_the_leftmost_of_equals():
     keys = np.array([[5, 7, 7, 5, blocked.NO_MATCH, 7]])
     assert blocked._top_columns(keys, 4).tolist() == [[1, 2, 5, 0]]
