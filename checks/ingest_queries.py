@@ -146,7 +146,7 @@ def ingest_batches(spark, sf_dir):
 def _die_behind(store, config, docs, batches: int) -> None:
     """Ingest the first batches of a run as one does that is killed behind them, in the middle of the next."""
     run_id = config.run_id()
-    row = ingest._run_row(store.spark, config, run_id, "running", ingest._no_counts(store.spark), docs.count(), 0)
+    row = ingest._run_row(store.spark, config, run_id, "running", ingest._no_counts(store.spark), 0, docs.count())
     store.put(row, f"runs/state={run_id}-0000-running")
     for number in range(batches):
         part = docs.filter(F.floor(F.col("position") / config.batch_size) == number)
@@ -232,6 +232,92 @@ def ingest_stream_job(spark, sf_dir):
     return store.chunks("corpus").select("id", "title", "source", "chunk_index", "sha256")
 
 
+@query("stream_search", _SQL_FOUND)
+def stream_search(spark, sf_dir):
+    """A stream whose state is lost after some micro-batches, so that it repeats them; then a search in the index that the
+    catalog names."""
+    arriving = scratch(spark, "arriving")
+    docs = documents(spark, sf_dir).repartition(4, "document_id")
+    docs.filter(F.col("position") % 3 > 0).write.parquet(arriving)
+    store, config = _store(spark), _config()
+    ingest_stream.start(store, ingest_stream.document_stream(spark, arriving, 2), config, scratch(spark, "state")).awaitTermination()
+    docs.filter(F.col("position") % 3 == 0).write.mode("append").parquet(arriving)
+    row = ingest_stream.drain(store, ingest_stream.document_stream(spark, arriving, 2), config, scratch(spark, "state")).first()
+    entry = Workspace(spark, store.root).entry("corpus")
+    if (entry["corpus_run_id"], entry["chunk_count"]) != (row["run_id"], row["chunks_written"]):
+        raise AssertionError("the catalog is not of the last commit")
+    return _found(spark, sf_dir, entry["index_dir"])
+
+
+@query("stream_counters", f"""WITH {SQL_CHUNKS}
+SELECT 'completed' AS status, (SELECT count(*) FROM docs) AS records_seen, (SELECT count(*) FROM docs WHERE length(text) > 0) AS records_completed,
+       count(*) AS chunks_written FROM chunks""")
+def stream_counters(spark, sf_dir):
+    """The run row of a stream, from its commits."""
+    arriving = scratch(spark, "arriving")
+    documents(spark, sf_dir).repartition(3, "document_id").write.parquet(arriving)
+    store, config = _store(spark), _config(backend=index_store.SEMANTIC)
+    done = ingest_stream.drain(store, ingest_stream.document_stream(spark, arriving, 1), config, scratch(spark, "state"))
+    return done.select("status", "records_seen", "records_completed", "chunks_written")
+
+
+def _old_and_new(spark, sf_dir):
+    """A store with an index of some documents, and the documents of the forced run that is to replace it."""
+    store, config = _store(spark), _config(batch_size=400)
+    docs = documents(spark, sf_dir)
+    ingest.run(store, docs.filter(F.col("source") == "src1"), config)
+    return store, config, docs
+
+
+@query("rebuild_interrupted", f"WITH {SQL_CHUNKS} SELECT id, title, source, chunk_index, sha256 FROM chunks WHERE source = 'src1'")
+def rebuild_interrupted(spark, sf_dir):
+    """A forced run that died behind its first batch leaves the old index as it was."""
+    store, config, docs = _old_and_new(spark, sf_dir)
+    _die_in_rebuild(store, config, docs)
+    return store.chunks("corpus").select("id", "title", "source", "chunk_index", "sha256")
+
+
+def _die_in_rebuild(store, config, docs):
+    real, calls = ingest.ingest_batch, []
+
+    def dying(*args, **options):
+        if calls:
+            raise InterruptedError
+        calls.append(real(*args, **options))
+
+    ingest.ingest_batch = dying
+    try:
+        ingest.run(store, docs, config, force=True)
+    except InterruptedError:
+        pass
+    finally:
+        ingest.ingest_batch = real
+
+
+@query("rebuild_resumed", _SQL_INDEXED)
+def rebuild_resumed(spark, sf_dir):
+    """The same forced run, resumed: it replaces the index when it is whole."""
+    store, config, docs = _old_and_new(spark, sf_dir)
+    _die_in_rebuild(store, config, docs)
+    ingest.run(store, docs, config, resume=True)
+    return store.chunks("corpus").select("id", "title", "source", "chunk_index", "sha256")
+
+
+@query("append_compacted", f"""WITH {SQL_CHUNKS}
+SELECT id, sha256, (SELECT count(*) FROM chunks) AS chunk_count, 2 AS runs FROM chunks""")
+def append_compacted(spark, sf_dir):
+    """Nine appends that overlap: the key table holds every id once, in two runs."""
+    path = scratch(spark, "chunks")
+    rows = cut_lineage(chunks(spark, sf_dir).drop("document_id"), "chunks")
+    part = F.pmod(F.xxhash64("id"), F.lit(9))
+    index_store.write_chunks(rows.filter(part == 0), path)
+    for n in range(1, 9):
+        index_store.append_chunks(rows.filter((part == n) | (part == n - 1)), path)
+    keys, done = index_store.chunk_keys(spark, path), index_store.committed_batches(spark, path)
+    count = index_store.index_stats(spark, path).first()["chunk_count"]
+    return keys.all(done).select("id", "sha256", F.lit(count).alias("chunk_count"), F.lit(len(keys.live(done))).alias("runs"))
+
+
 # index storage ------------------------------------------------------------------------------------
 _SQL_SOME = "FROM chunks WHERE CAST(document_id AS BIGINT) IN (SELECT doc_id FROM labels)"
 

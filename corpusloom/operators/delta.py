@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ def _touched(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return stored.join(F.broadcast(wanted.keys), key, "left_semi") if wanted.small else stored
 
 
-def classify(docs: DataFrame, ledger: DataFrame) -> DataFrame:
+def classify(docs: DataFrame, ledger: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """`(document_id, content_digest, position, copies, verdict)` of incoming documents.
 
-    `new` is the first copy of an id the ledger does not have; the same digest again is `unchanged`;
+    `ledger` is a table, or a function that looks a table of ids up. `new` is the first copy of an id the ledger does not have; the same digest again is `unchanged`;
     any other digest of the id, in the ledger or earlier in the input, makes it `changed`.
 
     The texts are read once, for their digests. Which digest came first only matters for ids with
@@ -39,7 +41,8 @@ def classify(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     several = copies.groupBy("document_id").agg(
         F.min_by("content_digest", "position").alias("_first"), F.count("*").alias("_n")
     ).filter(F.col("_n") > 1)
-    known = _touched(ledger, copies, "document_id").select("document_id", F.col("content_digest").alias("_done"))
+    stored = ledger(copies) if callable(ledger) else ledger
+    known = _touched(stored, copies, "document_id").select("document_id", F.col("content_digest").alias("_done"))
     joined = copies.join(several, "document_id", "left").join(known, "document_id", "left")
     first = F.coalesce("_first", "content_digest")
     verdict = (

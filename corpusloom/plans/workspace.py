@@ -7,7 +7,6 @@ writes a whole new version folder, and readers take the newest finished one.
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import catalog as cat
 from corpusloom.operators import chunking
 from corpusloom.plans import index_store as store
-from corpusloom.session import delete_path, move_path, path_exists
+from corpusloom.session import delete_path, path_exists
 
 _VERSION = re.compile(r"version-(\d+)\Z")
 
@@ -134,7 +133,7 @@ class Workspace:
     def import_(self, path: str, force: bool = False) -> DataFrame:
         """Bring in every index of an export. A name in the catalog, or a folder with data, needs force.
 
-        Data is copied beside what is there first. Only then are folders exchanged and the catalog's
+        Each index is copied as a new generation. Only when all are whole are they published and the catalog's
         next version written, so a copy that fails leaves the workspace as it was.
         """
         manifest = self.spark.read.parquet(f"{path}/manifest")
@@ -153,13 +152,11 @@ class Workspace:
         taken |= {slug for slug in slugs if path_exists(self.spark, self.index_dir(slug))}
         if taken and not force:
             raise ValueError(f"in the way: {', '.join(sorted(taken))} (use force)")
-        arriving = f"{self.root}/arriving-{uuid.uuid4().hex}"
-        for slug in slugs:
-            _copy_index(self.spark, f"{path}/indexes/{slug}/index", f"{arriving}/{slug}/index")
-        for slug in slugs:
-            delete_path(self.spark, f"{self.root}/indexes/{slug}")
-            move_path(self.spark, f"{arriving}/{slug}", f"{self.root}/indexes/{slug}")
-        delete_path(self.spark, arriving)
+        arriving = {slug: store.new_generation(self.spark, self.index_dir(slug)) for slug in slugs}
+        for slug, generation in arriving.items():
+            _copy_index(self.spark, f"{path}/indexes/{slug}/index", generation)
+        for slug, generation in arriving.items():
+            store.publish(self.spark, self.index_dir(slug), generation)
         self.replace_catalog(cat.import_entries(self.catalog(), archive, self.root))
         return self.catalog().join(F.broadcast(archive.select("slug")), "slug", "left_semi")
 
@@ -167,7 +164,9 @@ class Workspace:
 def _copy_index(spark: SparkSession, source: str, target: str) -> None:
     """The committed rows of an index as one batch; nothing else comes along."""
     described = store.index_stats(spark, source)
-    for table in store.TABLES[described.first()["backend"]]:
+    first, *others = store.TABLES[described.first()["backend"]]
+    store.put_keyed(store.index_table(spark, source, first), target, first, 0)
+    for table in others:
         store.put_batch(store.index_table(spark, source, table), target, table, 0)
     described.withColumn("batch_number", F.lit(0).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(store.batch_folder(target, "commits", 0))
 

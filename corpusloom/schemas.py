@@ -34,6 +34,16 @@ RUN_DDL = (
     "last_completed_position BIGINT, status STRING, estimated_records BIGINT, "
     "embedding_fingerprint STRING, records_embedded BIGINT, committed_batches BIGINT"
 )
+RUN_COUNTS = (
+    "records_seen", "records_new", "records_skipped", "records_failed", "records_completed", "chunks_written",
+    "last_completed_position",
+)
+COMMIT_DDL = (
+    "batch_number BIGINT, backend STRING, schema_version INT, chunk_count BIGINT, source_chunks STRING, "
+    "embedding_fingerprint STRING, embedding_backend STRING, embedding_model_name STRING, embedding_dimensions INT, "
+    "normalizes_vectors BOOLEAN, model_path_id STRING, run_id STRING, run_batch STRING, "
+    + ", ".join(f"{name} BIGINT" for name in RUN_COUNTS)
+)
 PAGE_DDL = (
     "title STRING, namespace INT, page_id BIGINT, redirect_target STRING, revision_id BIGINT, "
     "revision_timestamp STRING, revision_sha1 STRING, revision_text STRING"

@@ -112,13 +112,31 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def move_path(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder; its new parent is made if it is not there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(path(target).getParent())
-    if not files.rename(path(source), path(target)):
-        raise OSError(f"cannot move {source} to {target}")
+def put_once(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that must not be there yet."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop_path, False)
+    try:
+        out.writeUTF(text)
+    finally:
+        out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """What `put_once` wrote; None if it was not written to its end."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    file = files.open(hadoop_path)
+    try:
+        if files.getFileStatus(hadoop_path).getLen() < 2:
+            return None
+        length = file.readUnsignedShort()
+        if files.getFileStatus(hadoop_path).getLen() < 2 + length:
+            return None
+        file.seek(0)
+        return file.readUTF()
+    finally:
+        file.close()
 
 
 def ship_package(spark: SparkSession) -> None:

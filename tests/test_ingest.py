@@ -60,7 +60,7 @@ def test_interrupted_run_needs_resume_with_same_settings(spark, store):
     run_id = settings.run_id()
     half = make_docs(spark, DOCS[:1])
     ingest.ingest_batch(store, half, settings, run_id, "before")
-    row = ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3, 0)
+    row = ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 0, 3)
     store.put(row, f"runs/state={run_id}-0000-running")
     docs = make_docs(spark, DOCS)
     with pytest.raises(ValueError, match="resume or force"):
@@ -77,7 +77,7 @@ def test_a_batch_lost_before_its_ledger_is_done_over(spark, store):
     run_id = settings.run_id()
     torn = spark.createDataFrame([("one:000000:x", "t", "src", 0, "left over", "x")], "id string, title string, source string, chunk_index int, text string, sha256 string")
     index_store.put_batch(torn, store.index_dir("idx"), "chunks", 0)
-    store.put(ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 3, 0), f"runs/state={run_id}-0000-running")
+    store.put(ingest._run_row(spark, settings, run_id, "running", ingest._no_counts(spark), 0, 3), f"runs/state={run_id}-0000-running")
     ingest.run(store, docs, settings, resume=True)
     ids = {r["id"] for r in store.chunks("idx").collect()}
     assert len(ids) == 5 and ids == {r["id"] for r in store.terms("idx").collect()}
@@ -170,6 +170,106 @@ def test_stream_of_json_lines(spark, store, tmp_path):
     assert sorted(e["message"] for e in store.errors(settings.run_id()).collect()) == ["malformed_json on line 2", "malformed_json on line 3"]
 
 
+def test_stream_leaves_a_run_and_a_catalog_entry(spark, store, tmp_path):
+    settings = config(continue_on_error=True)
+    incoming = str(tmp_path / "in")
+    make_docs(spark, DOCS).repartition(3).write.parquet(incoming)
+    space = Workspace(spark, store.root)
+    ingest_stream.start(store, ingest_stream.document_stream(spark, incoming, 1), settings, str(tmp_path / "s")).awaitTermination()
+    row = store.runs().first()
+    assert (row["status"], row["records_completed"], row["chunks_written"], row["committed_batches"]) == ("running", 3, 5, 3)
+    entry = space.entry("idx")
+    assert (entry["chunk_count"], entry["corpus_run_id"]) == (5, settings.run_id())
+    # died behind the commit: run row and entry are lost, the micro-batches come again from a lost state
+    from corpusloom.session import delete_path
+
+    delete_path(spark, f"{store.root}/runs")
+    space.replace_catalog(space.catalog().limit(0))
+    done = ingest_stream.drain(store, ingest_stream.document_stream(spark, incoming, 1), settings, str(tmp_path / "t")).first()
+    assert (done["status"], done["records_seen"], done["committed_batches"]) == ("completed", 3, 3)
+    assert space.entry("idx")["chunk_count"] == 5 and store.chunks("idx").count() == 5
+
+
+def test_a_rebuild_that_dies_leaves_the_old_index(spark, store, monkeypatch):
+    docs = make_docs(spark, DOCS)
+    settings = config(batch_size=1)
+    ingest.run(store, docs.limit(1), settings)
+    before = sorted(map(tuple, store.chunks("idx").collect()))
+    real, calls = ingest.ingest_batch, []
+
+    def dying(*args, **options):
+        if len(calls) == 2:
+            raise InterruptedError
+        calls.append(real(*args, **options))
+
+    for _ in range(2):  # a second forced run starts anew
+        calls.clear()
+        monkeypatch.setattr(ingest, "ingest_batch", dying)
+        with pytest.raises(InterruptedError):
+            ingest.run(store, docs, settings, force=True)
+        monkeypatch.setattr(ingest, "ingest_batch", real)
+        assert sorted(map(tuple, store.chunks("idx").collect())) == before
+    with pytest.raises(ValueError, match="resume or force"):
+        ingest.run(store, docs, settings)
+    row = ingest.run(store, docs, settings, resume=True).first()
+    assert (row["records_completed"], row["committed_batches"], store.chunks("idx").count()) == (3, 3, 5)
+    assert store.ledger(settings.run_id()).count() == 3
+
+
+def test_generations_are_published_whole(spark, tmp_path):
+    from corpusloom.operators import chunking
+    from corpusloom.session import matching_paths, path_exists, put_once
+
+    chunks = chunking.chunk_documents(make_docs(spark, DOCS)).drop("document_id")
+    path = str(tmp_path / "lex")
+    index_store.build_lexical(chunks.limit(1), path)
+    first = index_store.home(spark, path)
+    unseen = index_store.new_generation(spark, path)
+    index_store.put_lexical(chunks, unseen, 0)  # a build that dies before its end
+    assert index_store.home(spark, path) == first and index_store.index_table(spark, path, "chunks").count() == 1
+    (tmp_path / "lex/current/version-00000009").write_bytes(b"\x00")  # a pointer that was not written to its end
+    assert index_store.home(spark, path) == first
+    index_store.build_lexical(chunks, path, force=True)
+    second = index_store.home(spark, path)
+    assert second != first and index_store.index_table(spark, path, "chunks").count() == 5
+    assert path_exists(spark, first) and not path_exists(spark, unseen)  # what readers may have open stays
+    index_store.build_lexical(chunks.limit(2), path, force=True)
+    assert not path_exists(spark, first) and len(matching_paths(spark, f"{path}/gen-*")) == 2
+    assert index_store.append_lexical(chunks, path).first()["chunk_count"] == 5
+    with pytest.raises(Exception, match="exist"):
+        put_once(spark, f"{path}/current/version-00000010", "x")
+
+
+def test_key_table(spark, tmp_path):
+    from corpusloom.plans.key_table import FANIN, KeyTable
+    from corpusloom.session import delete_path
+
+    keys = KeyTable(spark, str(tmp_path), "keys", "id STRING, n INT", buckets=4)
+    made = {}
+    for batch in range(FANIN * 2 + 3):
+        rows = [(f"k{batch}-{i}", batch) for i in range(3 if batch != 5 else 0)]
+        made[batch] = rows
+        keys.put(spark.createDataFrame(rows, "id string, n int"), batch)
+        keys.compact(list(range(batch + 1)))
+    done = list(range(FANIN * 2 + 3))
+    assert keys.live(done) == [(0, 7), (8, 15), (16, 16), (17, 17), (18, 18)]
+    assert keys.live(done[:-1])[-1] == (17, 17) and keys.live([0, 1, 2]) is None  # runs merged beyond it
+    every = sorted(row for rows in made.values() for row in rows)
+    assert sorted(map(tuple, keys.all(done).collect())) == every
+    asked = spark.createDataFrame([("k3-1",), ("none",)], "id string")
+    found = keys.lookup(asked, done)
+    assert ("k3-1", 3) in set(map(tuple, found.collect())) and found.count() < len(every)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1][:80]
+    keys.put(spark.createDataFrame([("torn", 0)], "id string, n int"), 19)
+    assert "torn" not in {r["id"] for r in keys.all(done).collect()}
+    keys.put(spark.createDataFrame([("again", 0)], "id string, n int"), 19)  # the next attempt leaves nothing of it
+    assert {r["id"] for r in keys.all([*done, 19]).collect()} - {k for k, _ in every} == {"again"}
+    delete_path(spark, keys._run(17, 17))
+    assert keys.live(done) is None and keys.lookup(asked, done) is None
+    assert keys.lookup(asked, []).count() == 0
+
+
 def test_run_table(spark):
     rows = [("r1", "2024-01-01", 1, 4), ("r2", "2024-01-02", 2, 0), ("r3", "2024-01-02", 1, 3)]
     runs = spark.createDataFrame(rows, "run_id string, updated_at string, records_completed long, estimated_records long")
