@@ -8,33 +8,42 @@ from pyspark.sql import functions as F
 from corpusloom import schemas
 from corpusloom.functions import text as tx
 
-_PAGE_END = "</page>"
 _DUMP_DDL = (
     "title ARRAY<STRING>, ns ARRAY<STRING>, id ARRAY<STRING>, redirect ARRAY<STRUCT<_title: STRING>>, "
     "revision ARRAY<STRUCT<id: STRING, timestamp: STRING, sha1: STRING, text: STRING>>"
 )
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
+def read_dump(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """Raw `<page>` elements; `malformed` marks those that do not parse, a torn last one among them.
 
+    `prefix` is that of the dump's name space, with its colon; elements are read by their local names.
+
     The dump is cut into page elements as text and each is parsed by itself, so a broken page costs
     no other. Surrounding blanks are kept: they are part of an article's text.
     """
-    pieces = spark.read.option("lineSep", _PAGE_END).text(path)
-    element = pieces.select(F.explode(F.split("value", r"(?=<page[\s>])")).alias("page")).filter(F.regexp_like("page", F.lit(r"\A<page[\s>]")))
-    torn = F.regexp_like("page", F.lit(r"(?s)</mediawiki\s*>\s*\z"))  # behind the last page end: it has none of its own
+    end, start = f"</{prefix}page>", rf"<{prefix}page[\s>]"
+    pieces = spark.read.option("lineSep", end).text(path)
+    element = pieces.select(F.explode(F.split("value", f"(?={start})")).alias("page")).filter(F.regexp_like("page", F.lit(rf"\A{start}")))
+    torn = F.regexp_like("page", F.lit(rf"(?s)</{prefix}mediawiki\s*>\s*\z"))  # behind the last page end: it has none of its own
     options = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
-    closed = F.when(torn, F.col("page")).otherwise(F.concat("page", F.lit(_PAGE_END)))
+    closed = F.when(torn, F.col("page")).otherwise(F.concat("page", F.lit(end)))
+    if prefix:
+        closed = F.regexp_replace(closed, rf"(</?){prefix}", "$1")
     parsed = element.select(F.from_xml(closed, _DUMP_DDL + ", _corrupt STRING", options).alias("x"))
     return parsed.select("x.title", "x.ns", "x.id", "x.redirect", "x.revision", F.col("x._corrupt").isNotNull().alias("malformed"))
 
 
-def require_wiki_root(spark: SparkSession, path: str) -> None:
-    """Refuse XML without a `<mediawiki>` root; reading stops at the first match."""
-    root = spark.read.text(path).filter(F.regexp_like("value", F.lit(r"<([\w-]+:)?mediawiki[\s>]")))
-    if root.isEmpty():
+def require_wiki_root(spark: SparkSession, path: str) -> str:
+    """The name space prefix of the `<mediawiki>` root, mostly none; XML without this root is refused.
+
+    Reading stops at the first match.
+    """
+    root = F.regexp_extract("value", r"<((?:[A-Za-z_][\w.-]*:)?)mediawiki[\s>]", 1)
+    found = spark.read.text(path).filter(F.regexp_like("value", F.lit(r"<([A-Za-z_][\w.-]*:)?mediawiki[\s>]"))).select(root).first()
+    if found is None:
         raise ValueError(f"{path} is not a MediaWiki XML dump (no <mediawiki> root element)")
+    return found[0]
 
 
 def _number(text: Column, kind: str) -> Column:
@@ -70,8 +79,7 @@ def pages(raw: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    require_wiki_root(spark, path)
-    return pages(read_dump(spark, path))
+    return pages(read_dump(spark, path, require_wiki_root(spark, path)))
 
 
 PAGE_COLUMNS = [field.split(" ")[0] for field in schemas.PAGE_DDL.split(", ")]

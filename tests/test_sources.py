@@ -90,6 +90,31 @@ def test_corpus_jsonl(spark, tmp_path):
     assert jsonl.estimate_records(spark.read.text(str(path))).first()[0] == 4
 
 
+def test_values_are_spoken_as_the_source_wrote_them(spark, tmp_path):
+    values = [1.0, 1.50, 1e5, 1e16, -0.0, 12345678901234567890123, ["a", 1, None], {"k": [True, 2.50], "b": "é"}, True, None, "plain", [], {}]
+    given = [json.dumps({"title": v, "text": v, "source": v, "id": v, "url": v}) for v in values]
+    given += ['{"text": "first", "text": "last", "title": "t"}', '{"text": NaN, "title": 1}', "[1, 2]", "5", "{broken", '{"title": 3}', '{"text": "x", "metadata": {"b": 1.0, "a": [2]}}']
+    path = tmp_path / "v.jsonl"
+    path.write_text("\n".join(given) + "\n")
+    docs, bad = jsonl.read_corpus_jsonl(spark, str(path))
+    expected = []
+    for line in given:
+        try:
+            data = json.loads(line)
+        except ValueError:
+            continue
+        if isinstance(data, dict) and "text" in data:
+            expected.append((str(data.get("title", f"line-{given.index(line) + 1}")), str(data["text"]), data.get("id")))
+    found = docs.orderBy("position").collect()
+    assert [(r["title"], r["text"]) for r in found] == [(t, x) for t, x, _ in expected]
+    assert [r["document_id"].startswith("doc-") for r in found] == [i is None for *_, i in expected]
+    packed = {r["text"]: json.loads(r["metadata"]) for r in found if r["metadata"]}
+    assert packed["1.5"] == {"url": 1.5, "record_source": 1.5} and packed["x"] == {"metadata": {"b": 1.0, "a": [2]}}
+    assert sorted((r["line"], r["error"]) for r in bad.collect()) == [(16, "not_an_object"), (17, "not_an_object"), (18, "malformed_json"), (19, "missing_text")]
+    good, bad = jsonl.read_simple_jsonl(spark, str(path))
+    assert {r["title"] for r in good.collect()} >= {"1.0", "['a', 1, None]", "{'k': [True, 2.5], 'b': 'é'}", "1e+16"}
+
+
 def test_simple_jsonl(spark, tmp_path):
     path = tmp_path / "s.jsonl"
     path.write_text('{"title":"T","text":"x"}\n{"title":"no"}\n\n{"title":"U","text":"y","source":"z"}\n{"title":"a b","text":"c"}\n', encoding="utf-8")

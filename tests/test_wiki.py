@@ -1,3 +1,4 @@
+import re
 import bz2
 import gzip
 import hashlib
@@ -239,3 +240,12 @@ def test_a_registered_query_resumes_a_whole_dump(spark):
     row = base.QUERIES["wiki_resume_whole_totals"](spark, sf_dir).first().asDict()
     whole = base.QUERIES["wiki_counters"](spark, sf_dir).first().asDict()
     assert row["batches"] == 3 and {k: row[k] for k in whole} == whole and row["error_rows"] == row["page_errors"]
+
+
+def test_a_dump_with_a_name_space_prefix(spark, tmp_path):
+    plain, prefixed = tmp_path / "plain.xml", tmp_path / "prefixed.xml"
+    plain.write_text(DUMP)
+    marked = re.sub(r"<(/?)(?=[a-z])", r"<\1mw:", DUMP).replace("xmlns=", "xmlns:mw=")
+    prefixed.write_text(marked)
+    rows = [sorted(map(repr, wiki_dump.read_pages(spark, str(p)).collect())) for p in (plain, prefixed)]
+    assert rows[0] == rows[1] and rows[0]
