@@ -136,9 +136,11 @@ def digests(found: DataFrame, id: str = "doc_id") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows that `contamination` marks."""
-    flag = free_name(docs, "found")
-    found = contamination(docs, items, id, text).filter("contaminated").select(F.col(id).alias(flag)).distinct()
+    """`docs` without the rows that `contamination` marks; rows go by id and text."""
+    key = free_name(docs, "key")
+    flagged = docs.withColumn(key, F.struct(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+    found = contamination(flagged, items, key, text).filter("contaminated").select(F.col(f"{key}.id").alias("id"), F.col(f"{key}.h").alias("h")).distinct()
     found = cut_lineage(found, "contaminated")
-    rows, size = found.agg(F.count("*"), F.coalesce(F.sum(key_bytes(flag)), F.lit(0))).first()
-    return docs.join(F.broadcast(found) if may_broadcast(rows, size) else found, docs[id].eqNullSafe(found[flag]), "left_anti")
+    rows, size = found.agg(F.count("*"), F.coalesce(F.sum(key_bytes("id", "h")), F.lit(0))).first()
+    same = flagged[key]["id"].eqNullSafe(found["id"]) & (flagged[key]["h"] == found["h"])
+    return flagged.join(small_side(found, rows, size), same, "left_anti").drop(key)

@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import shingles as sh
-from corpusloom.llm.common import pieces, released, require, text_bytes
+from corpusloom.llm.common import free_name, pieces, released, require, small_side, text_bytes
 from corpusloom.llm.components import connected_components
-from corpusloom.session import checked_keys, cut_lineage
+from corpusloom.session import checked_keys, cut_lineage, key_bytes
 
 COORDINATES = 32
 MATCHES = 13
@@ -57,42 +57,50 @@ def _sets_of(batch: pa.RecordBatch, text: str, words: int):
     return values, offsets, sh.distinct_sets(values, offsets)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
+def _nodes(digests: list[bytes]) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(d[:8] for d in digests), np.int64))
+
+
 def with_signatures(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(`id`, `n_shingles`, `digest` of the set, `signature`) of every row, in one pass over the texts."""
+    """(`id`, `n_shingles`, `digest` of the set, `node`, its first 64 bits, `signature`) of every row, in one pass over
+    the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE_BYTES):
             values, offsets, sets = _sets_of(batch, "text", words)
             coordinates = signatures(values, offsets)
+            digests = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
+                    batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _nodes(digests),
                     pa.ListArray.from_arrays(np.arange(0, coordinates.size + 1, COORDINATES, np.int32), coordinates.ravel()),
                 ],
-                names=["id", "n_shingles", "digest", "signature"],
+                names=["id", "n_shingles", "digest", "node", "signature"],
             )
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"id {kind}, n_shingles long, digest binary, signature array<int>")
+    return rows.mapInArrow(released(run), f"id {kind}, n_shingles long, digest binary, node long, signature array<int>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id: str, text: str, words: int) -> DataFrame:
-    """(`id`, `shingles`) of the documents whose `id` is in `ids`."""
+    """(`id`, `shingles`) of the sets of documents whose ids are in `ids`; here `id` is the set's node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", PIECE_BYTES):
             sets = _sets_of(batch, "text", words)[2]
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(at, flat)], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([_nodes([_digest(s) for s in sets]), pa.ListArray.from_arrays(at, flat)], names=["id", "shingles"])
 
     keys = checked_keys(ids.distinct())
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(keys.keys) if keys.small else keys.keys, "id", "left_semi")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"id {kind}, shingles array<long>")
+    return rows.select("text").mapInArrow(released(run), "id long, shingles array<long>")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -244,18 +252,24 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     require(docs, id, text)
     stored = cut_lineage(with_signatures(docs, id, text, words), "signatures")
     known = stored.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    sets = known.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "signature")).alias("x")).select("digest", "x.*")
-    sets = cut_lineage(sets, "sets")
+    first = known.groupBy("digest").agg(F.min(F.struct("id", "node", "n_shingles", "signature")).alias("x"))
+    first = cut_lineage(first.select("digest", F.col("x.id").alias("doc"), F.col("x.node").alias("id"), "x.n_shingles", "x.signature"), "sets")
+    sets = first.drop("doc")
     lists = postings(sets).join(sets.select("id", "n_shingles", "signature"), ["id", "n_shingles"])
     lists = cut_lineage(lists, "postings")
     short, long = lists.filter(F.col("n") <= LIST_ROWS), lists.filter(F.col("n") > LIST_ROWS)
     pairs = cut_lineage(candidates(short).filter("a != b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(long.select("id"))
-    members = cut_lineage(shingle_sets(docs, wanted, id, text, words), "members").dropDuplicates(["id"])
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(long.select("id")).distinct()
+    members = cut_lineage(shingle_sets(docs, first.join(wanted, "id", "left_semi").select(F.col("doc").alias("id")), id, text, words), "members")
+    members = members.dropDuplicates(["id"])
     found = confirmed(pairs, members).union(tile_links(long, members))
     parts = connected_components(found)
-    named = sets.join(parts, sets["id"] == parts["node"], "left").select("digest", F.coalesce("component", "id").alias("c"))
-    named = cut_lineage(named, "components")
+    marked = cut_lineage(first.join(parts, first["id"] == parts["node"], "left").select("digest", "doc", "component"), "marked")
+    linked = marked.filter(F.col("component").isNotNull())
+    least = cut_lineage(linked.groupBy("component").agg(F.min("doc").alias("c")), "least")
+    n, size = least.agg(F.count("*"), F.coalesce(F.sum(key_bytes("component", "c")), F.lit(0))).first()
+    named = linked.join(small_side(least, n, size), "component").select("digest", "c")
+    named = cut_lineage(named.union(marked.filter(F.col("component").isNull()).select("digest", "doc")), "components")
     out = stored.join(named, "digest", "left")
     component = F.coalesce("c", "id")
     return out.select(
@@ -265,7 +279,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the rows that `near_duplicates` does not keep: one document of each group stays."""
-    found = near_duplicates(docs, id, text)
-    dropped = checked_keys(found.filter(~F.col("kept") & F.col(id).isNotNull()).select(id).distinct())
-    return docs.join(F.broadcast(dropped.keys) if dropped.small else dropped.keys, id, "left_anti").select(docs.columns)
+    """`docs` with one document of each group of near-duplicates, that of the least id.
+
+    Rows go by id and text: of rows that share an id only those are dropped whose own text is in a group. Of rows equal in
+    both one stays, and of linked texts of one id that with the least hash. Null ids come before all others. Rows
+    without shingles all stay.
+    """
+    key = free_name(docs, "key")
+    flagged = docs.withColumn(key, F.struct(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
+    found = near_duplicates(flagged, key, text)
+    counted = found.groupBy(key).agg(F.max("kept").alias("kept"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    odd = counted.filter(~F.col("kept") | ((F.col("rows") > 1) & (F.col("n") > 0))).select(F.col(f"{key}.id").alias("id"), F.col(f"{key}.h").alias("h"), "kept")
+    marks = checked_keys(odd)
+    marks = F.broadcast(marks.keys) if marks.small else marks.keys
+    mine, h = flagged[key]["id"], flagged[key]["h"]
+    rest = flagged.join(marks, mine.eqNullSafe(marks["id"]) & (h == marks["h"]), "left_anti")
+    again = marks.filter("kept")
+    repeated = flagged.join(again, mine.eqNullSafe(again["id"]) & (h == again["h"]), "left_semi").dropDuplicates([key])
+    return rest.unionByName(repeated).select(docs.columns)

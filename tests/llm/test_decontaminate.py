@@ -56,3 +56,13 @@ def test_plan_has_no_python(spark, capsys):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     found = dc.digests(dc.contamination(docs, docs.withColumnRenamed("doc_id", "item_id")))
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_only_the_contaminated_text_of_an_id_goes(spark):
+    passage = "the answer to this question of the benchmark is a number that nobody would guess at all"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(1, passage), (1, "a clean text"), (2, "clean too"), (None, passage), (None, "clean without a name"), (3, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
+    left = dc.drop_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "clean without a name"), (1, "a clean text"), (2, "clean too"), (3, "")]

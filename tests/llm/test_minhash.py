@@ -52,6 +52,26 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_go_by_their_texts(spark):
+    """Twice, as any of an id's texts could be taken by chance."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y"), (8, "another text of its own words"), (4, b + " z"), (None, a), (None, "no name at all for it")]
+    for _ in range(2):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(docs).collect())
+        assert got == [(0, 0), (0, 5), (4, 4), (5, 4), (5, 5), (6, 5), (7, 4), (8, 8)]
+        kept = sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(docs).collect())
+        assert kept == [(0, a), (0, "no name at all for it"), (4, b + " z"), (8, "another text of its own words")]
+
+
+def test_one_of_identical_rows_stays(spark):
+    rows = [(1, "a b c d e f")] * 3 + [(None, "g h i j k l")] * 2 + [(2, "a b c d e f"), (3, ""), (3, ""), (4, None), (1, "other words than the first")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, key int").repartition(3)
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "g h i j k l"), (1, "a b c d e f"), (1, "other words than the first"), (3, ""), (3, ""), (4, "")]
+
+
 def test_rows_do_not_run_into_each_other():
     data = np.frombuffer("abcd ef".encode(), np.uint8)
     together = shingles.word_hashes(data, np.array([0, 7]))
