@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import free_name, require, sha256_joined
+from corpusloom.llm.common import free_name, require, sha256_joined, small_side
 from corpusloom.session import cut_lineage, key_bytes, may_broadcast
 
 WINDOW = 13
