@@ -3,7 +3,7 @@
 Pages of a host are compared by their markup tokens: an element's start or end, told apart by the path of elements around
 it. A token's occurrence vector has its count on every page of the host; tokens with the same vector form a class. A class
 is valid if its tokens come in the same order on all pages and if it is not a single token; the elements of valid classes
-that most pages of the host have are its template. The ones named as an article are the host's content. Without one, each
+that a tenth of the host's pages have, and two of them, are its template, which may be one of several layouts. The ones named as an article are the host's content. Without one, each
 element is a slot whose text differs between pages: content are the headlines and the slots that hold a tenth or more of
 what the fullest holds. A page's text is what lies in its host's content.
 
@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import pieces, released, require
 from corpusloom.session import cut_lineage, key_bytes, may_broadcast
 
-MOST = 0.5  # share of a host's pages that a template's class is found on
+LAYOUT = 0.1  # share of a host's pages that one of its layouts has; a template's class is found on so many, and on two
 WRAPS = 3  # times the text outside of it that a dropped element holds if it is a wrapper of the page
 SLOT_SHARE = 0.1  # of the fullest slot's text that another one holds if it is content
 MAX_PATH = 40  # elements of a path that tell tokens apart; deeper ones count as one
 
 # Elements of the markup language by what they mean for the text.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template iframe object svg math textarea title".split())
+RAW = set("script style noscript template iframe svg textarea title".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,6 +53,12 @@ BOILERPLATE = set(
     " subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies"
     " social share sharing related recommended widget toolbar pagination pager contentinfo complementary search dialog alert alertdialog skip".split()
 )
+# Words that go with them, and the elements of an article that they may name.
+FRAME = set(
+    "area articles bar block box button buttons container count form group icons inner item items links list posts section signup slot stories tools"
+    " unit wrap wrapper".split()
+)
+CONTAINERS = set("article div section ul ol dl table details figure".split())
 CONTENT = set("articlebody article-body post-content entry-content article-content story-body main-content".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -72,14 +78,18 @@ def parsed(page: str) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
     Kinds are `open`, `close`, `text` and `break` (the border of a block); `path` leads to the element, names joined by
     `>`, with class and id where given; `dropped` has the paths of the elements, this or around it, that only a form or a
     word of their attributes names as not the article's, or _NEVER inside elements like menus; it is empty for the others.
+    Inside an article only a whole class, id or role names a part as something else, and only a part like a div or a list.
     Elements left open are closed where the next one ends them, or at the end of the one around them.
     """
     stack: list[tuple[str, str, tuple[str, ...]]] = [("", "", ())]
+    inside: list[int] = []  # depths of the articles that are open
     at, n = 0, len(page)
 
     def close(down_to: int) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
         while len(stack) > down_to:
             name, path, dropped = stack.pop()
+            if inside and inside[-1] > len(stack):
+                inside.pop()
             yield "close", path, name, "", dropped
             if name in BLOCK:
                 yield "break", path, name, "", stack[-1][2]
@@ -117,12 +127,15 @@ def parsed(page: str) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
         label = " ".join(given.get(a, "") for a in ("class", "id")).strip().lower()
         step = name + ("." + ".".join(sorted(set(label.split()))) if label else "")
         path = stack[-1][1] + ">" + step if len(stack) <= MAX_PATH else stack[-1][1]
-        words = set(_WORD.findall(f"{label} {given.get('role', '').lower()}"))
+        if inside:
+            other = name in CONTAINERS and _names_other(f"{label} {given.get('role', '').lower()}")
+        else:
+            other = not BOILERPLATE.isdisjoint(_WORD.findall(f"{label} {given.get('role', '').lower()}"))
         content = _is_content(name, label, given)
         dropped = stack[-1][2]
         if name in DROPPED and name != "form":
             dropped = _NEVER
-        elif dropped != _NEVER and (name == "form" or name not in ("html", "body", "main") and words & BOILERPLATE and not content):
+        elif dropped != _NEVER and (name == "form" or name not in ("html", "body", "main") and other and not content):
             dropped = (*dropped, path)
         if name in BLOCK:
             yield "break", path, name, "", dropped
@@ -130,6 +143,8 @@ def parsed(page: str) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
         if name in VOID or found[3].endswith("/"):
             continue
         stack.append((name, path, dropped))
+        if content and not dropped:
+            inside.append(len(stack))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -137,6 +152,15 @@ def parsed(page: str) -> Iterator[tuple[str, str, str, str, tuple[str, ...]]]:
     yield from close(1)
 
 
+def _names_other(label: str) -> bool:
+    """Whether a class, id or role is made of words for what is not the article, and says nothing else."""
+    for token in label.split():
+        parts = set(_WORD.findall(token))
+        if not parts.isdisjoint(BOILERPLATE) and parts <= BOILERPLATE | FRAME:
+            return True
+    return False
+
+
 def _is_content(name: str, label: str, given: dict[str, str]) -> bool:
     """Whether an element is named as the article."""
     if name in ("article", "main") or given.get("role", "").lower() in ("main", "article") or given.get("itemprop", "").lower() == "articlebody":
@@ -179,9 +203,13 @@ def judged(page: str) -> list[tuple[str, str, str, str, tuple[str, ...]]]:
 def tokens_of(page: str) -> dict[str, list]:
     """Each markup token of a page with its count, its first place, whether it opens content, is dropped, and the
     characters of text right inside and their checksum."""
+    return _token_table(judged(page))
+
+
+def _token_table(page: list[tuple]) -> dict[str, list]:
     out: dict[str, list] = {}
     place = 0
-    for kind, path, _, text, dropped in judged(page):
+    for kind, path, _, text, dropped in page:
         if kind == "open" or kind == "close":
             key = path if kind == "open" else "/" + path
             place += 1
@@ -272,7 +300,7 @@ def templates(tokens: DataFrame) -> DataFrame:
         F.sum(F.col("mark").cast("decimal(38,0)")).alias("vector"), F.count("*").alias("found"), F.max("content").alias("content"),
         (F.avg(F.col("dropped").cast("int")) > 0.5).alias("dropped"), F.sum("chars").alias("chars"), (F.min("said") != F.max("said")).alias("varies"),
     )
-    frequent = vectors.join(pages, "host").filter(F.col("found") >= MOST * F.col("pages"))
+    frequent = vectors.join(pages, "host").filter(F.col("found") >= F.greatest(LAYOUT * F.col("pages"), F.least(F.lit(2), "pages")))
     sized = frequent.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
     classes = cut_lineage(frequent.join(sized.filter("tokens > 1"), ["host", "vector"]), "classes")
 
@@ -305,7 +333,8 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
 
     `text` is the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and
     comments; character references are decoded, white space inside a block is one blank, blocks are lines. A page that has
-    none of its host's slots is taken for itself, as is a host's only page. A null or empty page has an empty text. Ids and
+    none of its host's slots is taken for itself, as is a host's only page. A host may have several layouts: the slots of
+    each that a tenth of its pages have are the host's. A null or empty page has an empty text. Ids and
     addresses may be null or repeat, rows are parsed each by itself; pages without a host share one template; an empty
     table gives an empty one; other columns play no part.
     """
@@ -325,7 +354,7 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
                 mine = set(slots or ())
                 if mine and not any(kind == "open" and path in mine and not dropped for kind, path, _, _, dropped in events):
                     mine = set()
-                texts.append(_slot_text(events, mine or own_slots(tokens_of(page or ""))))
+                texts.append(_slot_text(events, mine or own_slots(_token_table(events))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["id", "url", "text", "n_chars"]
             )

@@ -87,3 +87,34 @@ def test_given_pages_against_patterns(spark):
         inner = re.search(r"<article>(.*?)</article>", row.html, re.S)[1]
         parts = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1)>", "\n\n", re.sub("<br>", " ", inner))).split("\n\n")
         assert got[row.page_id] == "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in parts) if x)
+
+
+STAYS = [
+    '<section class="related-work">kept words</section>', '<p class="alert alert-info">kept words</p>', '<p id="share-prices">kept words</p>',
+    '<h2 id="search">kept words</h2>', '<blockquote class="reply">kept words</blockquote>', '<div id="social-history">kept words</div>',
+    '<p>a <span class="tooltip menu-item">kept words</span></p>', "<p>x <math><mi>kept words</mi></math></p>",
+]
+GOES = [
+    '<div class="comments">gone words</div>', '<ul class="share-buttons"><li>gone words</ul>', '<div class="ad">gone words</div>',
+    '<div role="alert">gone words</div>', '<section class="comment-list"><p>gone words</section>', '<aside>gone words</aside>',
+]
+
+
+def test_what_an_article_holds_stays():
+    for part in STAYS + GOES:
+        page = f'<html><body><div class="menu">gone</div><article><p>one</p>{part}<p>two</p></article><div class="sidebar">gone</div></body></html>'
+        found = pt._slot_text(pt.judged(page), pt.own_slots(pt.tokens_of(page)))
+        assert ("kept words" in found) == (part in STAYS) and "gone" not in found and found.startswith("one\n") and found.endswith("two")
+
+
+def test_a_host_with_several_layouts_and_a_common_line(spark):
+    """What all pages share is not the article of any; a line far shorter than the host's fullest slot is frame."""
+    rows, bodies = [], []
+    for i in range(30):
+        body = " ".join(f"word{i}x{k}" for k in range(60))
+        layout = "abc"[i % 3]
+        page = f'<html><body><div class="menu">Home</div><div class="dateline">Day {i}</div><div class="story-{layout}"><p>{body}</p></div></body></html>'
+        rows.append((i, f"http://paper.example/{i}", page))
+        bodies.append(body)
+    found = pt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == dict(enumerate(bodies))
