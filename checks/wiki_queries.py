@@ -231,15 +231,20 @@ def wiki_write(spark, sf_dir):
 
 
 _SQL_LIMITED = f"""WITH {_SQL_PAGES},
-last AS (SELECT max(page_id) AS page_id FROM (SELECT page_id FROM states WHERE disposition = 'emitted' ORDER BY page_id LIMIT 400)),
+ordered AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS place, count(*) OVER () AS n FROM states WHERE disposition = 'emitted'),
+last AS (SELECT max(page_id) AS page_id FROM ordered WHERE place <= 3 * n // 5),
 taken AS (SELECT s.* FROM states s, last WHERE s.page_id <= last.page_id)"""
 
 
-def _resumed(spark, sf_dir, limit: int | None = 400) -> str:
-    """A run over three batches, with a limit if given, that died behind its first one, in the middle of the second, then resumed."""
+def _resumed(spark, sf_dir, limited: bool = True) -> str:
+    """A run over three batches that died behind its first one, in the middle of the second, then resumed. Its limit, if it
+    has one, is three fifths of all articles, which lies behind the first batch at any size."""
     output, dump = scratch(spark, "prepared"), _dump(spark, sf_dir)
-    options = dataclasses.replace(_options(), limit=limit)
     pages = wiki_dump.read_pages(spark, dump)
+    limit = None
+    if limited:
+        limit = 3 * wiki.dispose(pages, _options()).filter(F.col("disposition") == "emitted").count() // 5
+    options = dataclasses.replace(_options(), limit=limit)
     edges = [int(x) for x in pages.approxQuantile("page_id", [1 / 3, 2 / 3], 0.001)]
     named = [F.lit(v).alias(k) for k, v in wiki_prepare.config_row(dump, output, options).items()]
     spark.range(1).select(*named, F.array(*map(F.lit, edges)).cast("array<bigint>").alias("edges")).write.parquet(f"{output}/settings")
@@ -269,14 +274,14 @@ def wiki_resume_totals(spark, sf_dir):
 SELECT page_id, sha256(clean) AS text_digest FROM states WHERE disposition = 'emitted'""")
 def wiki_resume_whole(spark, sf_dir):
     """All pages of a dump, by a run that was interrupted and has no limit."""
-    articles = wiki_prepare.read_articles(spark, f"{_resumed(spark, sf_dir, None)}/articles")
+    articles = wiki_prepare.read_articles(spark, f"{_resumed(spark, sf_dir, limited=False)}/articles")
     return articles.select("metadata.page_id", tx.sha256_hex("text").alias("text_digest"))
 
 
 @query("wiki_resume_whole_totals", f"{_SQL_COUNTERS}, count(*) FILTER (disposition = 'error') AS error_rows, 3 AS batches FROM states")
 def wiki_resume_whole_totals(spark, sf_dir):
     """The summary of that run, its error rows and its committed batches."""
-    output = _resumed(spark, sf_dir, None)
+    output = _resumed(spark, sf_dir, limited=False)
     counted = [F.lit(wiki_prepare.read_errors(spark, output).count()).cast("bigint").alias("error_rows")]
     summary = spark.read.parquet(f"{output}/summary")
     names = ["pages_scanned", "records_emitted", "redirects_skipped", "namespace_pages_skipped", "short_pages_skipped", "page_errors"]
