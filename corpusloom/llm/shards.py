@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import extended, free_name, require
-from corpusloom.session import cut_lineage, may_broadcast
+from corpusloom.session import checked_keys, cut_lineage, may_broadcast
 
 BUCKET_BYTES = 16 << 20
 BUCKETS_A_SHARD = 16  # at least, so that small inputs use all cores
+BUCKETS_A_TASK = 8  # held one after another
+MAX_TASKS = 20_000  # beyond it tasks take more buckets
 LAW = "rows"
 
 
@@ -44,52 +46,69 @@ def _shuffled(seed: int, names: dict[str, str]) -> Callable[[pa.Table], pa.Table
     return run
 
 
+def _numbered(rows: DataFrame, names: dict[str, str], counts: DataFrame) -> DataFrame:
+    """`rows` with a column `number`: 0 for a row whose key no other has, else 0, 1, ... among the rows of the key.
+
+    Copies are written with the partition they come from before they are numbered, so that a task that runs again
+    numbers them alike; those of one key are counted by partition first, so that no task has to hold a key's rows.
+    """
+    key = [names["key"], names["crc"], "size"]
+    number, source, seq = names["number"], names["source"], names["seq"]
+    repeated = checked_keys(counts.filter("n > 1").select(*key))
+    if not repeated.rows:
+        return rows.withColumn(number, F.lit(0).cast("long"))
+    keys = F.broadcast(repeated.keys) if repeated.small else repeated.keys
+    copies = rows.join(keys, key, "left_semi").withColumn(source, F.spark_partition_id()).withColumn(seq, F.monotonically_increasing_id())
+    copies = cut_lineage(copies, "copies")
+    before = Window.partitionBy(*key).orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
+    starts = copies.groupBy(*key, source).agg(F.count("*").alias("n"))
+    starts = starts.select(*key, source, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*key, source).orderBy(seq)) - 1
+    copies = copies.withColumn(number, inside.cast("long")).join(starts.withColumnRenamed("n", names["start"]), [*key, source])
+    copies = copies.withColumn(number, F.col(number) + F.col(names["start"])).drop(source, seq, names["start"])
+    return rows.join(keys, key, "left_anti").withColumn(number, F.lit(0).cast("long")).unionByName(copies)
+
+
 def shuffled_shards(docs: DataFrame, shards: int, seed: int = 0, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All rows and columns of `docs` with `size`, `text_crc32`, `law`, `shard`, `slot` and `grown_shard`.
 
     `size` is the text's UTF-8 bytes (null: none) plus 1, `slot` counts from 0 without gaps in each shard, and
     `grown_shard` is null, as this law deals all rows anew for another number of shards. The order depends on ids,
-    texts, the seed and the number of buckets, not on partitions. Rows that repeat id and text are dealt like others,
-    in any order among themselves; a bucket that they overfill is split by row numbers. Null ids and texts and empty
-    tables are fine; columns with the result's names are replaced.
+    texts, the seed and the number of buckets, not on partitions. Rows that repeat id and text are numbered and
+    scattered by their numbers, so that they overfill no bucket; which of them has which number is open, the places
+    that they take together are not. Null ids and texts and empty tables are fine; columns with the result's names
+    are replaced.
     """
     require(docs, id, text)
     if shards < 1:
         raise ValueError("at least one shard")
     result = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = docs.select(*[c for c in docs.columns if c.lower() not in result])
-    names = {k: free_name(rows, k) for k in ("bucket", "part", "order", "crc", "place")} | {"size": "size"}
+    names = {k: free_name(rows, k) for k in ("bucket", "key", "order", "crc", "place", "number", "source", "seq", "start")} | {"size": "size"}
     rows = rows.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    rows = rows.withColumn(names["crc"], F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    rows = rows.withColumn(names["key"], F.xxhash64(F.lit(seed), F.col(id), names["crc"], F.col("size")))
+    counts = cut_lineage(rows.groupBy(names["key"], names["crc"], "size").agg(F.count("*").alias("n")), "keys")
+    total = counts.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
     buckets = max(-(-total // bucket_bytes), shards * BUCKETS_A_SHARD)
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    hashed = F.xxhash64(F.lit(seed), F.col(id), crc, F.col("size"))
-    rows = rows.withColumn(names["crc"], crc).withColumn(names["order"], hashed).withColumn(names["bucket"], F.pmod(hashed, F.lit(buckets)))
-
-    filled = rows.groupBy(names["bucket"]).agg(F.sum("size").alias("filled")).filter(F.col("filled") > 4 * bucket_bytes)
-    full = cut_lineage(filled.select(names["bucket"], F.ceil(F.col("filled") / bucket_bytes).cast("long").alias(names["part"])), "full-buckets")
-    n_full = full.count()
-    if n_full:  # copies of a row share its hash: only numbers can part them
-        rows = rows.join(F.broadcast(full) if may_broadcast(n_full, 24 * n_full) else full, names["bucket"], "left")
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(names["part"], F.lit(1)))
-        rows = rows.withColumn(names["part"], part)
-    else:
-        rows = rows.withColumn(names["part"], F.lit(0).cast("long"))
+    rows = _numbered(rows, names, counts)
+    rows = rows.withColumn(names["order"], F.xxhash64(names["key"], names["number"])).drop(names["key"], names["number"])
+    rows = rows.withColumn(names["bucket"], F.pmod(F.col(names["order"]), F.lit(buckets)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-buckets // BUCKETS_A_TASK), MAX_TASKS))
     kind = extended(rows, f"`{names['place']}` long")
-    shuffled = rows.groupBy(names["bucket"], names["part"]).applyInArrow(_shuffled(seed, names), kind)
+    shuffled = rows.repartition(tasks, names["bucket"]).groupBy(names["bucket"]).applyInArrow(_shuffled(seed, names), kind)
     shuffled = cut_lineage(shuffled, "buckets")
 
     # ranks before each bucket, in two levels: within groups of 1024 buckets, and over the groups
-    counts = shuffled.groupBy(F.col(names["bucket"]).alias("b"), F.col(names["part"]).alias("p")).agg(F.count("*").alias("n"))
+    counts = shuffled.groupBy(F.col(names["bucket"]).alias("b")).agg(F.count("*").alias("n"))
     counts = cut_lineage(counts.withColumn("g", F.floor(F.col("b") / 1024)), "bucket-counts")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inner = counts.withColumn("inner", F.coalesce(F.sum("n").over(before(Window.partitionBy("g").orderBy("b", "p"))), F.lit(0)))
+    inner = counts.withColumn("inner", F.coalesce(F.sum("n").over(before(Window.partitionBy("g").orderBy("b"))), F.lit(0)))
     outer = counts.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.coalesce(F.sum("n").over(before(Window.orderBy("g"))), F.lit(0)).alias("outer"))
-    starts = inner.join(outer, "g").select("b", "p", (F.col("inner") + F.col("outer")).alias("start"))
+    starts = inner.join(outer, "g").select("b", (F.col("inner") + F.col("outer")).alias("start"))
     starts = cut_lineage(starts, "bucket-starts")
     n = starts.count()
-    on = (shuffled[names["bucket"]] == starts["b"]) & (shuffled[names["part"]] == starts["p"])
-    ranked = shuffled.join(F.broadcast(starts) if may_broadcast(n, 32 * n) else starts, on)
+    ranked = shuffled.join(F.broadcast(starts) if may_broadcast(n, 32 * n) else starts, shuffled[names["bucket"]] == starts["b"])
     rank = F.col("start") + F.col(names["place"])
     kept = [c for c in docs.columns if c.lower() not in result]
     return ranked.select(

@@ -28,12 +28,28 @@ def test_law_and_order(spark, bucket_bytes):
     got = sh.shuffled_shards(docs, 5, seed=3, bucket_bytes=bucket_bytes).collect()
     check(got, len(given), 5)
     assert Counter((r.doc_id, r.text, r.place) for r in got) == Counter(given)
-    if bucket_bytes > 1000:  # whatever the partitions; copies of a row are alike
-        again = sh.shuffled_shards(docs.repartition(7), 5, seed=3).collect()
-        name = lambda rs: sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in rs if r.doc_id != 3)
-        assert name(again) == name(got)
-        other = sh.shuffled_shards(docs, 5, seed=4).collect()
-        assert name(other) != name(got)
+    name = lambda rs: sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in rs)
+    for parts in (1, 7) if bucket_bytes > 1000 else (7,):  # whatever the partitions, copies of a row too: they are alike
+        assert name(sh.shuffled_shards(docs.repartition(parts), 5, seed=3, bucket_bytes=bucket_bytes).collect()) == name(got)
+    assert name(sh.shuffled_shards(docs, 5, seed=4, bucket_bytes=bucket_bytes).collect()) != name(got)
+
+
+def test_copies_are_scattered(spark, monkeypatch):
+    given = [(k, f"text {k}", k) for k in range(300)] + [(5, "copy", k) for k in range(200)] + [(None, None, k) for k in range(100)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, number long").repartition(6)
+    got = sh.shuffled_shards(docs, 4, bucket_bytes=300).collect()
+    check(got, len(given), 4)
+    assert sorted(r.number for r in got) == sorted(n for _, _, n in given)
+    for rows_of in ([r for r in got if r.text == "copy"], [r for r in got if r.doc_id is None]):
+        shares = Counter(r.shard for r in rows_of)
+        assert len(shares) == 4 and max(shares.values()) < 2 * min(shares.values())
+        places = sorted(4 * r.slot + r.shard for r in rows_of)
+        assert places[-1] - places[0] > 400 and len({p // 60 for p in places}) == 10
+    alone = [(r.doc_id, r.shard, r.slot) for r in got if r.text and r.text != "copy"]
+    monkeypatch.setattr("corpusloom.session.MAX_BROADCAST_KEYS", 0)  # the same by joins that shuffle
+    again = sh.shuffled_shards(docs.repartition(1), 4, bucket_bytes=300).collect()
+    check(again, len(given), 4)
+    assert sorted(alone) == sorted((r.doc_id, r.shard, r.slot) for r in again if r.text and r.text != "copy")
 
 
 def test_files_and_no_rows(spark, tmp_path):
