@@ -1,13 +1,18 @@
 """Verdicts on URLs: given rules first, then association rules mined from labelled URLs, with DataFrame functions and Spark ML.
 
 A URL is a set of tokens (scheme, host labels, path words, extension, query names, fragment). FP-growth mines frequent
-token sets together with the verdict, which gives rules `tokens -> verdict` with support and confidence. Rules below the
-bounds, and rules that a more general one makes needless, are pruned. An inverted index posts each rule under its rarest
-token; a URL meets a rule there and fits it if it has all its tokens.
+token sets together with the verdict, which gives rules `tokens -> verdict` with support and confidence. Tokens that the same
+labelled URLs have are one token there, as each says what the others say: sets of them would be 2^tokens sets of equal
+support. Rules below the bounds, and rules that a more general one makes needless, are pruned. An inverted index posts
+each rule under its rarest token; a URL meets a rule there and fits it if it has all its tokens.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from typing import NamedTuple
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,41 +74,96 @@ def given_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataF
     return best.select("url", "x.rule", "x.given")
 
 
-def mine(labelled: DataFrame, url: str = "url", verdict: str = "verdict", support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Rules (`tokens`, `mined`, `support`, `confidence`) from labelled URLs; all of them count.
+class Mined(NamedTuple):
+    """Rules (`tokens`, `mined`, `support`, `confidence`) and the tokens that stand for others (`token`, `stands`)."""
+
+    rules: DataFrame
+    merged: DataFrame
+
+
+def together(baskets: DataFrame, least: int) -> DataFrame:
+    """(`token`, `stands`): tokens of `items` that the same rows of `baskets` (`basket`, `items`) have, and the least of them.
+
+    Only tokens of `least` rows or more; a token that no other one goes with stands for itself. Rows are told apart by the
+    sums of two hashes of `basket`.
+    """
+    each = baskets.select("basket", F.explode("items").alias("token"))
+    marks = [F.sum(F.xxhash64(F.lit(k), "basket").cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), *marks).filter(F.col("n") >= least)
+    stands = seen.groupBy("n", "h1", "h2").agg(F.min("token").alias("stands"))
+    return seen.join(stands, ["n", "h1", "h2"]).select("token", "stands")
+
+
+def _replaced(rows: DataFrame, items: str, merged: DataFrame, small: bool, *keys: str) -> DataFrame:
+    """`rows` with each token of the array `items` replaced by the one that stands for it; tokens without one go."""
+    each = rows.select(*keys, F.explode(items).alias("token")).join(F.broadcast(merged) if small else merged, "token")
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_set("stands")).alias(items))
+
+
+def mine(labelled: DataFrame, url: str = "url", verdict: str = "verdict", support: float = SUPPORT, confidence: float = CONFIDENCE) -> Mined:
+    """Rules from labelled URLs, all of which count, over tokens that stand for those that always go with them.
 
     At most tokens-per-URL / `support` tokens can be frequent, so neither the frequent tokens nor the rules grow with the
     number of URLs. Null URLs and verdicts are left out; without any there are no rules.
     """
     require(labelled, url, verdict)
-    baskets = labelled.filter(F.col(url).isNotNull() & F.col(verdict).isNotNull())
-    baskets = baskets.select(F.array_union(url_tokens(url), F.array(F.concat(F.lit(_VERDICT), verdict))).alias("items"))
-    baskets = cut_lineage(baskets, "baskets")
-    if baskets.isEmpty():
-        return baskets.sparkSession.createDataFrame([], "tokens array<string>, mined string, support double, confidence double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent")[0].startswith(_VERDICT))
-    rules = rules.filter(~F.exists("antecedent", lambda t: t.startswith(_VERDICT)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(_VERDICT) + 1})").alias("mined"), "support", "confidence")
-    rules = cut_lineage(rules, "mined")
-    # a rule is needless beside one with fewer of its tokens, the same verdict and no less confidence
-    general = rules.select(F.col("tokens").alias("fewer"), F.col("tokens")[0].alias("token"), F.col("mined").alias("same"), F.col("confidence").alias("sure"))
-    needless = rules.withColumn("token", F.explode("tokens")).join(general, "token").filter(
-        (F.col("mined") == F.col("same")) & (F.size("fewer") < F.size("tokens")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)
+    rows = labelled.filter(F.col(url).isNotNull() & F.col(verdict).isNotNull())
+    rows = rows.select(F.col(url).alias("url"), F.col(verdict).alias("verdict"), F.monotonically_increasing_id().alias("basket"))
+    baskets = cut_lineage(rows.select("basket", "verdict", url_tokens("url").alias("items")), "baskets")
+    total = baskets.count()
+    if not total:
+        rules = baskets.sparkSession.createDataFrame([], "tokens array<string>, mined string, support double, confidence double")
+        return Mined(rules, baskets.sparkSession.createDataFrame([], "token string, stands string"))
+    merged = checked_keys(together(baskets, math.ceil(support * total)))
+    kept = _replaced(baskets, "items", merged.keys, merged.small, "basket")
+    items = baskets.select("basket", "verdict").join(kept, "basket", "left")
+    items = items.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
+    items = cut_lineage(items, "items")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    sets = cut_lineage(model.freqItemsets, "frequent")
+    is_verdict = lambda t: t.startswith(_VERDICT)
+    own = sets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("all")).filter(~F.exists("tokens", is_verdict) & (F.size("tokens") > 0))
+    with_verdict = sets.filter(F.exists("items", is_verdict) & (F.size("items") > 1))
+    with_verdict = with_verdict.select(
+        F.array_sort(F.filter("items", lambda t: ~is_verdict(t))).alias("tokens"),
+        F.expr(f"substring(filter(items, t -> startswith(t, '{_VERDICT}'))[0], {len(_VERDICT) + 1})").alias("mined"), "freq",
     )
-    return rules.join(needless.select("tokens", "mined").distinct(), ["tokens", "mined"], "left_anti")
+    ruled = with_verdict.join(own, "tokens").select("tokens", "mined", (F.col("freq") / F.lit(total)).alias("support"), (F.col("freq") / F.col("all")).alias("confidence"))
+    return Mined(_pruned(cut_lineage(ruled, "mined"), confidence), merged.keys)
+
 
+def _pruned(rules: DataFrame, confidence: float) -> DataFrame:
+    """The rules of at least `confidence` beside which no rule with fewer of the tokens, the same verdict and no less
+    confidence stands.
 
-def mined_verdicts(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    `rules` has all frequent sets, hence all subsets of each: the surest of these is found size by size, from the sets
+    that lack one token.
+    """
+    most = rules.agg(F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()[0]
+    level = lambda k: rules.filter(F.size("tokens") == k)
+    done = [level(1).withColumn("sure", F.lit(-1.0))]  # `sure`: of the surest rule with fewer tokens
+    for k in range(2, most + 1):
+        below = done[-1].select(F.col("tokens").alias("fewer"), "mined", F.greatest("confidence", "sure").alias("sure"))
+        each = level(k).withColumn("lacks", F.explode("tokens")).withColumn("fewer", F.array_remove("tokens", F.col("lacks")))
+        best = each.join(below, ["fewer", "mined"]).groupBy("tokens", "mined").agg(F.max("sure").alias("sure"))
+        done.append(cut_lineage(level(k).join(best, ["tokens", "mined"]).select(*rules.columns, "sure"), "rule-level"))
+    every = functools.reduce(DataFrame.union, [d.select(*rules.columns, "sure") for d in done])
+    return every.filter((F.col("confidence") >= confidence) & (F.col("sure") < F.col("confidence"))).drop("sure")
+
+
+def mined_verdicts(urls: DataFrame, mined: Mined, url: str = "url") -> DataFrame:
     """(`url`, `mined`, `confidence`) of the different URLs that a mined rule fits: the surest one, of equal ones the
-    one with more support, then with more tokens, then `block`."""
-    rules = cut_lineage(rules, "rules")
+    one with more support, then with more tokens, then `block`. A URL that has one of the tokens that always went
+    together among the labelled URLs has the token that stands for them."""
+    rules = cut_lineage(mined.rules, "rules")
+    merged = checked_keys(mined.merged)
     each = rules.select(F.explode("tokens").alias("token"))
     rare = each.groupBy("token").agg(F.count("*").alias("n"))
     posted = rules.withColumn("token", F.explode("tokens")).join(rare, "token")
     posted = posted.groupBy("tokens", "mined", "support", "confidence").agg(F.min(F.struct("n", "token")).alias("x"))
     index = checked_keys(posted.select("tokens", "mined", "support", "confidence", F.col("x.token").alias("token")))
     own = urls.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct().withColumn("own", url_tokens("url"))
+    own = _replaced(own, "own", merged.keys, merged.small, "url")
     met = own.withColumn("token", F.explode("own")).join(F.broadcast(index.keys) if index.small else index.keys, "token")
     met = met.filter(F.size(F.array_except("tokens", "own")) == 0)
     best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", F.size("tokens").alias("n"), "mined")).alias("x"))
