@@ -70,10 +70,12 @@ def _pages(spark, sf_dir):
     return wiki_dump.pages(_raw_pages(spark, sf_dir))
 
 
-def _dump(spark, sf_dir) -> str:
-    """The pages as an XML dump."""
+def _dump(spark, sf_dir, by_id: bool = False) -> str:
+    """The pages as an XML dump, in the order of their ids if a limit has to go by it."""
     path = scratch(spark, "dump")
     raw = _raw_pages(spark, sf_dir)
+    if by_id:
+        raw = raw.orderBy(F.col("id")[0].cast("long"))
     flat = raw.select(F.col("title")[0].alias("title"), F.col("ns")[0].alias("ns"), F.col("id")[0].alias("id"), F.get("redirect", F.lit(0)).alias("redirect"), "revision")
     flat.write.format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(path)
     return path
@@ -239,16 +241,14 @@ taken AS (SELECT s.* FROM states s, last WHERE s.page_id <= last.page_id)"""
 def _resumed(spark, sf_dir, limited: bool = True) -> str:
     """A run over three batches that died behind its first one, in the middle of the second, then resumed. Its limit, if it
     has one, is three fifths of all articles, which lies behind the first batch at any size."""
-    output, dump = scratch(spark, "prepared"), _dump(spark, sf_dir)
-    pages = wiki_dump.read_pages(spark, dump)
+    output, dump = scratch(spark, "prepared"), _dump(spark, sf_dir, by_id=limited)
     limit = None
     if limited:
-        limit = 3 * wiki.dispose(pages, _options()).filter(F.col("disposition") == "emitted").count() // 5
+        limit = 3 * wiki.dispose(wiki_dump.read_pages(spark, dump), _options()).filter(F.col("disposition") == "emitted").count() // 5
     options = dataclasses.replace(_options(), limit=limit)
-    edges = [int(x) for x in pages.approxQuantile("page_id", [1 / 3, 2 / 3], 0.001)]
-    named = [F.lit(v).alias(k) for k, v in wiki_prepare.config_row(dump, output, options).items()]
-    spark.range(1).select(*named, F.array(*map(F.lit, edges)).cast("array<bigint>").alias("edges")).write.parquet(f"{output}/settings")
-    wiki_prepare.prepare_batch(spark, pages, output, options, edges, 0, limit)
+    edges = wiki_prepare.start(spark, dump, output, options, batches=3)
+    pages = wiki_prepare.batch_pages(spark, dump, output, options, edges, 0)
+    wiki_prepare.prepare_batch(spark, pages, output, options, 0, limit)
     wiki_prepare.read_articles(spark, f"{output}/articles").write.json(f"{output}/articles/batch=00000001")  # torn
     wiki_prepare.prepare(spark, dump, output, options, resume=True)
     return output

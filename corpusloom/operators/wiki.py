@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import wikitext as wt
-from corpusloom.session import ship_package
+from corpusloom.session import cut_lineage, ship_package
 
 # The states a page can end in.
 ERROR, NAMESPACE, REDIRECT, SHORT, EMITTED = "error", "namespace", "redirect", "short", "emitted"
 
+RANGES = 1_000  # counted at a time when the limit's last page is looked for
+
 
 @dataclass(frozen=True)
 class WikiOptions:
@@ -94,10 +96,29 @@ def article_records(disposed: DataFrame, options: WikiOptions = WikiOptions()) -
 
 
 def first_emitted(disposed: DataFrame, limit: int) -> DataFrame:
-    """The pages up to the `limit`-th emitted one, in page id order (a scan has no dump order)."""
-    chosen = disposed.filter(F.col("disposition") == EMITTED).select("page_id").orderBy("page_id").limit(limit)
-    n, last = chosen.agg(F.count("*"), F.max("page_id")).first()
-    return disposed if n < limit else disposed.filter(F.col("page_id") <= last)
+    """The pages up to the `limit`-th emitted one, by their place in the dump; by page id where they have none."""
+    order = "place" if "place" in disposed.columns else "page_id"
+    last = value_of_rank(cut_lineage(disposed.filter(F.col("disposition") == EMITTED).select(order), "emitted"), order, limit)
+    return disposed if last is None else disposed.filter(F.col(order) <= last)
+
+
+def value_of_rank(rows: DataFrame, column: str, rank: int) -> int | None:
+    """The `rank`-th smallest of the whole numbers in `column`, None if there are fewer.
+
+    Ever narrower ranges are counted, RANGES of them at a time, so nothing is sorted and only counts are collected.
+    """
+    low, high, found = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if found < rank:
+        return None
+    while low < high:
+        step = (high - low) // RANGES + 1
+        counts = rows.filter(F.col(column).between(low, high)).groupBy(F.expr(f"(`{column}` - {low}) div {step}").alias("at")).count()
+        for at, n in sorted(counts.collect()):
+            if n >= rank:
+                low, high = low + at * step, min(high, low + (at + 1) * step - 1)
+                break
+            rank -= n
+    return low
 
 
 def counters(disposed: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Prepare a wiki dump: scan, filter, clean, write articles, errors and one summary row.
 
-The settings are written first, so that a run which died can only be resumed with the same ones. Pages
-are cut into batches by page id; each writes its articles and errors to folders of its own and then a
-commit with its counters. A resumed run goes on with the batches that are not committed, its limit
-counts what is, and the summary adds up the commits.
+The settings are written first, so that a run which died can only be resumed with the same ones. Batches
+are ranges of places in the dump. It is scanned twice, whatever their number: page ends are counted, then
+pages are parsed and written to a folder of their batch, which is all that the batch reads. Each writes its
+articles and errors to folders of its own and then a commit with its counters. A resumed run goes on with the
+batches that are not committed, its limit counts what is, and the summary adds up the commits.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions import wikitext as wt
+from corpusloom import schemas
 from corpusloom.operators import wiki
 from corpusloom.session import delete_path, matching_paths, path_exists, scratch_path
 from corpusloom.sources import fingerprints, wiki_dump
@@ -22,6 +23,8 @@ ARTICLE_DDL = (
     "revision_id: BIGINT, revision_timestamp: STRING, revision_sha1: STRING, namespace: INT, redirect: BOOLEAN, "
     "redirect_target: STRING, dump_file: STRING, normalizer: STRING>"
 )
+PLACED_DDL = schemas.PAGE_DDL + ", error STRING, place BIGINT, batch INT"
+BATCHED_BY = "place"
 CONFIG_FIELDS = (
     "input_path", "output_path", "project", "base_url", "namespaces", "include_redirects", "min_text_chars", "normalizer",
 )
@@ -74,11 +77,11 @@ def prepare(
     """Run the job and return its summary row. `output` holds `settings`, `articles`, `errors`, `commits` and `summary`.
 
     An expected checksum is compared before anything else is read. With `digest` the summary has the
-    dump's SHA-256, which one task reads through. Each batch scans the dump once.
+    dump's SHA-256, which one task reads through. A limit takes pages in the order of the dump.
     """
     wanted = config_row(dump_path, output, options)
     if force:
-        for part in ("settings", "articles", "errors", "commits", "summary"):
+        for part in ("settings", "pages", "articles", "errors", "commits", "summary"):
             delete_path(spark, f"{output}/{part}")
     started = path_exists(spark, f"{output}/settings/_SUCCESS")
     if started and not resume:
@@ -86,19 +89,16 @@ def prepare(
             raise ValueError(f"{output} already holds prepared articles (resume or force)")
         started = False  # a run that died before its first commit: nothing to keep
     described = _check_digest(spark, dump_path, sha256, sha1) if sha256 or sha1 or digest else None
-    pages = wiki_dump.read_pages(spark, dump_path)
     if started:
         stored = spark.read.parquet(f"{output}/settings").first().asDict()
         differing = config_mismatches(stored, wanted)
         if differing:
             raise ValueError("cannot resume, different " + ", ".join(differing))
+        if stored.get("batched_by") != BATCHED_BY:
+            raise ValueError("cannot resume, its batches are no ranges of places in the dump")
         edges = list(stored["edges"])
     else:
-        shares = [n / batches for n in range(1, batches)]
-        edges = [int(x) for x in pages.filter("error IS NULL").approxQuantile("page_id", shares, 0.001)] if shares else []
-        named = [F.lit(value).alias(name) for name, value in wanted.items()]
-        listed = F.array(*[F.lit(x) for x in edges]).cast("array<bigint>").alias("edges")
-        spark.range(1).select(*named, listed).coalesce(1).write.mode("overwrite").parquet(f"{output}/settings")
+        edges = start(spark, dump_path, output, options, batches)
 
     done = _committed(spark, output)
     emitted = sum(row["records_emitted"] for row in _commits(spark, output, done).collect()) if done else 0  # one row a batch
@@ -108,7 +108,7 @@ def prepare(
             continue
         if left is not None and left <= 0:
             break
-        emitted += prepare_batch(spark, pages, output, options, edges, number, left)
+        emitted += prepare_batch(spark, batch_pages(spark, dump_path, output, options, edges, number), output, options, number, left)
     counted = _commits(spark, output, _committed(spark, output))
     totals = counted.agg(*[F.sum(name).alias(name) for name in counted.columns])
     status = F.when(F.col("page_errors") > 0, "failed").otherwise("completed")
@@ -122,22 +122,46 @@ def prepare(
         F.current_timestamp().alias("finished_at"),
     )
     summary.coalesce(1).write.mode("overwrite").parquet(f"{output}/summary")
+    delete_path(spark, f"{output}/pages")
     return spark.read.parquet(f"{output}/summary")
 
 
-def prepare_batch(
-    spark: SparkSession, pages: DataFrame, output: str, options: wiki.WikiOptions, edges: list[int], number: int, limit: int | None = None
-) -> int:
-    """Articles, errors and the commit of one range of page ids; returns how many articles it gave.
+def start(spark: SparkSession, dump_path: str, output: str, options: wiki.WikiOptions, batches: int = 1) -> list[int]:
+    """Write the settings of a run and, if it has several batches, the pages of each. Returns the first places of the
+    second and later ones."""
+    edges, placed = [], None
+    if batches > 1:
+        placed, count = wiki_dump.placed_pages(spark, dump_path)
+        edges = [count * n // batches for n in range(1, batches)]
+    else:
+        wiki_dump.require_wiki_root(spark, dump_path)
+    named = [F.lit(value).alias(name) for name, value in config_row(dump_path, output, options).items()]
+    listed = F.array(*[F.lit(x) for x in edges]).cast("array<bigint>").alias("edges")
+    spark.range(1).select(*named, listed, F.lit(BATCHED_BY).alias("batched_by")).coalesce(1).write.mode("overwrite").parquet(f"{output}/settings")
+    if placed is not None:
+        _write_pages(placed, output, edges)
+    return edges
+
+
+def _write_pages(placed: DataFrame, output: str, edges: list[int]) -> None:
+    number = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<bigint>"), lambda edge: edge <= F.col("place")))
+    placed.withColumn("batch", number).write.mode("overwrite").partitionBy("batch").parquet(f"{output}/pages")
 
-    Pages without an id belong to the first range.
+
+def batch_pages(spark: SparkSession, dump_path: str, output: str, options: wiki.WikiOptions, edges: list[int], number: int) -> DataFrame:
+    """The pages of one batch; those of a run without batches come from the dump itself.
+
+    What a run that died had not written to the end is written again.
     """
-    key = F.coalesce("page_id", F.lit(-(1 << 62)))
-    part = pages
-    if number > 0:
-        part = part.filter(key > edges[number - 1])
-    if number < len(edges):
-        part = part.filter(key <= edges[number])
+    if not edges:
+        return wiki_dump.read_pages(spark, dump_path) if options.limit is None else wiki_dump.placed_pages(spark, dump_path)[0]
+    if not path_exists(spark, f"{output}/pages/_SUCCESS"):
+        _write_pages(wiki_dump.placed_pages(spark, dump_path)[0], output, edges)
+    return spark.read.schema(PLACED_DDL).parquet(f"{output}/pages").filter(F.col("batch") == number).drop("batch")
+
+
+def prepare_batch(spark: SparkSession, part: DataFrame, output: str, options: wiki.WikiOptions, number: int, limit: int | None = None) -> int:
+    """Articles, errors and the commit of one batch of pages; returns how many articles it gave."""
     disposed, scratch = _stage(spark, part, options)
     if not options.continue_on_error:
         bad = wiki.page_errors(disposed, options.max_message_chars).first()

@@ -7,10 +7,10 @@ counted, and broadcast while it is small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from corpusloom.session import checked_keys, cut_lineage
+from corpusloom.session import CheckedKeys, checked_keys, cut_lineage
 
 _BLOCK = ["path", "block"]
 
@@ -26,16 +26,28 @@ def lines_of(text: DataFrame) -> DataFrame:
     )
 
 
-def _count_rows(rows: DataFrame, name: str, first: int, across_files: bool) -> tuple[DataFrame, bool]:
-    """Number rows that are still in scan order; also whether they stayed where they were."""
+def _count_rows(rows: DataFrame, name: str, first: int, across_files: bool) -> tuple[DataFrame, CheckedKeys]:
+    """Number rows that are still in scan order; also the table of block sizes `_n`.
+
+    Sizes are summed in two levels: the blocks are sorted into pieces, one window runs inside each piece, the other over
+    one row a piece. A broadcast block table leaves the rows where they are.
+    """
     marked = rows.withColumn("_mark", F.monotonically_increasing_id())
     blocks = marked.groupBy(*_BLOCK).agg(F.min("_mark").alias("_first"), F.count("*").alias("_n"))
-    order = Window.orderBy(*_BLOCK) if across_files else Window.partitionBy("path").orderBy("block")
-    before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = checked_keys(blocks.select(*_BLOCK, (before - F.col("_first") + first).alias("_offset")))
-    side = F.broadcast(offsets.keys) if offsets.small else offsets.keys
-    numbered = marked.join(side, _BLOCK).withColumn(name, F.col("_mark") + F.col("_offset"))
-    return numbered.drop("_mark", "_offset"), offsets.small
+    sizes = checked_keys(blocks.orderBy(*_BLOCK).withColumn("_piece", F.spark_partition_id()))
+    group = [] if across_files else ["path"]
+    inside = _ahead("_n", Window.partitionBy(*group, "_piece").orderBy(*_BLOCK))
+    pieces = sizes.keys.groupBy(*group, "_piece").agg(F.sum("_n").alias("_size"))
+    pieces = pieces.select(*group, "_piece", _ahead("_size", Window.partitionBy(*group).orderBy("_piece")).alias("_pieces"))
+    offsets = sizes.keys.withColumn("_inside", inside).join(F.broadcast(pieces) if sizes.small else pieces, [*group, "_piece"])
+    offsets = offsets.select(*_BLOCK, (F.col("_pieces") + F.col("_inside") - F.col("_first") + first).alias("_offset"))
+    numbered = marked.join(F.broadcast(offsets) if sizes.small else offsets, _BLOCK).withColumn(name, F.col("_mark") + F.col("_offset"))
+    return numbered.drop("_mark", "_offset"), sizes
+
+
+def _ahead(size: str, order: WindowSpec) -> Column:
+    """Sum of `size` over the rows before this one."""
+    return F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -43,14 +55,20 @@ def number_lines(lines: DataFrame) -> DataFrame:
     return _count_rows(lines, "line", 1, across_files=False)[0]
 
 
+def place_lines(lines: DataFrame, name: str = "place") -> tuple[DataFrame, int]:
+    """Add the 0-based place of every row over all files, in the order of their paths; also the number of rows."""
+    numbered, sizes = _count_rows(lines, name, 0, across_files=True)
+    return numbered, sizes.keys.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+
 def number_kept(lines: DataFrame, keep, name: str = "position") -> DataFrame:
     """`keep(numbered lines)` with the 0-based position of every remaining row over all files.
 
     `keep` may filter and project, but not reorder; it has to keep `path`, `block` and `line`.
     """
-    numbered, in_order = _count_rows(lines, "line", 1, across_files=False)
+    numbered, sizes = _count_rows(lines, "line", 1, across_files=False)
     kept = keep(numbered)
-    if in_order:
+    if sizes.small:
         return _count_rows(kept, name, 0, across_files=True)[0]
     return with_positions(kept, ["path", "line"], [F.col("path"), F.col("line")], name)
 
@@ -66,9 +84,7 @@ def with_positions(rows: DataFrame, keys: list[str], order: list[Column], name:
     )
     stored = cut_lineage(sorted_keys, "positions")
     pieces = stored.groupBy("_piece").agg(F.min("_mark").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )  # one row per sorted piece: a few thousand at most
+    before = _ahead("_n", Window.orderBy("_piece"))  # one row per sorted piece: a few thousand at most
     offsets = pieces.select("_piece", (before - F.col("_first")).alias("_offset"))
     numbered = checked_keys(
         stored.join(offsets, "_piece").select(*keys, (F.col("_mark") + F.col("_offset")).alias(name))

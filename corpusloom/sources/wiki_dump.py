@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions import text as tx
+from corpusloom.sources.lines import lines_of, place_lines
 
 _DUMP_DDL = (
     "title ARRAY<STRING>, ns ARRAY<STRING>, id ARRAY<STRING>, redirect ARRAY<STRUCT<_title: STRING>>, "
@@ -22,16 +23,26 @@ def read_dump(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     The dump is cut into page elements as text and each is parsed by itself, so a broken page costs
     no other. Surrounding blanks are kept: they are part of an article's text.
     """
+    return _elements(_pieces(spark, path, prefix), prefix)
+
+
+def _pieces(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """The dump, cut behind each page end."""
+    return spark.read.option("lineSep", f"</{prefix}page>").text(path)
+
+
+def _elements(pieces: DataFrame, prefix: str) -> DataFrame:
+    """The parsed page elements of pieces, with the `place` of their piece if it has one."""
     end, start = f"</{prefix}page>", rf"<{prefix}page[\s>]"
-    pieces = spark.read.option("lineSep", end).text(path)
-    element = pieces.select(F.explode(F.split("value", f"(?={start})")).alias("page")).filter(F.regexp_like("page", F.lit(rf"\A{start}")))
+    place = [c for c in ("place",) if c in pieces.columns]
+    element = pieces.select(*place, F.explode(F.split("value", f"(?={start})")).alias("page")).filter(F.regexp_like("page", F.lit(rf"\A{start}")))
     torn = F.regexp_like("page", F.lit(rf"(?s)</{prefix}mediawiki\s*>\s*\z"))  # behind the last page end: it has none of its own
     options = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
     closed = F.when(torn, F.col("page")).otherwise(F.concat("page", F.lit(end)))
     if prefix:
         closed = F.regexp_replace(closed, rf"(</?){prefix}", "$1")
-    parsed = element.select(F.from_xml(closed, _DUMP_DDL + ", _corrupt STRING", options).alias("x"))
-    return parsed.select("x.title", "x.ns", "x.id", "x.redirect", "x.revision", F.col("x._corrupt").isNotNull().alias("malformed"))
+    parsed = element.select(*place, F.from_xml(closed, _DUMP_DDL + ", _corrupt STRING", options).alias("x"))
+    return parsed.select(*place, "x.title", "x.ns", "x.id", "x.redirect", "x.revision", F.col("x._corrupt").isNotNull().alias("malformed"))
 
 
 def require_wiki_root(spark: SparkSession, path: str) -> str:
@@ -75,6 +86,7 @@ def pages(raw: DataFrame) -> DataFrame:
         last["sha1"].alias("revision_sha1"),
         text.alias("revision_text"),
         error.alias("error"),
+        *[c for c in ("place",) if c in raw.columns],
     )
 
 
@@ -82,4 +94,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages(read_dump(spark, path, require_wiki_root(spark, path)))
 
 
+def placed_pages(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """`read_pages` with their `place` in the dump, and how many places there are; files follow in the order of their paths.
+
+    A place is a page end. What is torn before it shares the place of the next whole page.
+    """
+    prefix = require_wiki_root(spark, path)
+    pieces, count = place_lines(lines_of(_pieces(spark, path, prefix)))
+    return pages(_elements(pieces, prefix)), count
+
+
 PAGE_COLUMNS = [field.split(" ")[0] for field in schemas.PAGE_DDL.split(", ")]

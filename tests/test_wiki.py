@@ -171,7 +171,8 @@ def test_page_errors_and_resume(spark, tmp_path):
 
 def test_a_run_that_died_keeps_its_settings_and_counters(spark, tmp_path):
     path, whole, out = tmp_path / "d.xml", str(tmp_path / "whole"), str(tmp_path / "out")
-    pages = [page(f"P{k}", 0, k, LONG) for k in range(1, 13)] + [page("", 0, 5, LONG)]
+    pages = [page(f"P{k}", 0, k, LONG) for k in range(12, 0, -1)]  # a limit goes by the dump, not by ids
+    pages.insert(4, page("", 0, 5, LONG))
     path.write_text("<mediawiki>\n" + "\n".join(pages) + "\n</mediawiki>")
     options = wiki.WikiOptions(project="testwiki", min_text_chars=50, continue_on_error=True, limit=9)
     once = wiki_prepare.prepare(spark, str(path), whole, options).first()
@@ -183,7 +184,7 @@ def test_a_run_that_died_keeps_its_settings_and_counters(spark, tmp_path):
     resumed = wiki_prepare.prepare(spark, str(path), out, options, resume=True, source_url="https://e.org/d.xml", digest=True).first()
     assert counts(resumed) == counts(once) == (10, 9, 0, 0, 0, 1)
     ids = lambda o: sorted(r["id"] for r in wiki_prepare.read_articles(spark, f"{o}/articles").collect())
-    assert ids(out) == ids(whole) and len(ids(out)) == 9
+    assert ids(out) == ids(whole) == sorted(f"testwiki:page:{k}" for k in range(4, 13))
     assert (resumed["source_url"], resumed["dump_bytes"], resumed["batches"]) == ("https://e.org/d.xml", path.stat().st_size, 3)
     assert resumed["dump_sha256"] == hashlib.sha256(path.read_bytes()).hexdigest()
     planned = wiki_prepare.plan(spark, str(path), options).first()
@@ -249,3 +250,34 @@ def test_a_dump_with_a_name_space_prefix(spark, tmp_path):
     prefixed.write_text(marked)
     rows = [sorted(map(repr, wiki_dump.read_pages(spark, str(p)).collect())) for p in (plain, prefixed)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_the_value_of_a_rank(spark):
+    numbers = [(k * k * 977 % 10**9 - 500,) for k in range(3000)] + [(7,)] * 50
+    rows = spark.createDataFrame(numbers, "v long")
+    for rank in (1, 2, 49, 1500, 3050):
+        assert wiki.value_of_rank(rows, "v", rank) == sorted(x for x, in numbers)[rank - 1]
+    assert wiki.value_of_rank(rows, "v", 3051) is None and wiki.value_of_rank(rows.limit(0), "v", 1) is None
+
+
+def test_a_batch_reads_its_own_part_of_the_dump(spark, tmp_path):
+    """Batches are cut by place over all files and splits; their pages are written once, and again if that was interrupted."""
+    folder, out = tmp_path / "dump", str(tmp_path / "out")
+    folder.mkdir()
+    for name, ids in (("a", range(40, 60)), ("b", range(0, 30)), ("c", [])):
+        (folder / f"{name}.xml").write_text("<mediawiki>\n" + "\n".join(page(f"P{k}", 0, k, LONG) for k in ids) + "\n</mediawiki>\n")
+    options = wiki.WikiOptions(project="testwiki", min_text_chars=50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        edges = wiki_prepare.start(spark, str(folder), out, options, batches=4)
+        order = [*range(40, 60), *range(0, 30)]
+        batches = [[r["page_id"] for r in wiki_prepare.batch_pages(spark, str(folder), out, options, edges, n).orderBy("place").collect()] for n in range(4)]
+        assert sum(batches, []) == order and all(batches)
+        wiki_prepare.delete_path(spark, f"{out}/pages/_SUCCESS")
+        (tmp_path / "out/pages/batch=2/part-torn.parquet").write_bytes(b"torn")
+        limited = wiki.WikiOptions(project="testwiki", min_text_chars=50, limit=33)
+        wiki_prepare.prepare(spark, str(folder), out, limited, resume=True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = {r["id"] for r in wiki_prepare.read_articles(spark, f"{out}/articles").collect()}
+    assert found == {f"testwiki:page:{k}" for k in order[:33]} and not (tmp_path / "out/pages").exists()
