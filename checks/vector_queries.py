@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import (
@@ -15,6 +14,7 @@ from corpusloom.operators import cells, evaluate, lexical, rag
 from corpusloom.operators import vectors as vec
 from corpusloom.plans import index_store, vector_cells
 from corpusloom.session import cut_lineage
+from corpusloom.sources.lines import with_positions
 
 # SQL twin of the hash embedder -------------------------------------------------------------------
 _STOP = "['" + "','".join(vx.STOPWORDS) + "']"
@@ -36,6 +36,10 @@ means AS (SELECT {key}, [{parts}] AS v FROM exploded GROUP BY {key}),
 embedded AS (SELECT {key}, v AS raw, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS embedding FROM means)"""
 
 
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def rounded(column: str, digits: int = 6):
     """One text per vector, so that values compare exactly after rounding."""
     return F.array_join(F.transform(column, lambda x: F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)), " ")
@@ -105,14 +109,29 @@ def vec_validate(spark, sf_dir):
     return rows.select("vec_id", broken.alias("v")).select("vec_id", vx.vector_error("v", 64).alias("error"))
 
 
+def _followers(rows, key: str, group: str, steps: int):
+    """`(key, next_1, ...)`: the rows of a group that follow each in key order, for rows that have so many followers.
+
+    Rows are placed by (group, key) in pieces of a global order and meet by place, so no window holds a group.
+    """
+    named = rows.select(key, F.to_json(F.struct(group)).alias("_group"))  # never null
+    placed = cut_lineage(with_positions(named, [key, "_group"], [F.col("_group"), F.col(key)], "_place"), "placed")
+    out = placed
+    for n in range(1, steps + 1):
+        following = placed.select((F.col("_place") - n).alias("_place"), "_group", F.col(key).alias(f"next_{n}"))
+        out = out.join(following, ["_place", "_group"])
+    return out.drop("_place", "_group")
+
+
 @query("cosine_pairs", """
 WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS a, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings)
 SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS similarity FROM p WHERE b IS NOT NULL""")
 def cosine_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn("a", F.col("embedding").cast("array<double>"))
-    following = F.lead("a").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = rows.withColumn("b", following).filter(F.col("b").isNotNull())
-    return pairs.select("vec_id", F.round(vx.cosine("a", "b"), 6).alias("similarity"))
+    rows = table(spark, sf_dir, "embeddings")
+    vector = F.col("embedding").cast("array<double>")
+    pairs = _followers(rows, "vec_id", "label", 1).join(rows.select("vec_id", vector.alias("a")), "vec_id")
+    pairs = pairs.join(rows.select(F.col("vec_id").alias("next_1"), vector.alias("b")), "next_1")
+    return pairs.filter(F.col("b").isNotNull()).select("vec_id", F.round(vx.cosine("a", "b"), 6).alias("similarity"))
 
 
 @query("distance_scores", """
@@ -254,7 +273,7 @@ def semantic_build(spark, sf_dir):
 
 
 # prompts and answers ------------------------------------------------------------------------------
-_SQL_PROMPT = r"""
+_SQL_PROMPT = rf"""
 squeezed AS (SELECT query_id, rank, id, title, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM results),
 context AS (
   SELECT query_id, count(*) AS n, string_agg('[' || rank || '] Title: ' || title || chr(10) || 'Source: ' || source || chr(10) ||
@@ -262,9 +281,7 @@ context AS (
   FROM squeezed GROUP BY query_id),
 prompts AS (
   SELECT a.query_id, a.text AS question, coalesce(n, 0) AS retrieved_count, n IS NULL AS no_context,
-         'You are a local offline RAG assistant.' || chr(10) || chr(10) ||
-         'Answer the question using only the provided context.' || chr(10) ||
-         'If the context does not contain the answer, say that the local index does not contain enough information.' ||
+         {sql_text(rag.DEFAULT_INTRO)} || chr(10) || chr(10) || {sql_text(rag.INSTRUCTIONS)} ||
          chr(10) || chr(10) || 'Context:' || chr(10) || body || chr(10) || 'Question:' || chr(10) ||
          trim(regexp_replace(a.text, '\s+', ' ', 'g')) || chr(10) || chr(10) || 'Answer:' AS prompt
   FROM asked a LEFT JOIN context USING (query_id))"""
@@ -284,13 +301,10 @@ def rag_prompts(spark, sf_dir):
 @query("ask_batch", f"""
 WITH {sql_lexical_hits()}, {_SQL_PROMPT}
 SELECT query_id, trim(question) AS question, retrieved_count, no_context,
-       CASE WHEN no_context THEN 'No relevant context found.'
-            ELSE 'Mock LLM backend: no real model was called.' || chr(10) || chr(10) || 'Received a prompt with ' ||
-                 length(prompt) || ' characters.' || chr(10) ||
-                 'This confirms retrieval, prompt assembly, and LLM client wiring are connected.' END AS answer
+       CASE WHEN no_context THEN {sql_text(rag.NO_CONTEXT_ANSWER)} END AS answer
 FROM prompts""")
 def ask_batch(spark, sf_dir):
-    return rag.mock_answers(_asked(spark, sf_dir)).drop("prompt")
+    return rag.fixed_answers(_asked(spark, sf_dir)).drop("prompt")
 
 
 @query("retrieval_smoke", rf"""
@@ -410,10 +424,10 @@ SELECT id AS triple_id, round(list_cosine_similarity(a, b), 6) AS related_simila
        list_cosine_similarity(a, b) > list_cosine_similarity(a, c) AS related_ranks_higher
 FROM o WHERE c IS NOT NULL""")
 def similarity_triples(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    triples = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("triple_id"), F.col("text").alias("anchor"), F.lead("text", 1).over(w).alias("related"),
-        F.lead("text", 2).over(w).alias("unrelated"),
-    ).filter(F.col("unrelated").isNotNull())
+    docs = table(spark, sf_dir, "documents")
+    triples = _followers(docs, "doc_id", "source", 2)
+    for key, name in (("doc_id", "anchor"), ("next_1", "related"), ("next_2", "unrelated")):
+        triples = triples.join(docs.select(F.col("doc_id").alias(key), F.col("text").alias(name)), key)
+    triples = triples.filter(F.col("unrelated").isNotNull()).select(F.col("doc_id").alias("triple_id"), "anchor", "related", "unrelated")
     scored = evaluate.related_ranks_higher(triples)
     return scored.withColumns({n: F.round(n, 6) for n in ("related_similarity", "unrelated_similarity")})

@@ -20,11 +20,11 @@ def answer(
 ) -> DataFrame:
     """Search the index (lexically or semantically, as it was built), assemble prompts and answer.
 
-    Without a model the stand-in answers. `questions` has `query_id` and `text`.
+    Without a model, only questions without hits have an answer. `questions` has `query_id` and `text`.
     """
     results = index_store.search_index(spark, index, questions, k, embed=embed)
     asked = rag.ask(results, questions, intro)
-    return rag.mock_answers(asked) if load_model is None else rag.model_answers(asked, load_model)
+    return rag.fixed_answers(asked) if load_model is None else rag.model_answers(asked, load_model)
 
 
 def evaluate_embedder(spark: SparkSession, path: str, embed: Callable[[Column], Column] = vx.hash_embed) -> DataFrame:
