@@ -493,9 +493,12 @@ def import_indexes(spark, sf_dir):
     return merged.select("name", "slug", "backend", "chunk_count", "chunks_path", "corpus_run_id", "source_fingerprint")
 
 
-@query("workspace_ingest", f"""WITH {SQL_DOCS}, c AS (
+_SQL_WORKSPACE = f"""WITH {SQL_DOCS}, c AS (
   SELECT document_id, text, unnest(range(CASE WHEN length(text) > 1000 THEN 1 + CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT) ELSE 1 END)) AS i FROM docs WHERE length(text) > 0)
-SELECT 'All Documents' AS name, 'all-documents' AS slug, 'simple' AS backend, count(*) AS chunk_count, count(DISTINCT document_id) AS source_count FROM c""")
+SELECT 'All Documents' AS name, 'all-documents' AS slug, 'simple' AS backend, count(*) AS chunk_count, count(DISTINCT document_id) AS source_count FROM c"""
+
+
+@query("workspace_ingest", _SQL_WORKSPACE)
 def workspace_ingest(spark, sf_dir):
     space = Workspace(spark, scratch(spark, "workspace"))
     docs = documents(spark, sf_dir)
@@ -503,6 +506,19 @@ def workspace_ingest(spark, sf_dir):
     return space.ingest_sources(" All Documents ", sources).select("name", "slug", "backend", "chunk_count", "source_count")
 
 
+@query("workspace_path_ingest", _SQL_WORKSPACE)
+def workspace_path_ingest(spark, sf_dir):
+    """The same index from text files below the workspace's source folder, one for each document.
+
+    No two files have the same name, as a chunk's id comes from its file's name and its text.
+    """
+    folder = scratch(spark, "sources")
+    texts = table(spark, sf_dir, "documents").select(F.col("text").alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(f"{folder}/texts")
+    space = Workspace(spark, scratch(spark, "workspace"), sources=folder)
+    return space.ingest_path("All Documents", "texts").select("name", "slug", "backend", "chunk_count", "source_count")
+
+
 def _workspaces(spark, sf_dir) -> tuple[Workspace, Workspace]:
     """A workspace with a lexical and a semantic index, and one that has imported its export over data in the way."""
     docs = table(spark, sf_dir, "documents").select("lang", F.concat(F.lit("doc "), "doc_id").alias("title"), "text", F.concat(F.lit("/in/"), "doc_id").alias("source"))

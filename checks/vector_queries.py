@@ -234,6 +234,23 @@ def semantic_search(spark, sf_dir):
     )
 
 
+@query("distance_index", f"""
+{sql_embedding(_SEMANTIC_TABLES)},
+q AS (SELECT CAST(substring(id, 2) AS BIGINT) AS query_id, embedding AS qe FROM embedded WHERE id LIKE 'b%'),
+c AS (SELECT substring(id, 2) AS id, embedding AS e FROM embedded WHERE id LIKE 'c%'),
+s AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(e, qe), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS score FROM c, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM s QUALIFY rank <= 5)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, round(score, 6) + 0.0 AS score, r.id, c.title, 'distance_lower_is_better' AS score_semantics
+FROM r JOIN chunks c ON c.id = r.id""")
+def distance_index(spark, sf_dir):
+    """A vector index of the first layout, found by the facade from its metadata."""
+    path = scratch(spark, "distances")
+    index_store.build_distances(chunks(spark, sf_dir).select(*schemas.CHUNK_FIELDS), path)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = index_store.search_index(spark, path, asked)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), (F.round("score", 6) + 0.0).alias("score"), "id", "title", "score_semantics")
+
+
 @query("semantic_cells", f"""
 {sql_embedding(_SEMANTIC_TABLES)},
 q AS (SELECT CAST(substring(id, 2) AS BIGINT) AS query_id, embedding AS qe FROM embedded WHERE id LIKE 'b%'),

@@ -199,3 +199,12 @@ def semantic_search(
     return search_chunks(vectors, asked, k, mode, **layout).withColumn(
         "score_semantics", F.lit(SCORE_SEMANTICS[mode])
     )
+
+
+def distance_search(
+    vectors: DataFrame, queries: DataFrame, embed: Callable[[Column], Column] | None = None, k: int = 5, **layout: int
+) -> DataFrame:
+    """Embed the query texts and search by raw distance, the nearest first; blank queries have no rows."""
+    make = embed or vx.hash_embed
+    asked = queries.filter(F.length("text") > 0).select("query_id", make(F.col("text")).alias("embedding"))
+    return search_chunks(vectors, asked, k, DISTANCE, **layout).withColumn("score_semantics", F.lit(SCORE_SEMANTICS[DISTANCE]))

@@ -196,6 +196,17 @@ def build_vectors(
     return index_stats(spark, path)
 
 
+def build_distances(chunks: DataFrame, path: str, embed=None, source: str = "", force: bool = False) -> DataFrame:
+    """A vector index of the first layout. It does not record what made its vectors, is searched by raw distance and is
+    never appended to, as nothing says whether further vectors would match."""
+    spark = chunks.sparkSession
+    made = new_generation(spark, path, force)
+    rows = put_keyed(embedded(distinct_chunks(chunks), vectors.HASH_IDENTITY, embed), made, "vectors", 0)
+    commit(rows, made, 0, SEMANTIC, source, None, version=schemas.DISTANCE_SCHEMA_VERSION)
+    publish(spark, path, made)
+    return index_stats(spark, path)
+
+
 def append_vectors(
     chunks: DataFrame, path: str, identity: EmbeddingIdentity = vectors.HASH_IDENTITY, embed=None, source: str = ""
 ) -> DataFrame:
@@ -231,7 +242,8 @@ def embedded(chunks: DataFrame, identity: EmbeddingIdentity, embed) -> DataFrame
 
 
 def commit(
-    added: DataFrame, path: str, batch: int, backend: str, source: str, identity: EmbeddingIdentity | None, **more
+    added: DataFrame, path: str, batch: int, backend: str, source: str, identity: EmbeddingIdentity | None,
+    version: int | None = None, **more
 ) -> DataFrame:
     """Make a batch visible and return the row that describes the index with it.
 
@@ -241,7 +253,7 @@ def commit(
     path = home(spark, path)
     done = committed_batches(spark, path)
     count = spark.read.parquet(batch_folder(path, "commits", done[-1])).first()["chunk_count"] if done else 0
-    version = schemas.LEXICAL_SCHEMA_VERSION if backend == LEXICAL else schemas.SEMANTIC_SCHEMA_VERSION
+    version = version or (schemas.LEXICAL_SCHEMA_VERSION if backend == LEXICAL else schemas.SEMANTIC_SCHEMA_VERSION)
     described = identity or EmbeddingIdentity("", "", 0, False)
     row = added.agg((F.count("*") + count).alias("chunk_count")).select(
         F.lit(batch).cast("bigint").alias("batch_number"),
@@ -287,17 +299,20 @@ def search_index(
     """Search an index by whatever it was built for.
 
     A lexical index is searched by one scan of its term table or, with `by_postings`, for few short
-    questions through the sorted postings; the results are the same.
+    questions through the sorted postings; the results are the same. A vector index of the first layout gives raw
+    distances, the nearest first; `embed` has to be the one it was built with.
     """
     lexical.check_limit(k)
-    backend = index_stats(spark, path).first()["backend"]
-    if backend == LEXICAL:
+    described = index_stats(spark, path).first()
+    if described["backend"] == LEXICAL:
         chunks = index_table(spark, path, "chunks")
         if by_postings:
             found = lexical.lookup_chunks(index_table(spark, path, "postings"), chunks, queries, k)
         else:
             found = lexical.search_chunks(index_table(spark, path, "terms"), chunks, queries, k)
         return found.withColumn("score_semantics", F.lit("lexical_term_frequency"))
+    if described["schema_version"] == schemas.DISTANCE_SCHEMA_VERSION:
+        return vectors.distance_search(index_table(spark, path, "vectors"), queries, embed, k)
     stored = read_identity(spark, path)
     if stored is None:
         raise ValueError(f"index {path} has no embedding metadata")

@@ -18,6 +18,7 @@ from corpusloom.operators import catalog as cat
 from corpusloom.operators import chunking
 from corpusloom.plans import index_store as store
 from corpusloom.session import delete_path, path_exists
+from corpusloom.sources.text_files import read_text_sources, resolve_source
 
 _VERSION = re.compile(r"version-(\d+)\Z")
 
@@ -33,6 +34,7 @@ def name_to_slug(spark: SparkSession, name: str) -> str:
 class Workspace:
     spark: SparkSession
     root: str
+    sources: str | None = None  # the folder that `ingest_path` reads from, and nothing outside of it
 
     def index_dir(self, slug: str) -> str:
         return f"{self.root}/indexes/{slug}/index"
@@ -97,6 +99,13 @@ class Workspace:
     def ingest_text(self, name: str, pastes: DataFrame, **options) -> DataFrame:
         return self.ingest_sources(name, inline_sources(pastes), **options)
 
+    def ingest_path(self, name: str, path: str, **options) -> DataFrame:
+        """Index a `.txt` file or the `.txt` files of a folder below the source folder; any other path is refused
+        before it is read."""
+        if self.sources is None:
+            raise ValueError("the workspace has no source folder")
+        return self.ingest_sources(name, read_text_sources(self.spark, resolve_source(self.spark, self.sources, path)), **options)
+
     def delete(self, slug: str) -> bool:
         """Drop an index; True when its data was still there."""
         if self.entry(slug) is None:

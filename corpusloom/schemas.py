@@ -59,5 +59,6 @@ CHUNK_FIELDS = ("id", "title", "source", "chunk_index", "text", "sha256")
 RUN_SCHEMA_NAME = "corpus_run"
 LEXICAL_SCHEMA_VERSION = 1
 SEMANTIC_SCHEMA_VERSION = 2
+DISTANCE_SCHEMA_VERSION = 1  # a vector index that does not say what made its vectors
 CATALOG_SCHEMA_VERSION = 1
 EXPORT_SCHEMA_VERSION = 1

@@ -64,19 +64,46 @@ def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def check_source_path(root: str, path: str, text_only: bool = True) -> str:
-    """A path below `root`, resolved; anything that leaves the root is refused."""
+    """A path below `root`, resolved; anything that leaves the root is refused. Both may have a scheme."""
     if not path.strip():
         raise ValueError("source path must not be empty")
-    base = posixpath.normpath(root)
-    full = posixpath.normpath(posixpath.join(base, path.strip()))
-    if full != base and not full.startswith(base + "/"):
+    scheme, base = _parted(root)
+    own, rest = _parted(path.strip())
+    base = posixpath.normpath(base)
+    full = posixpath.normpath(rest if own else posixpath.join(base, rest))
+    if own not in ("", scheme) or full != base and not full.startswith(base.rstrip("/") + "/"):
         raise ValueError("source path must be inside the source folder")
     name = posixpath.basename(full)
     if text_only and "." in name and not name.endswith(".txt"):
         raise ValueError("only .txt files and folders are supported")
+    return scheme + full
+
+
+def _parted(path: str) -> tuple[str, str]:
+    scheme, mark, rest = path.partition("://")
+    return (scheme + mark, rest) if mark else ("", path)
+
+
+def resolve_source(spark: SparkSession, root: str, path: str) -> str:
+    """A `.txt` file or a folder below `root` that is there. Links of a local file system are followed before it is judged."""
+    full = _without_links(spark, check_source_path(root, path, text_only=False))
+    full = check_source_path(_without_links(spark, root), full, text_only=False)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(full)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop_path):
+        raise ValueError(f"no source at {path.strip()!r}")
+    if not full.endswith(".txt") and not files.getFileStatus(hadoop_path).isDirectory():
+        raise ValueError("only .txt files and folders are supported")
     return full
 
 
+def _without_links(spark: SparkSession, path: str) -> str:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        return path
+    return spark._jvm.java.io.File(hadoop_path.toUri().getPath()).getCanonicalPath()
+
+
 def table_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of a file or folder."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -366,3 +366,54 @@ def test_key_limits_do_not_change_results(spark, tmp_path, monkeypatch, limit):
     assert [(r["position"], r["title"]) for r in found.orderBy("position").collect()] == [
         (at, f"line-{i + 1}") for at, i in enumerate(i for i in range(len(rows)) if i % 3)
     ]
+
+
+def test_source_paths_of_a_workspace_stay_inside(spark, tmp_path):
+    inside, outside = tmp_path / "in", tmp_path / "out"
+    for folder in (inside / "part.one", outside):
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text("a lamp by the river")
+    (inside / "b.txt").write_text("a boat")
+    (inside / "c.pdf").write_text("no text")
+    (inside / "noending").write_text("no text")
+    (inside / "link").symlink_to(outside)
+    (inside / "link.txt").symlink_to(outside / "a.txt")
+    space = Workspace(spark, str(tmp_path / "ws"), sources=str(inside))
+    bad = ("", "../out", str(outside), "part.one/../../out/a.txt", "link", "link.txt", "link/a.txt", "c.pdf", "noending", "none.txt", "s3a://other/a.txt")
+    for path in bad:
+        with pytest.raises(ValueError):
+            space.ingest_path("Refused", path)
+    assert space.catalog().isEmpty()
+    for name, path, count in (("Folder", "part.one", 1), ("File", "b.txt", 1), ("Whole", str(inside / "part.one" / "a.txt"), 1)):
+        assert space.ingest_path(name, path).first()["chunk_count"] == count
+    with pytest.raises(ValueError, match="already exists"):
+        space.ingest_path("file", "b.txt")
+    with pytest.raises(ValueError, match="source folder"):
+        Workspace(spark, str(tmp_path / "ws")).ingest_path("x", "b.txt")
+
+
+def test_paths_with_a_scheme_are_contained_too():
+    from corpusloom.sources.text_files import check_source_path
+
+    assert check_source_path("s3a://bucket/in", "x/y.txt") == check_source_path("s3a://bucket/in", "s3a://bucket/in/x/y.txt") == "s3a://bucket/in/x/y.txt"
+    assert check_source_path("/", "x.txt") == "/x.txt"
+    for path in ("../x.txt", "s3a://bucket/inner/x.txt", "file:///bucket/in/x.txt", "/etc/x.txt"):
+        with pytest.raises(ValueError):
+            check_source_path("s3a://bucket/in", path)
+
+
+def test_the_first_vector_layout_gives_distances(spark, tmp_path):
+    path = str(tmp_path / "old")
+    rows = [(f"c{n}", f"T{n}", "s", 0, text, hashlib.sha256(text.encode()).hexdigest()) for n, text in enumerate(("river water", "a bicycle chain", "stars"))]
+    chunks = spark.createDataFrame(rows, "id string, title string, source string, chunk_index int, text string, sha256 string")
+    made = index_store.build_distances(chunks, path).first()
+    assert (made["schema_version"], made["chunk_count"], made["embedding_fingerprint"]) == (1, 3, None)
+    asked = spark.createDataFrame([("q", "river water"), ("blank", "")], "query_id string, text string")
+    found = index_store.search_index(spark, path, asked, 3).orderBy("rank").collect()
+    assert [r["query_id"] for r in found] == ["q"] * 3 and found[0]["id"] == "c0" and found[0]["score"] == 0
+    assert [r["score"] for r in found] == sorted(r["score"] for r in found) and found[0]["score_semantics"] == "distance_lower_is_better"
+    with pytest.raises(ValueError, match="mismatch"):
+        index_store.append_vectors(chunks, path)
+    with pytest.raises(FileExistsError):
+        index_store.build_distances(chunks, path)
+    assert index_store.build_distances(chunks.limit(2), path, force=True).first()["chunk_count"] == 2
