@@ -209,3 +209,18 @@ def test_metrics_of_nothing(spark):
 def test_related_probe(spark):
     rows = spark.createDataFrame([(1, "purify water", "drinking water", "bicycle repair")], "triple_id int, anchor string, related string, unrelated string")
     assert evaluate.related_ranks_higher(rows).first()["related_ranks_higher"]
+
+
+def test_many_queries_neither_shuffle_nor_repeat_the_items(spark):
+    items = spark.range(400).toDF("n").select(
+        F.concat(F.lit("c"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"),
+        F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.sin(F.col("n") * i) + 1.5).alias("embedding"),
+    )
+    asked = items.filter(F.col("id") < "c050").select(F.col("id").alias("query_id"), "embedding")
+    found, bound = blocked.reduce_items(
+        items, asked, blocked.TopK(vec.VectorScorer(), 3), F.lit(64), max_broadcast_queries=10, cell_queries=20
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert bound is None and "Exchange" not in plan and "CoGroup" not in plan
+    whole = blocked.rank_rows(blocked.reduce_items(items, asked, blocked.TopK(vec.VectorScorer(), 3), F.lit(64))[0], 3)
+    assert {tuple(r) for r in blocked.rank_rows(found, 3).collect()} == {tuple(r) for r in whole.collect()}
