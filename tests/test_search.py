@@ -224,3 +224,15 @@ def test_many_queries_neither_shuffle_nor_repeat_the_items(spark):
     assert bound is None and "Exchange" not in plan and "CoGroup" not in plan
     whole = blocked.rank_rows(blocked.reduce_items(items, asked, blocked.TopK(vec.VectorScorer(), 3), F.lit(64))[0], 3)
     assert {tuple(r) for r in blocked.rank_rows(found, 3).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_lex_scores_adds_the_scores_of_a_chunk_where_it_lies(spark, tmp_path):
+    from checks.text_queries import lex_scores
+
+    docs = spark.createDataFrame([(i, f"lamp river {i} lamp", "en", "s", 14) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a lamp 3"), (2, "river river")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = lex_scores(spark, str(tmp_path))
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["query_id"], int(r["chunk_id"].split(":")[0])): r["score"] for r in found.collect()}
+    assert rows == {(1, i): 2.3 if i == 3 else 1.2 for i in range(6)} | {(2, i): 2.2 for i in range(6)}
