@@ -216,6 +216,37 @@ def test_a_rebuild_that_dies_leaves_the_old_index(spark, store, monkeypatch):
     assert store.ledger(settings.run_id()).count() == 3
 
 
+def test_batches_committed_together_are_as_one_by_one(spark, tmp_path, monkeypatch):
+    long = "word " * 500
+    rows = [
+        ("a", "first"), ("b", " "), ("c", long), ("a", "first"), ("b", "late"), ("b", "later"), ("d", " "), ("d", "x"), ("a", "other"),
+        ("c", long), ("e/f", "same"), ("e f", "same"), ("b", "late"), ("g", "z"), ("g", "zz"), ("h", "z"), (None, "no id"), ("d", "x"),
+    ]
+    docs = make_docs(spark, rows)
+    settings = config(batch_size=2, continue_on_error=True)
+    run_id = settings.run_id()
+    one, many = (ingest.CorpusStore(spark, str(tmp_path / name)) for name in ("one", "many"))
+    for number in range(9):
+        part = docs.filter(F.floor(F.col("position") / 2) == number)
+        ingest.ingest_batch(one, part, settings, run_id, f"{number:08d}")
+    real, calls = ingest.ingest_batch, []
+    monkeypatch.setattr(ingest, "ingest_batch", lambda *a, **o: calls.append(a[4]) or real(*a, **o))
+    assert ingest.run(many, docs, settings).first()["committed_batches"] == 9
+    assert calls == [range(0, 1), range(1, 2), range(2, 4), range(4, 8), range(8, 9)]
+
+    def state(store):
+        tables = store.committed("idx", run_id), store.chunks("idx"), store.terms("idx"), store.errors(run_id), store.ledger(run_id).drop("completed_at")
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    assert state(many) == state(one)
+    strict = config(batch_size=2)
+    stopped = ingest.CorpusStore(spark, str(tmp_path / "stopped"))
+    with pytest.raises(ValueError, match="document d changed|document b changed"):
+        ingest.run(stopped, docs.filter("position not in (4, 5)"), strict)
+    assert stopped.committed("idx", run_id).count() == 3  # those before the batch with the conflict
+    assert ingest._groups([2, 3, 5, 6, 7], 2) == [range(2, 4), range(5, 8)] and ingest._groups([], 3) == []
+
+
 def test_generations_are_published_whole(spark, tmp_path):
     from corpusloom.operators import chunking
     from corpusloom.session import matching_paths, path_exists, put_once
