@@ -182,3 +182,15 @@ def test_checksums(spark, tmp_path):
     files = fingerprints.file_digests(spark, str(tmp_path))
     expected = spark.createDataFrame([("d.xml", "sha1", hashlib.sha1(b"dump").hexdigest().upper()), ("e.xml", "sha256", "00")], "name string, algorithm string, checksum string")
     assert {r["name"]: r["verdict"] for r in fingerprints.verify_checksums(files, expected).collect()} == {"d.xml": "ok", "e.xml": "mismatch"}
+
+
+def test_text_files_are_written_by_the_tasks(spark, tmp_path):
+    rows = [("a/x.txt", "one\ntwo"), ("a/x.txt", None), ("b/é.txt", "ü"), ("c.txt", "")]
+    table = spark.createDataFrame(rows, "file string, value string").coalesce(1)
+    for root in (str(tmp_path / "plain"), f"file:{tmp_path}/uri"):
+        text_files.write_text_files(table, root)
+        text_files.write_text_files(table, root)  # a repeated task overwrites its files
+    for name in ("plain", "uri"):
+        found = {str(p.relative_to(tmp_path / name)): p.read_bytes() for p in (tmp_path / name).rglob("*") if p.is_file()}
+        assert found.pop("a/x.txt") in (b"one\ntwo\n\n", b"\none\ntwo\n")
+        assert found == {"b/é.txt": "ü\n".encode(), "c.txt": b"\n"}  # and no file of Spark's
