@@ -8,8 +8,9 @@ are compared with it. Two ways to stop:
 * exact: a second pass goes to every cell that could still hold a better neighbour than the k-th found. With a unit
   query no vector of a cell scores more than its centre does plus the cell's radius, so the rest is skipped.
 
-Vectors and queries meet by cell; a cell is cut into blocks of bounded size on both sides, so one that holds a third
-of all rows is many blocks (see `blocked`). Only centres are broadcast, within a bound on their bytes.
+Vectors are scanned where they lie, best in the order of their cells (`by_cell`). Slices of the queries, of bounded size, are
+broadcast with a bit for each cell that a query probes; only the best rows of a task are shuffled (see `blocked`). So a
+vector is never repeated for a cell, nor a query, and a cell that holds a third of all rows lies in many tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as vx
 from corpusloom.operators import blocked
+from corpusloom.operators.blocked import NO_MATCH
 from corpusloom.operators.lexical import check_limit
 from corpusloom.operators.vectors import COSINE, VectorScorer
 from corpusloom.operators.vectors import search as search_all
@@ -94,6 +96,12 @@ def assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(place, f"{kind}, cell int, reach double")
 
 
+def by_cell(assigned: DataFrame) -> DataFrame:
+    """Assigned vectors in the order of their cells, over as many tasks as run at once; `assigned` is looked at twice."""
+    tasks = assigned.sparkSession.sparkContext.defaultParallelism
+    return assigned.repartitionByRange(tasks, "cell", "id").sortWithinPartitions("cell", "id")
+
+
 def summary(assigned: DataFrame) -> DataFrame:
     """(`cell`, `rows`, `radius`) of assigned vectors."""
     return assigned.groupBy("cell").agg(F.count("*").alias("rows"), F.max("reach").alias("radius"))
@@ -129,10 +137,10 @@ class Probes:
 
 
 def probe(queries: DataFrame, probes: Probes, enough: int, beyond: bool = False) -> DataFrame:
-    """(`query_id`, `embedding`, `cell`) for each cell to probe.
+    """(`query_id`, `embedding`, `cells`, `probed`): a bit for each of the probes' cells, the first one highest, and their number.
 
     First the nearest cells with `enough` rows; with `beyond` instead the cells that those left out and that can reach the
-    query's `least` score.
+    query's `least` score. Queries without any are left out.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -148,14 +156,80 @@ def probe(queries: DataFrame, probes: Probes, enough: int, beyond: bool = False)
                 marks = known.nearest(given, enough)
                 if beyond:
                     marks = ~marks & known.reachable(given, part.column("least").to_numpy(zero_copy_only=False))
-                query, cell = np.nonzero(marks)
-                taken = part.take(pa.array(query))
+                probed = marks.sum(axis=1)
+                some = np.flatnonzero(probed)
+                taken = part.take(pa.array(some))
+                bits = [row.tobytes() for row in np.packbits(marks[some], axis=1)]
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column("query_id"), taken.column("embedding"), pa.array(known.cell[cell])], names=["query_id", "embedding", "cell"]
+                    [taken.column("query_id"), taken.column("embedding"), pa.array(bits, pa.binary()), pa.array(probed[some].astype(np.int32))],
+                    names=["query_id", "embedding", "cells", "probed"],
                 )
 
     kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.mapInArrow(mark, f"query_id {kind}, embedding array<double>, cell int")
+    return queries.mapInArrow(mark, f"query_id {kind}, embedding array<double>, cells binary, probed int")
+
+
+class CellScorer:
+    """Scores only the pairs whose query probes the item's cell, by one product for each cell of a block."""
+
+    def __init__(self, scorer: VectorScorer, cell: np.ndarray, k: int):
+        self.scorer, self.cell, self.k = scorer, cell, k
+        self._seen = None  # the block that was laid out last, as it meets many blocks of queries
+
+    def prepare(self, queries: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        bits = b"".join(queries.column("cells").to_pylist())
+        return self.scorer.prepare(queries), np.frombuffer(bits, np.uint8).reshape(queries.num_rows, -(-len(self.cell) // 8))
+
+    def _parts(self, items: pa.RecordBatch) -> list[tuple[int, np.ndarray, pa.RecordBatch, VectorScorer]]:
+        """Place of the cell, columns, items and their scorer, for each cell of a block."""
+        if self._seen is None or self._seen[0] is not items:
+            given = items.column("cell").to_numpy(zero_copy_only=False)
+            parts = []
+            for cell in np.unique(given):
+                columns = np.flatnonzero(given == cell)
+                parts.append((int(np.searchsorted(self.cell, cell)), columns, items.take(pa.array(columns)), VectorScorer(self.scorer.mode)))
+            self._seen = items, parts
+        return self._seen[1]
+
+    def _asking(self, state: tuple[np.ndarray, np.ndarray], items: pa.RecordBatch) -> Iterator[tuple]:
+        """The parts with the queries that probe their cell."""
+        for at, columns, part, scorer in self._parts(items):
+            rows = np.flatnonzero(state[1][:, at >> 3] & (128 >> (at & 7)))
+            if len(rows):
+                yield rows, columns, part, scorer
+
+    def keys(self, state: tuple[np.ndarray, np.ndarray], items: pa.RecordBatch) -> np.ndarray:
+        found = np.full((len(state[0]), items.num_rows), NO_MATCH)
+        for rows, columns, part, scorer in self._asking(state, items):
+            found[np.ix_(rows, columns)] = scorer.keys(state[0][rows], part)
+        return found
+
+    def candidates(
+        self, state: tuple[np.ndarray, np.ndarray], items: pa.RecordBatch, floor: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `Scorer.candidates`; queries without a floor give the k best of a cell, as more cannot count."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for rows, columns, part, scorer in self._asking(state, items):
+            known = floor[rows] != NO_MATCH
+            if known.any():
+                query, column, key = scorer.candidates(state[0][rows[known]], part, floor[rows[known]])
+                found.append((rows[known][query], columns[column], key))
+            if not known.all():
+                keys = scorer.keys(state[0][rows[~known]], part)
+                best = blocked._top_columns(keys, self.k)
+                query = np.repeat(rows[~known], best.shape[1])
+                found.append((query, columns[best.ravel()], np.take_along_axis(keys, best, axis=1).ravel()))
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+
+def _nearest_probed(stored: DataFrame, asked: DataFrame, probes: Probes, k: int, **layout: int) -> DataFrame:
+    """The k best of each query of `asked`, a stored table of `probe`, among the cells it probes; a pair counts once."""
+    size = F.size("embedding") * 8 + F.octet_length("cells") + 32
+    reducer = blocked.TopK(CellScorer(VectorScorer(COSINE), probes.cell, k), k)
+    found, _ = blocked.reduce_items(stored, asked.drop("probed"), reducer, size, **layout)
+    # rows with equal ids are one; both steps need the rows of a query together
+    once = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return blocked.rank_rows(once, k)
 
 
 def enough_rows(assigned: DataFrame, probes: Probes, k: int = 10, target: float = TARGET_RECALL) -> int:
@@ -203,8 +277,7 @@ def search(
     if enough is None:
         enough = FIRST_ROWS if exact else enough_rows(stored, probes, k)
     enough = min(total, max(k, enough))
-    scorer = VectorScorer(COSINE)
-    first = blocked.top_k_within(_in_cells(stored, probes), probe(asked, probes, enough), scorer, k, ("cell",), **layout)
+    first = _nearest_probed(stored, cut_lineage(probe(asked, probes, enough), "probes"), probes, k, **layout)
     if not exact or enough >= total:
         return first
     first = cut_lineage(first, "probed")
@@ -213,17 +286,27 @@ def search(
         "query_id", "embedding", F.when(F.col("found") >= k, F.col("least")).otherwise(float("-inf")).alias("least")
     )
     further = cut_lineage(probe(bounded, probes, enough, beyond=True), "further-probes")
-    if 2 * further.count() > asked.count() * len(probes.cell):
+    probed = further.agg(F.coalesce(F.sum("probed"), F.lit(0))).first()[0]
+    if not probed:
+        return first
+    if 2 * probed > asked.count() * len(probes.cell):
         return search_all(stored.select("id", "embedding"), asked, k, COSINE, **layout)[0]
-    second = blocked.top_k_within(_in_cells(stored, probes, further), further, scorer, k, ("cell",), **layout)
+    second = _nearest_probed(_in_cells(stored, probes, further), further, probes, k, **layout)
     return blocked.rank_rows(first.drop("rank").unionByName(second.drop("rank")), k)
 
 
-def _in_cells(stored: DataFrame, probes: Probes, asked: DataFrame | None = None) -> DataFrame:
+def _in_cells(stored: DataFrame, probes: Probes, asked: DataFrame) -> DataFrame:
     """Stored vectors of the cells that are asked for; with few of them the scan skips what lies in others."""
-    if asked is None:
-        return stored
-    wanted = sorted(r["cell"] for r in asked.select("cell").distinct().collect())  # no more than there are centres
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bits = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                at = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0)))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32))], names=["at"])
+
+    rows = asked.select("cells").mapInArrow(union, "at int").distinct().collect()  # no more than there are centres
+    wanted = sorted(probes.cell[[r["at"] for r in rows]].tolist())
     return stored.filter(F.col("cell").isin(wanted)) if len(wanted) < len(probes.cell) else stored
 
 

@@ -57,6 +57,25 @@ def test_probes_follow_what_was_measured(spark):
     assert shares["clusters"] < 0.2 < shares["even"]
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_query_meets_its_cells_in_place(spark, monkeypatch, exact):
+    """One row a query, however many cells it probes, and the same neighbours in slices of the queries."""
+    monkeypatch.setattr(cells, "FIRST_ROWS", 40)
+    stored = table(spark, clustered(300, 12, 10, 0.5, 1, copies=150))
+    centres = cells.train(stored, 20)
+    placed = cut_lineage(cells.by_cell(cut_lineage(cells.assign(stored, centres))))
+    counted = cut_lineage(cells.summary(placed))
+    asked = stored.filter("id < 'v0040' or id in ('zero', 'far', 'w0003')").select(F.col("id").alias("query_id"), "embedding")
+    probed = cells.probe(asked, cells.Probes(centres, counted), 200).collect()
+    assert len(probed) == 43 and sum(r["probed"] for r in probed) > 43
+    assert all(r["probed"] == bin(int.from_bytes(r["cells"])).count("1") for r in probed)
+    whole = ranked(cells.search(placed, asked, centres, counted, 7, exact=exact, enough=200))
+    sliced = cells.search(placed, asked, centres, counted, 7, exact=exact, enough=200, max_broadcast_queries=10, cell_queries=7)
+    assert ranked(sliced) == whole and len(whole) == 43 * 7
+    if exact:
+        assert whole == ranked(vec.search(stored, asked, 7)[0])
+
+
 def test_bounds_skip_cells():
     middle = np.eye(4)
     probes = cells.Probes.__new__(cells.Probes)
