@@ -181,12 +181,16 @@ class CellScorer:
         return self.scorer.prepare(queries), np.frombuffer(bits, np.uint8).reshape(queries.num_rows, -(-len(self.cell) // 8))
 
     def _parts(self, items: pa.RecordBatch) -> list[tuple[int, np.ndarray, pa.RecordBatch, VectorScorer]]:
-        """Place of the cell, columns, items and their scorer, for each cell of a block."""
+        """Place of the cell, columns, items and their scorer, for each cell of a block; rows that repeat the one before are left out."""
         if self._seen is None or self._seen[0] is not items:
             given = items.column("cell").to_numpy(zero_copy_only=False)
+            ids, vectors = np.array(items.column("id").to_pylist(), object), self.scorer.matrix(items.column("embedding"))
             parts = []
             for cell in np.unique(given):
                 columns = np.flatnonzero(given == cell)
+                repeated = np.zeros(len(columns), bool)
+                repeated[1:] = (ids[columns[1:]] == ids[columns[:-1]]) & (vectors[columns[1:]] == vectors[columns[:-1]]).all(axis=1)
+                columns = columns[~repeated]
                 parts.append((int(np.searchsorted(self.cell, cell)), columns, items.take(pa.array(columns)), VectorScorer(self.scorer.mode)))
             self._seen = items, parts
         return self._seen[1]
@@ -225,7 +229,7 @@ class CellScorer:
 def _nearest_probed(stored: DataFrame, asked: DataFrame, probes: Probes, k: int, **layout: int) -> DataFrame:
     """The k best of each query of `asked`, a stored table of `probe`, among the cells it probes; a pair counts once."""
     size = F.size("embedding") * 8 + F.octet_length("cells") + 32
-    reducer = blocked.TopK(CellScorer(VectorScorer(COSINE), probes.cell, k), k)
+    reducer = blocked.TopK(CellScorer(VectorScorer(COSINE), probes.cell, k), k, distinct=True)
     found, _ = blocked.reduce_items(stored, asked.drop("probed"), reducer, size, **layout)
     # rows with equal ids are one; both steps need the rows of a query together
     once = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))

@@ -76,6 +76,17 @@ def test_a_query_meets_its_cells_in_place(spark, monkeypatch, exact):
         assert whole == ranked(vec.search(stored, asked, 7)[0])
 
 
+def test_rows_that_repeat_are_one_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FIRST_ROWS", 40)
+    stored = table(spark, clustered(120, 4, 6, 0.5, 3))
+    twice = stored.unionByName(stored).unionByName(stored).coalesce(1)
+    centres = cells.train(stored, 4)
+    placed = cut_lineage(cells.by_cell(cut_lineage(cells.assign(twice, centres))))
+    asked = stored.filter("id < 'v0020'").select(F.col("id").alias("query_id"), "embedding")
+    found = cells.search(placed, asked, centres, cells.summary(placed), 9)
+    assert ranked(found) == ranked(vec.search(stored, asked, 9)[0])
+
+
 def test_bounds_skip_cells():
     middle = np.eye(4)
     probes = cells.Probes.__new__(cells.Probes)
@@ -111,7 +122,7 @@ def test_stored_cells_grow_with_the_index(spark, tmp_path):
     assert ranked(vector_cells.search(spark, path, asked, 6)) == exact
     found = vector_cells.search(spark, path, asked, 6, exact=False).count()
     assert found == 60
-    delete_path(spark, f"{path}/cells/summary/batch=00000001")  # an attempt that died before its end
+    delete_path(spark, f"{index_store.home(spark, path)}/cells/summary/batch=00000001")  # an attempt that died before its end
     assert vector_cells.refresh(spark, path) == [1]
     assert ranked(vector_cells.search(spark, path, asked, 6)) == exact
 
