@@ -13,20 +13,22 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import extended, free_name, pieces, released, require, sha256_joined
+from corpusloom.llm.common import extended, filled, free_name, pieces, released, require, sha256_joined
 from corpusloom.llm.merging import PairTable, leftmost_apart
 
 CORPUS_BYTES = 4 << 20
 _STEP = 1 << 18
-REMEMBERED = 200_000  # words a task keeps; more only cost time
+REMEMBERED = 300_000  # words after which a task forgets those it knows; more only cost time
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -44,7 +46,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Encoder:
-    """Words to ids; `remembered` holds those seen so far as the bytes of 32-bit ids."""
+    """Words to ids. Words seen so far have numbers, that of word `n` has the ids `ids[ends[n] : ends[n + 1]]`."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         self.find = regex.compile(pattern).findall
@@ -53,13 +55,17 @@ class Encoder:
         for i, token in enumerate(tokens):
             if len(token) == 1:
                 self.byte[token[0]] = i
-        self.remembered: dict[str, bytes] = {}
+        self.forget()
 
-    def replay(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as the bytes of 32-bit numbers, by all merges in rank order over the whole table."""
-        sizes = np.array([len(w) for w in words])
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int32)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words behind each other and how many each has, by all merges in rank order over the whole table."""
+        sizes = np.array([len(w) for w in words], np.int32)
         if not len(words):
-            return []
+            return np.zeros(0, np.int32), sizes
         ends = np.cumsum(sizes + 1)
         n = int(ends[-1])
         joined = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
@@ -78,8 +84,9 @@ class Encoder:
             rank = made[at]
             order = np.argsort(rank, kind="stable")
             rank, at = rank[order], at[order]
-            cuts = np.flatnonzero(np.diff(rank)) + 1
-            for r, places in zip(rank[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(at)]
+            for i, r in enumerate(rank[cuts[:-1]].tolist()):
+                places = at[cuts[i] : cuts[i + 1]]
                 if r in index:
                     index[r].append(places)
                 else:
@@ -93,7 +100,7 @@ class Encoder:
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank)
-            at = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
+            at = places[0] if len(places) == 1 else _distinct(np.concatenate(places))
             at = at[made[at] == rank]
             if not len(at):
                 continue
@@ -120,33 +127,58 @@ class Encoder:
             made[gone] = -1
             after[at] = after[gone]
             before[after[at]] = at
-            made[at] = self.table.look_up(symbol[at], symbol[after[at]])
             left = before[at]
-            left = left[left >= 0]
-            made[left] = self.table.look_up(symbol[left], symbol[after[left]])
-            touched = np.unique(np.concatenate([at, left]))
-            touched = touched[made[touched] >= 0]
+            touched = _distinct(np.concatenate([at, left[left >= 0]]))
+            now = self.table.look_up(symbol[touched], symbol[after[touched]])
+            made[touched] = now
+            touched = touched[now >= 0]
             if len(touched):
                 enter(touched)
-        keep = symbol >= 0
-        lengths = np.add.reduceat(keep, ends - sizes - 1)
-        flat, stops = symbol[keep].tobytes(), (np.cumsum(lengths) * 4).tolist()
-        out = [flat[a:b] for a, b in zip([0, *stops[:-1]], stops)]
         for w in alone:
-            out[w] = np.array(self.table.merge_one(self.byte[np.frombuffer(words[w], np.uint8)].tolist()), np.int32).tobytes()
-        return out
+            at = int(ends[w] - sizes[w] - 1)
+            merged = self.table.merge_one(self.byte[np.frombuffer(words[w], np.uint8)].tolist())
+            symbol[at : ends[w] - 1] = -2
+            symbol[at : at + len(merged)] = merged
+        keep = symbol >= 0
+        return symbol[keep], np.add.reduceat(keep, ends - sizes - 1, dtype=np.int32)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as the bytes of 32-bit numbers."""
-        number = Numbers()  # each distinct word is held once, a text as its words' numbers
+        ids, at = self.coded(texts)
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(at.tolist())]
+
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts behind each other, and where those of each end, with a 0 in front."""
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        number, known = self.number, len(self.number)  # each distinct word is held once, a text as its words' numbers
         cut = [np.fromiter(map(number.__getitem__, found), np.int32, len(found)) for found in map(self.find, texts)]
-        words = list(number)
-        missing = [w for w in words if w not in self.remembered]
-        if len(self.remembered) + len(missing) > REMEMBERED:
-            self.remembered, missing = {}, words
-        self.remembered.update(zip(missing, self.replay([w.encode() for w in missing])))
-        coded = list(map(self.remembered.__getitem__, words)).__getitem__
-        return [b"".join(map(coded, c.tolist())) for c in cut]
+        ids, lengths = self.replay([w.encode() for w in itertools.islice(number, known, None)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths, dtype=np.int32)])
+        words = np.concatenate([np.zeros(0, np.int32), *cut])
+        at, place = gathered(self.ends, words)
+        return self.ids[place], at[np.cumsum([0, *map(len, cut)])]
+
+
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """Sorted and each once; on short arrays faster than `np.unique`."""
+    places.sort()
+    first = np.ones(len(places), bool)
+    np.not_equal(places[1:], places[:-1], out=first[1:])
+    return places[first]
+
+
+def gathered(ends: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a choice of runs `ends[i] : ends[i + 1]`: where each ends when they lie behind each other, with a 0 in front, and
+    the places of all of them."""
+    begin = ends[chosen]
+    at = np.zeros(len(chosen) + 1, np.int64)
+    np.cumsum(ends[chosen + 1] - begin, out=at[1:])
+    if at[-1] >= 1 << 31:
+        raise ValueError("more than 2 GB in one batch")
+    at = at.astype(np.int32)
+    return at, np.repeat(begin - at[:-1], np.diff(at)) + np.arange(at[-1], dtype=np.int32)
 
 
 class Numbers(dict):
@@ -165,10 +197,9 @@ def _encoding(docs: DataFrame, ranks: str, pattern: str, text: str, ids: str, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*sent.value)
-        for batch in pieces(batches, text, CORPUS_BYTES):
-            found = encoder.encode([t or "" for t in batch.column(text).to_pylist()])
-            at = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-            values = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(found), np.int32)))
+        for batch in pieces(filled(batches, text, CORPUS_BYTES), text, CORPUS_BYTES):
+            found, at = encoder.coded([t or "" for t in batch.column(text).to_pylist()])
+            values = pa.ListArray.from_arrays(at, pa.array(found))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], values], names=[*kept, ids])
 
     return run
@@ -178,18 +209,19 @@ def _decoding(docs: DataFrame, ranks: str, ids: str, decoded: str, kept: list[st
     sent = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = sent.value
+        data = np.frombuffer(b"".join(sent.value), np.uint8)
+        ends = np.cumsum([0, *map(len, sent.value)], dtype=np.int32)
         for batch in batches:
-            out = []
-            for row in batch.column(ids):
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                numbers = row.values.to_numpy()
-                if len(numbers) and numbers.min() < 0:
-                    raise ValueError("ids are 0 or more")
-                out.append(b"".join(map(token.__getitem__, numbers.tolist())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.binary())], names=[*kept, decoded])
+            column = batch.column(ids)
+            numbers = column.flatten().to_numpy()  # of null rows nothing
+            if len(numbers) and numbers.min() < 0:
+                raise ValueError("ids are 0 or more")
+            at, place = gathered(ends, numbers)
+            rows = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
+            out = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at[rows]), pa.py_buffer(data[place])])
+            if column.null_count:
+                out = pc.if_else(column.is_valid(), out, None)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], out], names=[*kept, decoded])
 
     return run
 

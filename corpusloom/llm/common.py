@@ -80,6 +80,21 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         yield batch.slice(start)
 
 
+def filled(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together as long as they hold no more than `limit` bytes of `text`, as each costs a step of its own."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        size = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if held and total + size > limit:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(batch)
+        total += size
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column one after another, and the offsets of its rows; null rows are empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

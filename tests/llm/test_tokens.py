@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -52,6 +53,20 @@ def test_what_is_remembered_changes_nothing(monkeypatch):
     assert [forgetful.encode([t or ""])[0] for t in texts()] == whole
 
 
+def test_small_batches_are_one_corpus(docs, monkeypatch):
+    replayed = []
+    replay = bpe.Encoder.replay
+    monkeypatch.setattr(bpe.Encoder, "replay", lambda self, words: replayed.append(words) or replay(self, words))
+    rows = texts() * 2
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": pa.array([t], pa.string())}) for k, t in enumerate(rows)]
+    run = bpe._encoding(docs, RANKS, public_tokenizers.PATTERN, "text", "ids", ["doc_id"])
+    found = pa.Table.from_batches(run(iter(batches)))
+    assert len(replayed) == 1 and len(set(replayed[0])) == len(replayed[0])
+    assert found.column("doc_id").to_pylist() == list(range(len(rows)))
+    whole = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN).encode([t or "" for t in rows])
+    assert found.column("ids").to_pylist() == [np.frombuffer(ids, np.int32).tolist() for ids in whole]
+
+
 def test_bad_ids(spark):
     with pytest.raises(Exception, match="IndexError|range"):
         bpe.decode(spark.createDataFrame([([99999999],)], "ids array<int>"), RANKS).collect()
