@@ -68,6 +68,27 @@ def test_lookup_equals_search(spark):
     assert sorted(map(tuple, lexical.lookup(lexical.postings(terms), many, 4)[0].collect())) == sorted(map(tuple, lexical.search(terms, many, 4)[0].collect()))
 
 
+def test_lookup_sums_a_chunk_for_all_queries_at_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts(120, 7))], "id string, text string")
+    rows = lexical.postings(lexical.term_table(chunks))
+    asked = [(f"q{i}", t) for i, t in enumerate(texts(12, 8))] + [(None, "the beta"), ("q1", "beta beta"), ("empty", "")]
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    monkeypatch.setattr(lexical, "MAX_SUMMED_QUERIES", 0)
+    pairs, bound = lexical.lookup(rows, queries, 4)
+    expected = sorted(map(str, pairs.select("query_id", "id", "score", "rank").collect()))
+    monkeypatch.undo()
+    monkeypatch.setattr(lexical, "all_scores", None)  # would sum every pair
+    found, same = lexical.lookup(rows, queries, 4)
+    assert same == bound and sorted(map(str, found.select("query_id", "id", "score", "rank").collect())) == expected
+
+
+def test_term_counts_of_words_that_begin_alike(spark):
+    rows = spark.createDataFrame([("aa a aa aaa a 1 11 1",), ("",), (None,)], "text string")
+    found = [r[0] for r in rows.select(lexical.term_counts(F.split("text", " "))).limit(1).collect()]
+    assert [(r.token, r.tf) for r in found[0]] == [("1", 2), ("11", 1), ("a", 2), ("aa", 2), ("aaa", 1)]
+    assert [r[0] for r in rows.select(lexical.term_counts(lexical.tx.tokenize("text"))).collect()][1:] == [[], []]
+
+
 def test_term_counts(spark):
     rows = spark.createDataFrame([("a", "b a b B c2"), ("b", "--")], "id string, text string")
     found = {r["id"]: dict(zip(r["tokens"], r["tfs"])) for r in lexical.term_table(rows).collect()}
