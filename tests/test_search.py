@@ -257,3 +257,40 @@ def test_lex_scores_adds_the_scores_of_a_chunk_where_it_lies(spark, tmp_path):
     assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
     rows = {(r["query_id"], int(r["chunk_id"].split(":")[0])): r["score"] for r in found.collect()}
     assert rows == {(1, i): 2.3 if i == 3 else 1.2 for i in range(6)} | {(2, i): 2.2 for i in range(6)}
+
+
+def _text_tables(spark, folder, texts):
+    rows = [(i, t, f"src{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    asked = [(0, "alpha beta"), (1, "gamma"), (2, "x1 delta the"), (3, None), (4, "")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["eval_fixture", "similarity_triples"])
+def test_documents_without_text_have_no_vector_and_are_left_out(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from checks.base import ORACLES, QUERIES
+    from checks import vector_queries  # noqa: F401
+
+    made = [f"{t} word{i}" for i, t in enumerate(texts(20, 9))]
+    made[3], made[4], made[13] = None, "", None
+    folder = _text_tables(spark, tmp_path, made)
+    found = QUERIES[name](spark, folder).toPandas()
+    database = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    expected = database.execute(ORACLES[name]).fetch_df()[list(found.columns)]
+    plain = [sorted(tuple(None if v != v else v for v in row) for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False)) for frame in (found, expected)]
+    assert len(plain[0]) > 2 and plain[0] == plain[1]
+
+
+def test_related_probe_of_named_texts_embeds_each_once(spark):
+    rows = {f"t{i}": t + " x1" for i, t in enumerate(texts(8, 4))}
+    triples = [(i, f"t{i}", f"t{i + 1}", f"t{i + 2}") for i in range(6)]
+    ddl = "triple_id int, anchor string, related string, unrelated string"
+    named = spark.createDataFrame([*triples, (6, "t0", "t1", "gone")], ddl)
+    spelled = spark.createDataFrame([(n, *map(rows.get, ids)) for n, *ids in triples], ddl)
+    table = spark.createDataFrame(list(rows.items()), "id string, text string")
+    by_id = evaluate.related_ranks_higher(named, texts=table)
+    assert sorted(by_id.collect()) == sorted(evaluate.related_ranks_higher(spelled).collect())
