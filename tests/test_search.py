@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,39 @@ def test_lexical_search_matches_brute_force(spark, layout):
         assert found.get(key, []) == brute_lexical(chunks, query, 7)
 
 
+@pytest.mark.parametrize("layout", [{}, {"max_broadcast_queries": 0, "cell_queries": 9}])
+def test_floors_and_like_blocks_give_the_same_hits(spark, monkeypatch, layout):
+    for name, value in {"SEED_QUERIES": 2, "SEED_SHARE": 3, "QUERY_BLOCK": 4, "ITEM_BLOCK": 16, "GATHERED_BLOCKS": 3}.items():
+        monkeypatch.setattr(blocked, name, value)
+    scan = blocked._scan
+    monkeypatch.setattr(blocked, "_scan", lambda *args: scan(*args))  # goes to the workers with these values
+    chunks = {f"c{i:03d}": t for i, t in enumerate(texts(150, 11) + ["le la lampe le"] * 20 + [""])}
+    asked = {f"q{i}": t for i, t in enumerate(texts(25, 12) + ["la lampe", "lampe le le", "nothing of it", "zeta x1"])}
+    terms = lexical.term_table(spark.createDataFrame(list(chunks.items()), "id string, text string"))
+    found, _ = lexical.search(terms, spark.createDataFrame(list(asked.items()), "query_id string, text string"), 4, **layout)
+    got = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["id"], pytest.approx(row["score"])))
+    expected = {q: brute_lexical(chunks, t, 4) for q, t in asked.items()}
+    assert got == {q: hits for q, hits in expected.items() if hits}
+
+
+def test_a_block_that_cannot_reach_the_floor_is_not_scored(monkeypatch):
+    def table(rows, counts):
+        return pa.table({"query_id": list(rows), "id": list(rows), "tokens": list(rows.values()), counts: [[1] * len(t) for t in rows.values()]})
+
+    queries = table({"q1": ["lamp", "river"], "q2": ["lampe"]}, "qtfs").append_column("floor", pa.array([2.2, None], pa.float64()))
+    scored = []
+    real = lexical.TermScorer._tenths
+    monkeypatch.setattr(lexical.TermScorer, "_tenths", lambda self, state, items: scored.append(state["n"]) or real(self, state, items))
+    blocks = [{"a": ["lamp"], "b": ["stone"]}, {"c": ["lampe", "lamp"]}, {"d": ["lamp", "river"]}]
+    monkeypatch.setattr(blocked, "ITEM_BLOCK", 1)
+    batches = [table(b, "tfs").select(["id", "tokens", "tfs"]).combine_chunks().to_batches()[0] for b in blocks]
+    found = [row for out in blocked._scan(blocked.TopK(lexical.TermScorer(), 1), queries, iter(batches)) for row in out.to_pylist()]
+    assert sorted((r["query_id"], r["id"], r["score"]) for r in found) == [("q1", "d", 2.2), ("q2", "c", 1.1)]
+    assert scored == [1, 1]  # one query each in the blocks of c and d
+
+
 def test_all_scores_equal_search(spark):
     chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts(60, 3))], "id string, text string")
     queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts(12, 4))], "query_id int, text string")
