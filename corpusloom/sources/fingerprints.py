@@ -10,8 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import ship_package
-from corpusloom.sources.lines import lines_of, number_lines
+from corpusloom.session import expect_small_files, ship_package
+from corpusloom.sources.lines import number_lines, read_lines
 from corpusloom.sources.text_files import local_name, require_rows
 
 _PIECES = 4
@@ -21,6 +21,7 @@ _BUFFER = 8 << 20
 
 def file_digests(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """`(path, size, sha256, sha1)` of many small files, one cell each; `stream_digest` is for large ones."""
+    expect_small_files(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -60,7 +61,7 @@ def source_file_fingerprint(spark: SparkSession, path: str) -> str:
     The same for every size, and read in parallel. Lines end at LF only, so other line endings and
     another order of the lines give another digest.
     """
-    lines = number_lines(lines_of(spark.read.option("lineSep", "\n").text(path)))
+    lines = number_lines(read_lines(spark, path, "\n"))
     named = lines.select(F.regexp_extract("path", r"([^/]*)\z", 1).alias("file"), "line", "value")
     return table_fingerprint(named, ["file", "line", "value"]).first()["fingerprint"]
 
