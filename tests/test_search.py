@@ -254,6 +254,28 @@ def test_evaluation_matches_full_ranking(spark, layout):
     assert row["recall_at_3"] == pytest.approx(np.mean([e[2] / e[0] for e in expected.values()]))
 
 
+def test_labels_are_evaluated_by_two_scans(spark, monkeypatch):
+    """With floors, and with queries that have no relevant document or no label, as without."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), None if i % 17 == 0 else 100 + i if i % 23 == 0 else i % 3) for i in range(120)]
+    records = spark.createDataFrame(rows, "position long, embedding array<double>, label int")
+    queries = records.select(F.col("position").alias("query_id"), "embedding", "label", F.col("position").alias("self_position"))
+    found, scans = [], []
+    real = blocked.reduce_items
+    monkeypatch.setattr(blocked, "reduce_items", lambda *args, **layout: scans.append(args[2]) or real(*args, **layout))
+    for least in (1, 1 << 30):
+        monkeypatch.setattr(blocked, "SEED_QUERIES", least)
+        monkeypatch.setattr(blocked, "SEED_SHARE", 4)
+        found.append(sorted(map(str, evaluate.by_label(records, queries).collect())))
+    assert found[0] == found[1] and len(found[0]) == 120 and len(scans) == 4
+    unit = np.array([e for _, e, _ in rows]) / np.linalg.norm([e for _, e, _ in rows], axis=1, keepdims=True)
+    for row in evaluate.by_label(records, queries).collect():
+        q = row["query_id"]
+        order = sorted((i for i in range(120) if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))
+        hits = [rows[q][2] is not None and rows[i][2] == rows[q][2] for i in order]
+        assert row["first_relevant_rank"] == (hits.index(True) + 1 if any(hits) else None) and row["top3_hits"] == sum(hits[:3])
+
+
 def test_metrics_of_nothing(spark):
     empty = spark.createDataFrame([], "query_id int, relevant long, top1_hits long, top3_hits long, recall_at_3 double, reciprocal_rank double")
     assert evaluate.metrics(empty).first().asDict() == {
