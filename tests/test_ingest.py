@@ -9,6 +9,7 @@ from corpusloom.operators import catalog as cat
 from corpusloom.operators import delta, vectors
 from corpusloom.plans import index_store, ingest
 from corpusloom.plans.workspace import Workspace, inline_sources
+from corpusloom.session import cut_lineage
 from corpusloom.streaming import ingest_stream
 
 DDL = "document_id string, title string, text string, source string, position long"
@@ -448,3 +449,10 @@ def test_the_first_vector_layout_gives_distances(spark, tmp_path):
     with pytest.raises(FileExistsError):
         index_store.build_distances(chunks, path)
     assert index_store.build_distances(chunks.limit(2), path, force=True).first()["chunk_count"] == 2
+
+
+def test_stored_tables_are_compressed_well(spark, tmp_path):
+    rows = spark.createDataFrame([("a:0", "t", "s", 0, "lamp river", "d")], "id string, title string, source string, chunk_index int, text string, sha256 string")
+    index_store.build_lexical(cut_lineage(rows, "rows"), str(tmp_path / "index"))
+    written = [p.name for p in (tmp_path / "index").rglob("part-*.parquet") if "commits" not in str(p)]
+    assert len(written) >= 4 and all(name.endswith(".zstd.parquet") for name in written)
